@@ -22,13 +22,13 @@ from marked group by doc_id
 OP5 = rf"""
 with d as (
     select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '{_WS}') as w,
-        list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '{_WS}')) as l
+        list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{_WS}')) as l
     from documents),
 base as (
     select doc_id, len(w) as n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) as word_chars,
         length(t) - length(translate(t, '#*$%&|<>', '')) as n_symbols, len(l) - len(list_distinct(l)) as n_dup_lines, len(l) as n_lines,
-        len(list_filter(l, x -> regexp_matches(x, '^\s*[-*•]'))) as n_bullets, len(list_filter(l, x -> regexp_matches(x, '(\.\.\.|…)\s*$'))) as n_dots,
-        len(list_distinct(list_filter(w, x -> list_contains(['the', 'be', 'to', 'of', 'and', 'that', 'have', 'with', 'is', 'in', 'for', 'it', 'a', 'on',
+        len(list_filter(l, lambda x: regexp_matches(x, '^\s*[-*•]'))) as n_bullets, len(list_filter(l, lambda x: regexp_matches(x, '(\.\.\.|…)\s*$'))) as n_dots,
+        len(list_distinct(list_filter(w, lambda x: list_contains(['the', 'be', 'to', 'of', 'and', 'that', 'have', 'with', 'is', 'in', 'for', 'it', 'a', 'on',
             'le', 'la', 'les', 'de', 'des', 'et', 'un', 'une', 'du', 'en', 'que', 'qui', 'pour', 'dans', 'est', 'sur',
             'der', 'die', 'das', 'und', 'den', 'von', 'zu', 'mit', 'sich', 'auf', 'für', 'ist', 'im', 'dem', 'ein', 'eine',
             'el', 'los', 'las', 'y', 'con', 'por', 'una', 'para', 'del', 'se', 'no', 'es', 'al'], x)))) as n_stop
@@ -50,8 +50,8 @@ from counted
 
 OP7 = """
 with v as (
-    select vec_id, list_transform(embedding, c -> cast(floor(256 * cast(c as double)) as bigint)) as x
-    from embeddings where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, c -> c is null or not isfinite(c))) = 0),
+    select vec_id, list_transform(embedding, lambda c: cast(floor(256 * cast(c as double)) as bigint)) as x
+    from embeddings where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0),
 parts as (select vec_id, unnest(x) as c, generate_subscripts(x, 1) as i from v),
 scores as (
     select q.vec_id as query_id, e.vec_id, sum(q.c * e.c) as score
@@ -81,9 +81,9 @@ placed as (
     from sized s join goals g on s.source is not distinct from g.source),
 timed as (
     select *, case when size = 0 or source_size = 0 then 0 else least(2, greatest(0, ceil((target - middle) / source_size))) end as times,
-        least(1.0, middle / target) as at from placed)
+        least(1.0, middle / target) as place from placed)
 select doc_id, size, source_size, target, cast(times * size as bigint) as taken,
-    case when times > 0 then case when slope = 0 then at else (1 + slope - sqrt(greatest(0.0, (1 + slope) * (1 + slope) - 4 * slope * at))) / (2 * slope) end end as position
+    case when times > 0 then case when slope = 0 then place else (1 + slope - sqrt(greatest(0.0, (1 + slope) * (1 + slope) - 4 * slope * place))) / (2 * slope) end end as position
 from timed
 """
 
