@@ -63,3 +63,18 @@ def discard(df: DataFrame) -> None:
 def lower_ascii(col):
     """A-Z lower-cased, other letters left as they are."""
     return F.translate(col, UPPER, LOWER)
+
+
+def _letters() -> dict[int, str]:
+    """Byte-level vocabularies write each byte as a letter: printable bytes of Latin-1 as themselves, the others from code point 256 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_LETTERS = _letters()
+
+
+def byte_letters(text: str) -> str:
+    """text's UTF-8 bytes as a byte-level vocabulary writes them."""
+    return text if text.isascii() and text.isalpha() else text.encode("utf-8").decode("latin-1").translate(_LETTERS)

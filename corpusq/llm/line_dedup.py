@@ -163,7 +163,9 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = M
     # Exact: documents of each line, summed before the shuffle.
     by_doc = seen.groupBy("digest", "d").agg(F.lit(1).alias("one"))
     by_line = by_doc.groupBy("digest").agg(F.count("one").alias("n"), (F.max if keep == "max" else F.min)("d").alias("keeper")).where(F.col("n") >= min_docs)
-    # A line that a third of all documents share is one key here; Spark splits such a join's partitions.
+    # A line that a third of all documents share is one key here. Spark splits such partitions of a join
+    # if both sides are shuffled for it; as a written table, the sums' own partitioning can't be taken over.
+    by_line = stage(by_line)
     gone = seen.join(by_line, "digest").where(~F.col("d").eqNullSafe(F.col("keeper")))
     return gone.groupBy("d", "h").agg(F.flatten(F.collect_set("lines")).alias("lines"))
 

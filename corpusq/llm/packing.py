@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import functools
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -27,58 +28,59 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from corpusq.llm.common import small_batches, stage
+from corpusq.llm.common import byte_letters, small_batches, stage
 
 VOCABULARY, CAPACITY, END = "word_bpe_49k.json", 2048, 0
-#: Pieces of a group on average, and rounds at most.
-GROUP, ROUNDS = 2_000, 6
-#: Words that a worker remembers, and words that it encodes at once.
-REMEMBER, AT_ONCE = 800_000, 2_000
+#: Pieces of a group on average, rounds at most, and words that a worker remembers.
+GROUP, ROUNDS, REMEMBER = 2_000, 6, 1_200_000
 
 _TAIL = b".,;:!?"
 _LETTERS = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
 
 
-class Encoder:
-    """Ids of whole texts as bytes. The vocabulary drops white space and no token crosses it, so words are encoded one by one, each once."""
+class Words(dict):
+    """Ids of words as bytes; a word that is not known yet is encoded when it is looked up."""
 
     def __init__(self, path: str):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[bytes, bytes] = {}
-
-    def _learn(self, words: set[bytes]) -> None:
-        # Punctuation after an ASCII letter is a token of its own: stem and tail are encoded apart.
-        stems = {}
-        for w in words:
-            stem = w.rstrip(_TAIL)
-            if len(stem) < len(w) and stem and stem[-1] in _LETTERS:
-                stems[w] = (stem, w[len(stem) :])
-        new = list(({x for s in stems.values() for x in s} | (words - stems.keys())) - self.known.keys())
-        for i in range(0, len(new), AT_ONCE):
-            batch = new[i : i + AT_ONCE]
-            for w, e in zip(batch, self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in batch], add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
-        for w, (stem, tail) in stems.items():
-            self.known[w] = self.known[stem] + self.known[tail]
-
-    def encode(self, texts: list[bytes | None]) -> list[bytes]:
-        split = []
-        for t in texts:
-            t = t or b""
-            # The vocabulary is lower-case; doing A-Z first leaves fewer words to know. Not beside combining marks or special strings.
-            split.append((t if b"<|" in t or b"\xcc" in t or b"\xcd" in t else t.lower()).split())
+        self.model = self.tokenizer.model.tokenize
+        self.id_bytes = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
+
+    def __missing__(self, w: bytes) -> bytes:
+        stem = w.rstrip(_TAIL)
+        if len(stem) < len(w) and stem and stem[-1] in _LETTERS:
+            # Punctuation after an ASCII letter is a token of its own: stem and tail are encoded apart.
+            out = self[stem] + self[w[len(stem) :]]
+        else:
+            t = w.decode("utf-8", "replace")
+            if t.isalpha() and t.islower() and t == t.lower() and (t.isascii() or unicodedata.is_normalized("NFC", t)):
+                # A lower-case word of letters, in composed form, is one unit of the model: normalizer and splitter would leave it alone.
+                ids = [x.id for x in self.model(byte_letters(t))]
+            else:
+                ids = self.tokenizer.encode(t, add_special_tokens=False).ids
+            out = b"".join([self.id_bytes[i] for i in ids])
+        self[w] = out
+        return out
+
+
+class Encoder:
+    """Ids of whole texts as bytes. The vocabulary drops white space and no token crosses it, so words are encoded one by one, each once."""
+
+    def __init__(self, path: str):
+        self.known = Words(path)
+
+    def encode(self, text: bytes | None) -> bytes:
         if len(self.known) > REMEMBER:
             self.known.clear()
-        new = set().union(*split) - self.known.keys() if split else set()
-        if new:
-            self._learn(new)
-        get = self.known.__getitem__
-        return [b"".join(map(get, ws)) for ws in split]
+        t = text or b""
+        # The vocabulary is lower-case; doing A-Z first leaves fewer words to know. Not beside combining marks or special strings.
+        return b"".join(map(self.known.__getitem__, (t if b"<|" in t or b"\xcc" in t or b"\xcd" in t else t.lower()).split()))
 
 
 @functools.lru_cache(maxsize=1)
@@ -98,8 +100,8 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
             texts = b.column(1).cast(pa.binary()).to_pylist()
             for lo in range(0, len(texts), 200):
                 rows: list[tuple[int, int, int, int, int]] = []
-                for i, ids in enumerate(encoder.encode(texts[lo : lo + 200]), lo):
-                    ids += end
+                for i, text in enumerate(texts[lo : lo + 200], lo):
+                    ids = encoder.encode(text) + end
                     for p, at in enumerate(range(0, len(ids), 4 * capacity)):
                         part = ids[at : at + 4 * capacity]
                         rows.append((i, p, at // 4, len(part) // 4, zlib.crc32(part)))

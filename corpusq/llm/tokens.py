@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusq.llm.common import small_batches
+from corpusq.llm.common import byte_letters, small_batches
 
 VOCABULARY = "byte_bpe_50k.json"
 OVER = 512
@@ -60,8 +60,14 @@ class Counter:
 
     def learn(self, pieces: set[str]) -> None:
         inner = {p: INNER.split(p) for p in pieces}
-        self._encode(list({x for parts in inner.values() for x in parts} - self.known.keys()))
-        known = self.known
+        known, tokenize, others = self.known, self.tokenizer.model.tokenize, []
+        for p in {x for parts in inner.values() for x in parts} - known.keys():
+            # Letters, after a space or not, are one unit of the model: the splitter would leave them alone.
+            if (p[1:] if p[:1] == " " else p).isalpha():
+                known[p] = len(tokenize(byte_letters(p)))
+            else:
+                others.append(p)
+        self._encode(others)
         for p, parts in inner.items():
             if len(parts) > 1:
                 known[p] = sum(known[x] for x in parts)
@@ -71,11 +77,10 @@ class Counter:
         for t in texts:
             if not t:
                 cut.append([])
-            elif ADJACENT.search(t):
+            elif "\0" in t or ADJACENT.search(t):
                 cut.append(SAFE.split(t))
             else:
-                cut.append((" " + t.replace(" ", "\0 ")).split("\0") if "\0" not in t else SAFE.split(t))
-                cut[-1][0] = cut[-1][0][1:]
+                cut.append(t.replace(" ", "\0 ").split("\0"))
         if len(self.known) > REMEMBER:
             self.known.clear()
         new = set().union(*cut) - self.known.keys() if cut else set()
