@@ -1,7 +1,7 @@
 """Best-fit packing with certified bin counts.
 
 1. Texts become token ids; a document longer than a sequence is cut into whole sequences and a last piece.
-2. Pieces are dealt by a hash into groups of bounded size, and each group is packed best-fit decreasing.
+2. Pieces are dealt by length into groups of bounded size and like mixture, and each group is packed best-fit decreasing.
    Dual-feasible functions give a lower bound on any packing of the group; a group whose bin count meets
    it is certified and keeps its bins, all but its emptiest. A group with a gap keeps only its full bins.
 3. The documents of the bins that were given up meet in new, fewer groups and are packed again. This goes
@@ -194,9 +194,9 @@ def pack(items: DataFrame, capacity: int = CAPACITY, group: int = GROUP, rounds:
         last = groups == 1 or r == rounds - 1 or (before is not None and n > 0.9 * before)
         before = n
         names = rest.columns
-        # The group of a piece is drawn anew in each round, so gaps meet documents of other groups.
-        keyed = rest.withColumn("_g", F.pmod(F.xxhash64(F.lit(r), F.col("_u")), F.lit(groups)).cast("long"))
-
+        # Pieces are dealt out in order of length, so each group gets its share of long and short ones. _u makes the order the same in a task's second run.
+        dealt = rest.sortWithinPartitions("length", "_u")
+        keyed = dealt.withColumn("_g", F.pmod(F.monotonically_increasing_id(), F.lit(groups)).cast("long"))
         packed = stage(keyed.groupBy("_g").applyInPandas(_round(r, last, capacity), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + ", _done boolean"))
         done.append(packed.where("_done").drop("_done"))
         if last:
