@@ -32,7 +32,7 @@ BITS, SEGMENT = 1 << 26, 1 << 20
 #: Partial maps that are merged in the first of the two steps.
 FAN = 64
 #: Drop lists of so many lines at most are broadcast; longer ones are joined by shuffling both sides.
-BROADCAST_LINES = 2_000_000
+BROADCAST_LINES = 300_000
 
 _BLANK = b" \t\n\x0b\x0c\r"
 
