@@ -33,7 +33,7 @@ from corpusq.llm.common import small_batches
 SAMPLE, BITS, EPOCHS = 10_000, 18, 3
 #: Follow-the-regularised-leader: learning rate, its offset, and the two penalties.
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.05, 0.05
-REMEMBER = 500_000
+REMEMBER = 250_000
 
 _TOKEN = re.compile(r"[^\W_]+|[^\w\s]+|_+")
 

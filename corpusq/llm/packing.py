@@ -32,7 +32,7 @@ from corpusq.llm.common import byte_letters, small_batches, stage
 
 VOCABULARY, CAPACITY, END = "word_bpe_49k.json", 2048, 0
 #: Pieces of a group on average, rounds at most, and words that a worker remembers.
-GROUP, ROUNDS, REMEMBER = 2_000, 6, 1_200_000
+GROUP, ROUNDS, REMEMBER = 2_000, 6, 700_000
 
 _TAIL = b".,;:!?"
 _LETTERS = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
