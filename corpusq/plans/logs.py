@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HELPFUL, REFUSAL, UNANSWERED, TTFT_MS = 0.70, (0.10, 0.30), 0.15, 5000.0
@@ -57,3 +57,43 @@ def feedback(log: DataFrame, events: DataFrame) -> DataFrame:
     """query_id, feedback: the last vote of each logged query; none clears it (LOG7). events: query_id, value, ts, event_id."""
     last = events.groupBy("query_id").agg(F.max_by("value", F.struct("ts", "event_id")).alias("value"))
     return log.select("query_id").join(last, "query_id", "left").select("query_id", F.coalesce("value", F.lit("none")).alias("feedback"))
+
+
+def percentile(column: str, share: float, where: Column | None = None) -> Column:
+    """The linearly interpolated percentile (LOG2), of rows that meet a condition if one is given."""
+    return F.round(F.percentile(F.col(column) if where is None else F.when(where, F.col(column)), share), 6)
+
+
+STRONG, NOISE = 0.05, 1e-6
+
+
+def gaps(runs: DataFrame) -> DataFrame:
+    """query_id, gap, confidence (LOG6): why a question went unanswered, from the best scores of four retrievals.
+    runs: query_id, abstained, open_top, keyword_top, vector_top; null scores are 0."""
+    s = lambda c: F.coalesce(c, F.lit(0.0))
+    o, k, v = s("open_top"), s("keyword_top"), s("vector_top")
+    gap = (
+        F.when(~F.col("abstained"), "answer_gap").when(o <= NOISE, "content_gap").when((k > NOISE) & (v <= NOISE), "lexical_gap")
+        .when((v > NOISE) & (k <= NOISE), "semantic_gap").when(o >= STRONG, "threshold_gap").otherwise("ranking_gap")
+    )
+    return runs.select("query_id", gap.alias("gap"), F.when(gap == "ranking_gap", "low").otherwise("high").alias("confidence"))
+
+
+def load_summary(requests: DataFrame, by: list[str]) -> DataFrame:
+    """One row, or one for each group (LOG8, LOG9): ok, failed, truncated, requests a second, TTFT of answered ones. requests: at, status, ttft_ms, answered."""
+    ok = F.col("status") == "ok"
+    span = F.unix_micros(F.max("at")) - F.unix_micros(F.min("at"))
+    good = ok & F.col("answered")
+    return requests.groupBy(*by).agg(
+        F.count_if(ok).alias("ok"), F.count_if(F.col("status") == "failed").alias("failed"), F.count_if(F.col("status") == "truncated").alias("truncated"),
+        F.round(F.when(span > 0, F.count("*") / (span / 1e6)), 6).alias("rps"), percentile("ttft_ms", 0.5, good).alias("p50"), percentile("ttft_ms", 0.95, good).alias("p95"),
+        percentile("ttft_ms", 0.99, good).alias("p99"), F.round(F.avg(F.when(good, F.col("ttft_ms"))), 6).alias("mean"), F.max(F.when(good, F.col("ttft_ms"))).alias("most"), F.count_if(good).alias("answered"),
+    )
+
+
+def stage_profile(log: DataFrame, budgets: dict[str, float]) -> DataFrame:
+    """stage, n, p50, p95, most, mean, over_budget for each stage with a budget; stages without a row count 0 (LOG10). log: timings (map of stage to ms)."""
+    t = log.select(F.explode("timings").alias("stage", "ms")).groupBy("stage").agg(
+        F.count("ms").alias("n"), percentile("ms", 0.5).alias("p50"), percentile("ms", 0.95).alias("p95"), F.max("ms").alias("most"), F.round(F.avg("ms"), 6).alias("mean"))
+    b = log.sparkSession.createDataFrame([(k, float(v)) for k, v in budgets.items()], "stage string, budget double")
+    return F.broadcast(b).join(t, "stage", "left").na.fill(0, ["n"]).select("stage", "n", "p50", "p95", "most", "mean", (F.col("p95") > F.col("budget")).alias("over_budget"))

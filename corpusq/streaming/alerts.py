@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 WARN_MS, CRITICAL_MS = 4000, 5000
@@ -36,3 +36,9 @@ def silent_windows(log: DataFrame, minutes: int = 15) -> DataFrame:
     seen = log.select(F.window("created_at", f"{minutes} minutes").start.alias("bucket")).distinct()
     span = seen.agg(F.min("bucket").alias("a"), F.max("bucket").alias("b")).where("a is not null")  # one row
     return span.select(F.explode(F.expr(f"sequence(a, b, {width})")).alias("bucket")).join(seen, "bucket", "left_anti")
+
+
+def held(windows: DataFrame, width: str, times: int) -> DataFrame:
+    """Windows of an alert that follow `times` - 1 others without a gap (STR5). windows: bucket (timestamp), ..."""
+    before = F.lag("bucket", times - 1).over(Window.orderBy("bucket")) if times > 1 else F.col("bucket")
+    return windows.withColumn("first", before).where(F.col("first") == F.expr(f"bucket - {times - 1} * interval {width}")).drop("first")
