@@ -76,7 +76,7 @@ def test_chunks_follow_the_rule(spark):
         ("One. Two! Three", ["One.", "Two!", "Three"]),
         ("See e.g. This costs 3.5 now. J. Smith agrees.", ["See e.g. This costs 3.5 now.", "J. Smith agrees."]),
         ("Thirty days. [1] Next.[2][3] End", ["Thirty days. [1]", "Next.[2][3]", "End"]),
-        ('He said "no." Then left.', ['He said "no."', "Then left."]),
+        ('He said "stop." Then left. Item no. 5 too.', ['He said "stop."', "Then left.", "Item no. 5 too."]),
         ("a list\n\nmore. lower goes on", ["a list", "more. lower goes on"]),
         ("Wait... What", ["Wait...", "What"]),
         ("", []),
