@@ -137,8 +137,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int =
     return np.frombuffer(bytes(model[0].w), "<f4").astype(float) if model else np.zeros((1 << bits) + 1)
 
 
-def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """docs with score."""
+def score(docs: DataFrame, weights: np.ndarray, name: str = "score") -> DataFrame:
+    """docs with their score, in a column of that name."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(weights)
     bits = (len(weights) - 1).bit_length() - 1
@@ -151,10 +151,18 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
                 at, x = f.of(t)
                 dots.append(w[at] @ x + w[-1])
             p = 1.0 / (1.0 + np.exp(-np.clip(np.array(dots), -30, 30)))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64())], [*b.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64())], [*b.schema.names, name])
 
     schema = docs.schema.fields
-    return docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + ", score double")
+    return docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + f", `{name}` double")
+
+
+def accepted(docs: DataFrame, weights: np.ndarray, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs that score threshold or more; docs may have a column named score itself."""
+    name, taken = "score", {c.lower() for c in docs.columns}
+    while name in taken:
+        name = "_" + name
+    return score(docs, weights, name).where(F.col(name) >= threshold).drop(name)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
