@@ -12,7 +12,7 @@ from corpusq.llm.common import read, stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject (score 0.5 or more)."""
     weights = classifier.train(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
-    return classifier.score(docs, weights).where("score >= 0.5").select(*docs.columns)
+    return classifier.accepted(docs, weights)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
