@@ -301,3 +301,21 @@ def test_pipeline_stages(spark):
         seen.append(out.count())
     assert seen[0] > seen[1] >= seen[3] and seen[1] == seen[2]
     assert corpus_pipeline.run(spark, d).select("doc_id").distinct().count() == out.select("doc_id").distinct().count()
+
+
+def test_pipeline_stages_keep_clashing_columns(spark):
+    """Extra columns named like the operators' own results and helpers pass all stages; null and repeated rows don't stop them."""
+    import corpus_pipeline
+
+    d = "/root/testdata/sf0.001"
+    names = "score fp component_id label root lines n_lines n_dropped size source_size target times position d h u v node".split()
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    odd = docs.limit(3).unionByName(docs.limit(1).select(*[F.lit(None).cast(t).alias(c) for c, t in docs.dtypes]))
+    out = docs.unionByName(odd).withColumns({c: F.concat(F.lit("x"), F.col("doc_id").cast("string")) for c in names})
+    columns = out.columns
+    for _, f in corpus_pipeline.STAGES[:-1]:
+        out = corpus_pipeline.stage(f(spark, out, d))
+        assert out.columns == columns
+        assert out.where(F.col("doc_id").isNotNull() & ~F.col("score").eqNullSafe(F.concat(F.lit("x"), F.col("doc_id").cast("string")))).count() == 0
+    assert out.where("doc_id is not null").count() > 0
+    assert corpus_pipeline.pack(spark, out, d).count() > 0
