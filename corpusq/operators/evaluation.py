@@ -12,10 +12,12 @@ LEAST_SHARES = {"abstain": 0.20, "multiturn": 0.10, "identifier": 0.10}
 
 def nearest_rank(values: DataFrame, by: list[str], column: str, share: float) -> DataFrame:
     """by, value: the element at floor(n * share) of the sorted values, counted from 0, the last at most (EV7)."""
+    # Equal values are counted before the shuffle, so a group's window has one row for each distinct value.
+    c = values.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count("*").alias("c"))
     w = Window.partitionBy(*by)
-    v = values.where(F.col(column).isNotNull())
-    v = v.withColumn("r", F.row_number().over(w.orderBy(column))).withColumn("n", F.count("*").over(w))
-    return v.where(F.col("r") == F.least(F.floor(F.col("n") * share), F.col("n") - 1) + 1).select(*by, F.col(column).alias("value"))
+    c = c.withColumn("upto", F.sum("c").over(w.orderBy(column))).withColumn("n", F.sum("c").over(w))
+    at = F.least(F.floor(F.col("n") * share), F.col("n") - 1)
+    return c.where((F.col("upto") > at) & (F.col("upto") - F.col("c") <= at)).select(*by, F.col(column).alias("value"))
 
 
 def reference_id(text: Column) -> tuple[Column, Column]:
@@ -134,3 +136,9 @@ def generation(answers: DataFrame) -> DataFrame:
         F.count("*").alias("n"), share(F.count_if(g), F.count_if(can)).alias("groundedness_ref"), share(F.count_if(g & can), F.count_if(can)).alias("groundedness_strict"),
         share(F.sum("emitted"), marks).alias("resolvable_rate"), share(F.sum("stripped"), marks).alias("strip_rate"), F.round(F.avg(F.col("abstained").cast("double")), 9).alias("refusal_rate"),
     )
+
+
+def first_token_times(answers: DataFrame) -> DataFrame:
+    """category, ttft_p50, ttft_p95 by nearest rank (EV16). answers: category, ttft_ms (null where no token came)."""
+    at = lambda share, name: nearest_rank(answers, ["category"], "ttft_ms", share).withColumnRenamed("value", name)
+    return at(0.5, "ttft_p50").join(at(0.95, "ttft_p95"), "category")

@@ -314,3 +314,12 @@ def ev16_generation(spark, sf_dir):
     a = X.table(spark, sf_dir, "events").selectExpr("event_id as query_id", "event_type as category", "event_id % 5 = 0 as expect_abstain", "event_id % 3 > 0 as retrieved", "event_id % 4 = 0 as abstained",
         "event_id % 6 as emitted", "event_id % 2 as stripped", "event_id % 7 > 0 as supported")
     return evaluation.generation(a)
+
+
+_RANK = "list_sort(list(ttft_ms) filter (ttft_ms is not null))[1 + least(cast(floor(count(ttft_ms) * {0}) as bigint), count(ttft_ms) - 1)]"
+
+
+@query(f"""with a as (select event_type as category, case when event_id % 4 > 0 then cast(floor(value * 20) as integer) end as ttft_ms from events)
+    select category, {_RANK.format(0.5)} as ttft_p50, {_RANK.format(0.95)} as ttft_p95 from a group by 1""")
+def ev16_first_token_times(spark, sf_dir):
+    return evaluation.first_token_times(X.table(spark, sf_dir, "events").selectExpr("event_type as category", "case when event_id % 4 > 0 then cast(floor(value * 20) as int) end as ttft_ms"))

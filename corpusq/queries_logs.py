@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusq import fixtures as X
-from corpusq.operators import evaluation, intake, lifecycle
+from corpusq.operators import chunking, evaluation, ingest, intake, lifecycle
 from corpusq.plans import logs
 from corpusq.queries import LOG, QUERIES, REGISTRY, SQL, _named, query
+from corpusq.queries_text import outlined
 from corpusq.sources import streams
 from corpusq.streaming import alerts, stateful
 
@@ -259,3 +260,21 @@ def str7_str9_src6_ingest_stream(spark, sf_dir):
 def cit9_answer_stream(spark, sf_dir):
     c = streams.read_stream(spark, f"{sf_dir}/conversation[s].parquet").where("role = 'assistant'")
     return stateful_run(stateful.answer_sentences(c.select(F.col("conv_id").alias("query_id"), F.col("turn").alias("seq"), F.col("text").alias("delta"), F.lit(False).alias("done"))))
+
+
+@query()
+def str2_silence_stream(spark, sf_dir):
+    e = streams.read_stream(spark, f"{sf_dir}/event[s].parquet")
+    return stateful_run(stateful.silence_stream(e.select(F.col("event_type").alias("source"), F.col("ts").cast("timestamp").alias("created_at"))))
+
+
+@query()
+def lif6_ingest(spark, sf_dir):
+    """All documents against a registry that knows every fourth of them, in the states live, failed and deleted by turns."""
+    d = outlined(spark, sf_dir).withColumn("uploaded_at", F.timestamp_seconds("doc_id"))
+    sizes = {"target": 120, "overlap": 24, "least": 8}
+    old = d.where("doc_id % 4 = 0")
+    known = lifecycle.content_hash(chunking.chunk_documents(old, **sizes))
+    state = F.expr("element_at(array('live', 'failed', 'deleted'), cast(doc_id div 4 % 3 as int) + 1)")
+    registry = old.select("doc_id", state.alias("state"), "uploaded_at").join(known, "doc_id", "left")
+    return ingest.ingest(d, streams.written(registry, "registry"), **sizes).outcomes

@@ -120,6 +120,53 @@ def answer_sentences(deltas: DataFrame) -> DataFrame:
         _Sentences(), "query_id long, sent_idx int, sentence string", "append", "none")
 
 
+class _Silence(StatefulProcessor):
+    """State: a key's latest event, and whether the silence after it has been told."""
+
+    def __init__(self, minutes: int) -> None:
+        self.millis = minutes * 60_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.last = handle, handle.getValueState("last", "at long, told boolean")
+
+    def _rows(self, key, begins: list[int]) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], t) for t in begins], columns=["source", "at"])
+
+    def handleInputRows(self, key, rows, timers) -> Iterator[pd.DataFrame]:
+        times = (pd.concat(list(rows))["created_at"].astype("datetime64[ms]").astype("int64")).sort_values().tolist()
+        at, told = self.last.get() if self.last.exists() else (None, False)
+        if at is not None:
+            self.handle.deleteTimer(at + self.millis)
+        begins = []
+        for t in times:
+            if at is not None and t - at >= self.millis and not told:
+                begins.append(at)
+            if at is None or t > at:
+                at, told = t, False
+        self.last.update((int(at), bool(told)))
+        if not told:
+            self.handle.registerTimer(at + self.millis)
+        if begins:
+            yield self._rows(key, begins)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        at, told = self.last.get()
+        self.last.update((at, True))
+        if not told:
+            yield self._rows(key, [at])
+
+    def close(self) -> None:
+        pass
+
+
+def silence_stream(log: DataFrame, minutes: int = 15, late: str = "10 minutes") -> DataFrame:
+    """source, silent_from: the last event before each pause of that many minutes, told by an event-time timer when the watermark passes its end,
+    or by the next event (STR2). A source's state is one row. log: a stream of source (string), created_at."""
+    told = log.select("source", "created_at").withWatermark("created_at", late).groupBy("source").transformWithStateInPandas(
+        _Silence(minutes), "source string, at long", "append", "eventTime")
+    return told.select("source", F.timestamp_millis("at").alias("silent_from"))
+
+
 def deliveries(uploads: DataFrame, late: str = "1 day") -> DataFrame:
     """A stream of uploads without redelivered ones (DUP4): keys are kept until the watermark passes. uploads: doc_id, created_at, ..."""
     return uploads.withWatermark("created_at", late).dropDuplicatesWithinWatermark(["doc_id"])
