@@ -8,8 +8,10 @@
 3. Chrome goes. In plain blocks repeated runs go and unique runs stay. Main blocks stay (what repeats there is
    quoted or copied text) except a block that half of the host's pages repeat between different neighbours.
 
-A large host is dealt by a hash into shards of about SHARD pages, each with an array of its own: what counts as
-repeated is a share of the pages, which a hashed shard shows as well as the host.
+A large host is dealt by a hash into shards of about SHARD pages, each with an array of its own. What counts as
+repeated in plain blocks is decided by the pages of the whole host: every shard gives the pages of each of its runs,
+a run's pages are added up over the host's shards, and each shard removes by these sums. Only hosts with plain blocks
+need this. Half of a host's pages (for main blocks) is taken as half of a shard's.
 
 Defined cases: null or empty html gives an empty text; a null or odd url belongs to the host ''; null page_id
 and repeated rows give one output row per input row; other columns of the input are ignored.
@@ -25,13 +27,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusq.llm.common import small_batches, stage
 
-#: Words of a run; pages of a host that it must stand on, at least and as a share; the share for blocks of an article.
-RUN, PAGES, SHARE, SITE_PAGES, SITE_SHARE = 6, 3, 0.02, 10, 0.5
+#: Words of a run; pages of a host that it must stand on: a share of them, but PAGES at least, and MOST_PAGES are enough in any host; the same for blocks of an article.
+RUN, PAGES, SHARE, MOST_PAGES, SITE_PAGES, SITE_SHARE = 6, 3, 0.02, 10, 10, 0.5
 SHARD = 500
 #: Large hosts that are broadcast at most (a name and a number each); more are joined by shuffling.
 BROADCAST_HOSTS = 100_000
@@ -131,8 +133,8 @@ def blocks(page: str | None) -> list[tuple[str, str]]:
     return out
 
 
-def repeated(words: np.ndarray, page: np.ndarray, run: int) -> np.ndarray:
-    """For each place of the stream, on how many pages the most widespread run that covers it stands. words: numbers; each page ends with a number of its own."""
+def run_ranks(words: np.ndarray, page: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each place of the stream a number of the run that starts there, and on how many pages that run stands. words: numbers; each page ends with a number of its own."""
     n = len(words)
     rank, depth = words.astype(np.int64), 1
     while depth < run:  # ranks of suffixes by their first `depth` words, doubled until they reach `run`
@@ -144,15 +146,29 @@ def repeated(words: np.ndarray, page: np.ndarray, run: int) -> np.ndarray:
     order = np.lexsort((page, rank))
     r, p = rank[order], page[order]
     first_of_page = np.r_[True, (r[1:] != r[:-1]) | (p[1:] != p[:-1])]
-    pages = np.bincount(r, weights=first_of_page).astype(np.int64)[rank]
-    cover = pages.copy()
+    return rank, np.bincount(r, weights=first_of_page).astype(np.int64)[rank]
+
+
+def covered(of_run: np.ndarray, run: int) -> np.ndarray:
+    """For each place the largest value of the runs that cover it; of_run: by the place where a run starts."""
+    cover = of_run.copy()
     for s in range(1, run):
-        cover[s:] = np.maximum(cover[s:], pages[: n - s])
+        cover[s:] = np.maximum(cover[s:], of_run[: len(of_run) - s])
     return cover
 
 
-def main_texts(pages: list[list[tuple[str, str]]]) -> list[str]:
-    """Main text of each page of one host or shard."""
+def repeated(words: np.ndarray, page: np.ndarray, run: int) -> np.ndarray:
+    """For each place of the stream, on how many pages the most widespread run that covers it stands. words: numbers; each page ends with a number of its own."""
+    return covered(run_ranks(words, page, run)[1], run)
+
+
+def least_pages(pages: int) -> float:
+    """Pages of a host of so many pages from which a run counts as repeated in plain blocks."""
+    return min(MOST_PAGES, max(PAGES, SHARE * pages))
+
+
+def _stream(pages: list[list[tuple[str, str]]]) -> tuple[np.ndarray, np.ndarray, list[list[tuple[int, int]]], dict[str, int]]:
+    """Numbers of all words with a number of its own after each page, their pages, the places of each block, and the words' numbers."""
     numbers: dict[str, int] = {}
     stream, owner, spans = [], [], []
     for i, bs in enumerate(pages):
@@ -166,8 +182,53 @@ def main_texts(pages: list[list[tuple[str, str]]]) -> list[str]:
         stream.append(-1 - i)
     words = np.array(stream, np.int64)
     words[words < 0] = len(numbers) - 1 - words[words < 0]
-    cover = repeated(words, np.array(owner), RUN)
-    least, site = max(PAGES, SHARE * len(pages)), max(SITE_PAGES, SITE_SHARE * len(pages))
+    return words, np.array(owner), spans, numbers
+
+
+def _run_keys(words: np.ndarray, numbers: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """For each place a 64-bit hash of the words of the run that starts there, the same in all shards, and whether that run lies within a page."""
+    known = np.zeros(int(words.max()) + 1, np.uint64)
+    known[: len(numbers)] = pd.util.hash_array(np.array(list(numbers), dtype=object), categorize=False)
+    of_word, within = known[words], words < len(numbers)
+    n = max(0, len(words) - RUN + 1)
+    keys, inside = np.zeros(len(words), np.uint64), np.zeros(len(words), bool)
+    inside[:n] = True
+    for k in range(RUN):
+        keys[:n] = keys[:n] * np.uint64(0x9E3779B97F4A7C15) + of_word[k : k + n]
+        inside[:n] &= within[k : k + n]
+    return keys.view(np.int64), inside
+
+
+def shard_runs(pages: list[list[tuple[str, str]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each run of a shard once: its hash, its pages, and whether it touches a plain block."""
+    words, owner, spans, numbers = _stream(pages)
+    rank, count = run_ranks(words, owner, RUN)
+    keys, inside = _run_keys(words, numbers)
+    plain = np.zeros(len(words) + RUN, bool)
+    for bs, at in zip(pages, spans, strict=True):
+        for (role, _), (lo, hi) in zip(bs, at, strict=True):
+            plain[lo:hi] = role == "p"
+    touches = np.zeros(len(words), bool)
+    for k in range(RUN):
+        touches |= plain[k : k + len(words)]
+    used = np.zeros(int(rank.max()) + 1, bool)
+    used[rank[touches]] = True
+    _, first = np.unique(rank, return_index=True)
+    first = first[inside[first]]
+    return keys[first], count[first], used[rank[first]]
+
+
+def main_texts(pages: list[list[tuple[str, str]]], known: np.ndarray | None = None) -> list[str]:
+    """Main text of each page of one host or shard. known: for a shard of a larger host, hashes of its runs that the host repeats."""
+    words, owner, spans, numbers = _stream(pages)
+    count = run_ranks(words, owner, RUN)[1]
+    cover = covered(count, RUN)
+    if known is None:
+        gone = cover >= least_pages(len(pages))
+    else:
+        keys, inside = _run_keys(words, numbers)
+        gone = covered(inside & np.isin(keys, known), RUN)
+    site = max(SITE_PAGES, SITE_SHARE * len(pages))
     around: dict[str, tuple[set, set]] = defaultdict(lambda: (set(), set()))
     for i, bs in enumerate(pages):
         for k, (role, text) in enumerate(bs):
@@ -187,7 +248,7 @@ def main_texts(pages: list[list[tuple[str, str]]]) -> list[str]:
                     kept.append(text)
             elif role == "p":
                 plain.append(text)
-                stays = cover[lo:hi] < least
+                stays = ~gone[lo:hi]
                 if stays.any():
                     kept.append(text if stays.all() else " ".join(w for w, s in zip(text.split(" "), stays.tolist(), strict=True) if s))
         # A page of which nothing is unique is a copy of another page, not boilerplate.
@@ -202,22 +263,50 @@ def html_text(pages: DataFrame, shard: int = SHARD) -> DataFrame:
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][\w+.-]*://(?:[^/@]*@)?([^/:?#]*)", 1), F.lit("")))
     named = pages.select("page_id", "url", "html", host.alias("host"))
     # Hosts that need several shards: at most one for each SHARD pages. Few of them are broadcast, so html stays where it is.
-    large = stage(named.groupBy("host").agg(F.ceil(F.count("*") / shard).cast("int").alias("shards")).where("shards > 1"))
-    large = F.broadcast(large) if large.count() <= BROADCAST_HOSTS else large
-    dealt = named.join(large, "host", "left").withColumn("shard", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("shards", F.lit(1)).cast("long")).cast("int"))
+    large = stage(named.groupBy("host").agg(F.count("*").alias("host_pages")).withColumn("shards", F.ceil(F.col("host_pages") / shard).cast("int")).where("shards > 1"))
+    n_large = large.count()
+    sent = lambda df: F.broadcast(df) if n_large <= BROADCAST_HOSTS else df
+    dealt = named.join(sent(large), "host", "left").withColumn("shard", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("shards", F.lit(1)).cast("long")).cast("int"))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [blocks(x) for x in b.column(4).to_pylist()]
+            got = [blocks(x) for x in b.column(5).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [*b.columns[:4], pa.array(["".join(r for r, _ in x) for x in got], pa.string()), pa.array([[t for _, t in x] for x in got], pa.list_(pa.string()))],
-                ["page_id", "url", "host", "shard", "roles", "texts"],
+                [*b.columns[:5], pa.array(["".join(r for r, _ in x) for x in got], pa.string()), pa.array([[t for _, t in x] for x in got], pa.list_(pa.string()))],
+                ["page_id", "url", "host", "shard", "host_pages", "roles", "texts"],
             )
 
+    def parsed(df: DataFrame) -> DataFrame:
+        told = f"page_id {kind}, url string, host string, shard int, host_pages long, roles string, texts array<string>"
+        return df.select("page_id", "url", "host", "shard", "host_pages", "html").mapInArrow(parse, told)
+
+    def with_roles(df: pd.DataFrame) -> list[list[tuple[str, str]]]:
+        return [list(zip(r, t, strict=True)) for r, t in zip(df["roles"], df["texts"], strict=True)]
+
+    def texts(df: pd.DataFrame, known: np.ndarray | None) -> pd.DataFrame:
+        return pd.DataFrame({"page_id": df["page_id"], "url": df["url"], "text": main_texts(with_roles(df), known)})
+
+    def runs(df: pd.DataFrame) -> pd.DataFrame:
+        keys, count, plain = shard_runs(with_roles(df))
+        return pd.DataFrame({"host": df["host"].iloc[0], "shard": df["shard"].iloc[0], "host_pages": df["host_pages"].iloc[0], "run": keys, "pages": count, "plain": plain})
+
     def extract(df: pd.DataFrame) -> pd.DataFrame:
-        text = main_texts([list(zip(r, t, strict=True)) for r, t in zip(df["roles"], df["texts"], strict=True)])
-        return pd.DataFrame({"page_id": df["page_id"], "url": df["url"], "text": text})
+        return texts(df, None)
+
+    def extract_known(df: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        return texts(df, None if df["host_pages"].isna().iloc[0] else known["run"].to_numpy(np.int64))
 
-    parsed = dealt.select("page_id", "url", "host", "shard", "html").mapInArrow(parse, f"page_id {kind}, url string, host string, shard int, roles string, texts array<string>")
-    out = parsed.groupBy("host", "shard").applyInPandas(extract, f"page_id {kind}, url string, text string")
+    result = f"page_id {kind}, url string, text string"
+    by_shard = parsed(dealt).groupBy("host", "shard")
+    # Hosts of several shards with plain blocks: their runs' pages are added up over the shards.
+    with_plain = stage(parsed(dealt.where("shards > 1")).where(F.contains("roles", F.lit("p"))).select("host").distinct()) if n_large else None
+    if with_plain is None or with_plain.isEmpty():
+        out = by_shard.applyInPandas(extract, result)
+    else:
+        counted = parsed(dealt.where("shards > 1").join(sent(with_plain), "host", "left_semi")).groupBy("host", "shard")
+        counted = counted.applyInPandas(runs, "host string, shard int, host_pages long, run long, pages long, plain boolean")
+        counted = counted.withColumn("pages", F.sum("pages").over(Window.partitionBy("host", "run")))
+        least = F.least(F.lit(float(MOST_PAGES)), F.greatest(F.lit(float(PAGES)), SHARE * F.col("host_pages")))
+        known = stage(counted.where(F.col("plain") & (F.col("pages") >= least)).select("host", "shard", "run"))
+        out = by_shard.cogroup(known.groupBy("host", "shard")).applyInPandas(extract_known, result)
     return out.withColumn("n_chars", F.length("text").cast("long"))

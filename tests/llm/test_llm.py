@@ -272,6 +272,20 @@ def test_html_text(spark):
     assert all(got[10 + i].text == f"Only{i} this{i} page{i} has{i} these{i} words{i} here" for i in range(4))
 
 
+def test_runs_repeat_by_the_whole_host(spark):
+    """A large host loses what its pages repeat however the hash deals them: the same as with one shard; and runs on few of very many pages count."""
+    shared, rare = "Home News Sport Weather Contact About us here", "Call our hotline every day from nine to five"
+    page = lambda i: f"<body><div>{shared if i % 4 == 0 else ''}</div><div>{rare if i == 5 else ''}</div><div>Only{i} this{i} page{i} has{i} these{i} words{i} here</div></body>"
+    small = spark.createDataFrame([(i, "http://b.example/x", page(i)) for i in range(12)], "page_id long, url string, html string")
+    text = lambda df, **k: {r.page_id: r.text for r in html_text.html_text(df, **k).collect()}
+    assert text(small, shard=2) == text(small) and not any("Home" in t for t in text(small, shard=2).values())
+    hotline = lambda i: f"<body><div>{rare if i % 100 == 7 else ''}</div><div>Only{i} this{i} page{i} has{i} these{i} words{i} here</div></body>"
+    big = spark.createDataFrame([(i, "http://c.example/x", hotline(i)) for i in range(1200)] + [(5000, "http://d.example/", page(5))], "page_id long, url string, html string")
+    got = text(big)
+    assert len(got) == 1201 and got[7] == "Only7 this7 page7 has7 these7 words7 here" and got[5000].startswith("Call our hotline")
+    assert not any("hotline" in t for i, t in got.items() if i < 5000)
+
+
 def test_repeated_runs_against_brute_force():
     rng = np.random.default_rng(7)
     pages = [rng.integers(0, 3, 30).tolist() for _ in range(4)]
