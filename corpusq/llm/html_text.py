@@ -1,7 +1,8 @@
 """Main text of web pages: page structure, and a suffix array over the pages of a host.
 
 1. Pages are parsed into blocks of text with a role: main (inside article or main), chrome (menus, headers,
-   footers, sidebars, notices, adverts, forms, comments: by element, role or class name) or plain.
+   footers, sidebars, notices, adverts, forms, comments: by element, role or class name) or plain. Where main
+   blocks carry less than MAIN_SHARE of the words that are not chrome (teasers), they are plain ones too.
 2. The pages of a host are concatenated as streams of words, each page closed by a word of its own, and
    their suffixes are ordered by prefix doubling. Suffixes that agree in RUN words stand together; where they
    come from enough pages, these words are a repeated run.
@@ -34,6 +35,8 @@ from corpusq.llm.common import small_batches, stage
 
 #: Words of a run; pages of a host that it must stand on: a share of them, but PAGES at least, and MOST_PAGES are enough in any host; the same for blocks of an article.
 RUN, PAGES, SHARE, MOST_PAGES, SITE_PAGES, SITE_SHARE = 6, 3, 0.02, 10, 10, 0.5
+#: Share of a page's words outside chrome from which its main blocks are the article.
+MAIN_SHARE = 0.2
 SHARD = 500
 #: Large hosts that are broadcast at most (a name and a number each); more are joined by shuffling.
 BROADCAST_HOSTS = 100_000
@@ -48,25 +51,38 @@ CHROME_NAMES = set("""ad ads advert adverts advertisement advertising adsense sp
     notice notices alert popup modal overlay sidebar aside menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar toolbar
     comment comments respond reply replies disqus share sharing social related recommended recommendations subscribe subscription newsletter
     signup login widget widgets pagination pager skip""".split())
+#: Parts that a class name may have beside chrome names (site-footer, widget-area); with others (with-sidebar, main-widget) it says nothing.
+BESIDE = set("site page global list item items box block area section bar posts links buttons slot unit".split())
 VOID = {"br", "hr", "img", "input", "meta", "link", "source", "wbr", "area", "base", "col", "embed", "param", "track"}
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<(?P<raw>script|style|noscript|template|svg|iframe|object|canvas|textarea|select|title)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<(?P<raw>script|style|noscript|template|svg|iframe|object|canvas|textarea|select|title)(?=[\s/>])"
+    # Closed by "/>", unless that ends an unquoted value or stands in a quoted one.
+    r"(?:(?:\s*+[^\s\"'<>=/]++(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>]++))?+)*+\s*+/>|[^>]*>.*?(?:</(?P=raw)\s*>|\Z))"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][\w:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
     re.S | re.I,
 )
-_ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-_NAME = re.compile(r"[\s_-]+")
+_ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_PART = re.compile(r"[_-]+")
+
+
+def _names_chrome(value: str) -> bool:
+    """Whether one of the class names or ids consists of chrome names and parts that may stand beside them."""
+    for name in value.split():
+        parts = {x for x in _PART.split(name) if x}
+        if not CHROME_NAMES.isdisjoint(parts) and parts <= CHROME_NAMES | BESIDE:
+            return True
+    return False
 
 
 def _is_chrome(tag: str, attrs: str, in_main: bool) -> bool:
     if tag in CHROME or (tag == "header" and not in_main):
         return True
-    if not attrs or tag in ("body", "html", "article", "main") and "comment" not in attrs.lower():
+    if not attrs or tag in ("body", "html") or tag in ("article", "main") and "comment" not in attrs.lower():
         return False
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name in ("class", "id") and not CHROME_NAMES.isdisjoint(_NAME.split(value)):
+        if name in ("class", "id") and _names_chrome(value):
             return True
         if name == "role" and value in CHROME_ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
             return True
@@ -76,7 +92,7 @@ def _is_chrome(tag: str, attrs: str, in_main: bool) -> bool:
 
 
 def blocks(page: str | None) -> list[tuple[str, str]]:
-    """(role, text) of the page's blocks in their order; role: m(ain), c(hrome), p(lain). A page with main blocks has no plain ones: they are chrome."""
+    """(role, text) of the page's blocks in their order; role: m(ain), c(hrome), p(lain). A page has no plain blocks beside main ones: either they are chrome, or all are plain."""
     out: list[tuple[str, str]] = []
     now: list[str] = []
     main, chrome, chrome_tag, in_head = 0, 0, "", False
@@ -128,8 +144,12 @@ def blocks(page: str | None) -> list[tuple[str, str]]:
     if at < len(page):
         now.append(html.unescape(page[at:]))
     close()
-    if any(r == "m" for r, _ in out):
-        out = [("c" if r == "p" else r, t) for r, t in out]
+    size = {"m": 0, "p": 0, "c": 0}
+    for r, t in out:
+        size[r] += t.count(" ") + 1
+    if size["m"] and size["p"]:
+        was, now_is = ("p", "c") if size["m"] >= MAIN_SHARE * (size["m"] + size["p"]) else ("m", "p")
+        out = [(now_is if r == was else r, t) for r, t in out]
     return out
 
 

@@ -272,6 +272,21 @@ def test_html_text(spark):
     assert all(got[10 + i].text == f"Only{i} this{i} page{i} has{i} these{i} words{i} here" for i in range(4))
 
 
+def test_html_structure_keeps_articles():
+    """Wrappers named after what they have beside the text, teasers, self-closed elements and attributes that only look like hidden cost no text."""
+    kept = lambda page: " ".join(t for r, t in html_text.blocks(page) if r != "c")
+    for name in ("content with-sidebar", "has-sidebar", "main-widget", "no-banner"):
+        assert kept(f"<body><div class='{name}'><p>The story</p></div></body>") == "The story"
+    for name in ("sidebar", "site-footer", "x cookie-banner", "related_posts", "widget-area"):
+        assert kept(f"<article><p>The story</p><div class='{name}'>Other</div></article>") == "The story"
+    story = "one two three four five six seven eight nine ten " * 2
+    assert kept(f"<div>{story}</div><article>Teaser card</article>") == f"{story}Teaser card"
+    assert kept(f"<div>Other here</div><article>{story}</article>") == story.strip()
+    assert kept("<article>One <svg class='a'/> two <iframe/> three <svg><text>no</text></svg> four</article>") == "One two three four"
+    assert kept("<article>One <iframe src=/a/>no</iframe> two <iframe srcdoc='<br/>no'>no</iframe> three</article>") == "One two three"
+    assert kept("<article><p data-hidden='false'>One</p><p title='hidden gem'>two</p><p hidden>no</p><p aria-hidden='true'>no</p></article>") == "One two"
+
+
 def test_runs_repeat_by_the_whole_host(spark):
     """A large host loses what its pages repeat however the hash deals them: the same as with one shard; and runs on few of very many pages count."""
     shared, rare = "Home News Sport Weather Contact About us here", "Call our hotline every day from nine to five"
