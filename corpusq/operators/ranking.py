@@ -2,23 +2,36 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusq.functions import text as T
 from corpusq.operators.keyword import top
+from corpusq.sources.streams import shared_path
 
-#: Query tables up to this size are sent to all tasks; larger ones are cut into blocks by the caller.
+#: Query tables up to this size are sent to all tasks; larger ones are dealt into blocks of at most about this size.
 MOST_QUERIES = 10_000
 
 
 def cosine_top(queries: DataFrame, corpus: DataFrame, k: int = 10, digits: int = 9) -> DataFrame:
-    """query_id, chunk_id, score, rank (VEC2). queries: query_id, vector (at most MOST_QUERIES rows); corpus: chunk_id, vector."""
-    n = queries.limit(MOST_QUERIES + 1).count()
-    if n > MOST_QUERIES:
-        raise ValueError("cut the queries into blocks")
-    pairs = corpus.crossJoin(F.broadcast(queries.select("query_id", F.col("vector").alias("q"))))
-    return top(pairs.select("query_id", "chunk_id", F.round(T.cosine(F.col("q"), F.col("vector")), digits).alias("score")), k)
+    """query_id, chunk_id, score, rank (VEC2). queries: query_id, vector, of any number; corpus: chunk_id, vector.
+
+    Blocks of queries meet the corpus one after the other, and their results are written to the shared folder; a query's rows are in one block."""
+
+    def best(some: DataFrame) -> DataFrame:
+        pairs = corpus.crossJoin(F.broadcast(some.select("query_id", F.col("vector").alias("q"))))
+        return top(pairs.select("query_id", "chunk_id", F.round(T.cosine(F.col("q"), F.col("vector")), digits).alias("score")), k)
+
+    if queries.limit(MOST_QUERIES + 1).count() <= MOST_QUERIES:
+        return best(queries)
+    # Hashed blocks differ a little in size.
+    blocks = math.ceil(queries.count() / (0.9 * MOST_QUERIES))
+    path = shared_path(queries.sparkSession, "cosine")
+    for b in range(blocks):
+        best(queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)).write.mode("append").parquet(path)
+    return queries.sparkSession.read.parquet(path)
 
 
 def fuse(lists: DataFrame, k: int = 60) -> DataFrame:

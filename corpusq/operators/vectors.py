@@ -56,14 +56,16 @@ def embed(chunks: DataFrame, model: Callable[[list[str]], list[list[float]]], ba
     return chunks.select("chunk_id", told.alias("input")).mapInPandas(run, f"chunk_id {kind}, vector array<double>")
 
 
-def approximate_top(queries: DataFrame, corpus: DataFrame, k: int = 10, distance: float = 1.6, tables: int = 8, bucket: float = 1.5, seed: int = 7) -> DataFrame:
+def approximate_top(queries: DataFrame, corpus: DataFrame, k: int = 10, distance: float = 1.6, tables: int = 8, bucket: float = 1.5, seed: int = 7, others: bool = False) -> DataFrame:
     """query_id, chunk_id, score, rank (VEC3): candidates share a bucket of random projections of unit vectors; cosines are exact.
 
-    `distance` is between unit vectors: |a - b|^2 = 2 - 2 cos. Buckets, not the tables, bound the pairs."""
+    `distance` is between unit vectors: |a - b|^2 = 2 - 2 cos. Buckets, not the tables, bound the pairs. others: queries are rows of the corpus, and each meets all but itself."""
     unit = lambda df: df.where(norm(F.col("vector")) > 0).withColumn("features", array_to_vector(F.transform("vector", lambda x: x.cast("double") / norm(F.col("vector")))))
     q, c = unit(queries).select("query_id", "features"), unit(corpus).select("chunk_id", "features")
     lsh = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=seed).fit(c)
     near = lsh.approxSimilarityJoin(q, c, distance, distCol="d")
+    if others:
+        near = near.where(F.col("datasetA.query_id") != F.col("datasetB.chunk_id"))
     return top(near.select("datasetA.query_id", "datasetB.chunk_id", F.round(1 - F.col("d") * F.col("d") / 2, 6).alias("score")), k)
 
 

@@ -170,7 +170,7 @@ WIDTH = 64
 @query()
 def vec3_approximate(spark, sf_dir):
     e = X.table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
-    return vectors.approximate_top(e.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), e.where("vec_id % 50 <> 0").withColumnRenamed("vec_id", "chunk_id"))
+    return vectors.approximate_top(e.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), e.withColumnRenamed("vec_id", "chunk_id"), others=True)
 
 
 _HEX = "cast(('0x' || substring(sha256(token), {0}, {1})) as bigint)"

@@ -112,6 +112,27 @@ def test_approximate_search_finds_most(spark):
     assert len(exact & near) >= 0.9 * len(exact)
 
 
+def test_exact_search_of_many_queries(spark, monkeypatch):
+    """More queries than one block holds give the same rows."""
+    from corpusq.operators import ranking
+
+    e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select("vec_id", F.col("embedding").alias("vector")).where("vec_id < 60")
+    q, c = e.withColumnRenamed("vec_id", "query_id"), e.withColumnRenamed("vec_id", "chunk_id")
+    expected = sorted(map(tuple, ranking.cosine_top(q, c, 3).collect()))
+    monkeypatch.setattr(ranking, "MOST_QUERIES", 25)
+    assert sorted(map(tuple, ranking.cosine_top(q, c, 3).collect())) == expected and len(expected) == 3 * q.count()
+
+
+def test_approximate_search_meets_other_query_rows(spark, tmp_path):
+    from corpusq import queries_text
+
+    rows = [(i, [1.0 + i % 50, 2.0, 3.0 * (i % 7)], 0) for i in range(51)]
+    rows[50] = (50, rows[0][1], 0)
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r.query_id, r.chunk_id): r["rank"] for r in queries_text.vec3_approximate(spark, str(tmp_path)).collect()}
+    assert got[0, 50] == got[50, 0] == 1 and (0, 0) not in got and (50, 50) not in got
+
+
 def test_uploads_and_clients(spark):
     rows = [("../a\\b.PDF", 5), ("...", 5), ("x.exe", 5), ("y.md", 0), ("z.txt", 26 * 1024 * 1024), (None, 1)]
     got = intake.admit_uploads(spark.createDataFrame([(1, *r) for r in rows], "batch_id int, raw_name string, size long")).collect()
