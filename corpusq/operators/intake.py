@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from corpusq.functions import structure as S
 from corpusq.functions import text as T
@@ -106,8 +108,19 @@ def html_text(pages: DataFrame, key: str = "page_id") -> DataFrame:
     return pages.select(key, "html").mapInPandas(run, f"{key} {dict(pages.dtypes)[key]}, text string")
 
 
+def composed(text: Column) -> Column:
+    """text in Unicode's composed form (NFC); only non-ASCII texts go to Python."""
+
+    @pandas_udf("string")
+    def nfc(t: pd.Series) -> pd.Series:
+        return t.map(lambda x: x if x is None else unicodedata.normalize("NFC", x))
+
+    return F.coalesce(nfc(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
+
+
 def extracted(files: DataFrame) -> DataFrame:
     """files (filename, text, ...) with clean text and error_reason: unsupported, no text, only noise (TXT3)."""
+    files = files.withColumn("text", composed(F.col("text")))
     clean = T.clean_text(F.col("text"))
     reason = F.when(extension(F.col("filename")).isNull(), "unsupported").when(S.strip(F.coalesce("text", F.lit(""))) == "", "no text").when(clean == "", "only noise")
     return files.withColumn("error_reason", reason).withColumn("text", F.when(F.col("error_reason").isNull(), clean))

@@ -133,6 +133,12 @@ def test_approximate_search_meets_other_query_rows(spark, tmp_path):
     assert got[0, 50] == got[50, 0] == 1 and (0, 0) not in got and (50, 50) not in got
 
 
+def test_extracted_texts_are_composed(spark):
+    rows = [(1, "a.md", "Cafe\u0301 U\u0308ber"), (2, "b.md", "plain"), (3, "c.md", None)]
+    got = {r.doc_id: r.text for r in intake.extracted(spark.createDataFrame(rows, "doc_id long, filename string, text string")).collect()}
+    assert got == {1: "Caf\u00e9 \u00dcber", 2: "plain", 3: None}
+
+
 def test_uploads_and_clients(spark):
     rows = [("../a\\b.PDF", 5), ("...", 5), ("x.exe", 5), ("y.md", 0), ("z.txt", 26 * 1024 * 1024), (None, 1)]
     got = intake.admit_uploads(spark.createDataFrame([(1, *r) for r in rows], "batch_id int, raw_name string, size long")).collect()
