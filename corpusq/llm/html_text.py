@@ -1,18 +1,21 @@
-"""Main text of web pages: page structure, and a suffix array over the pages of a host.
+"""Main text of web pages: a suffix array over the pages of a host, and page structure.
 
 1. Pages are parsed into blocks of text with a role: main (inside article or main), chrome (menus, headers,
    footers, sidebars, notices, adverts, forms, comments: by element, role or class name) or plain. Where main
    blocks carry less than MAIN_SHARE of the words that are not chrome (teasers), they are plain ones too.
-2. The pages of a host are concatenated as streams of words, each page closed by a word of its own, and
-   their suffixes are ordered by prefix doubling. Suffixes that agree in RUN words stand together; where they
-   come from enough pages, these words are a repeated run.
-3. Chrome goes. In plain blocks repeated runs go and unique runs stay. Main blocks stay (what repeats there is
-   quoted or copied text) except a block that half of the host's pages repeat between different neighbours.
-
-A large host is dealt by a hash into shards of about SHARD pages, each with an array of its own. What counts as
-repeated in plain blocks is decided by the pages of the whole host: every shard gives the pages of each of its runs,
-a run's pages are added up over the host's shards, and each shard removes by these sums. Only hosts with plain blocks
-need this. Half of a host's pages (for main blocks) is taken as half of a shard's.
+2. The words outside main blocks of a host's distinct pages (pages with equal blocks are one) are concatenated,
+   each page closed by a word of its own, and put into a suffix array with the lengths of common prefixes (LCP).
+   Neighbours with an LCP of RUN words or more form an interval: a run that stands on the interval's pages. A run
+   on enough distinct pages of its host is boilerplate; its words go, whatever block they stand in, and unique
+   runs stay. Longer common substrings need no search of their own: each word of one lies in a run of RUN words
+   that stands on at least as many pages. So the array is ordered by DEPTH words, a power of two from RUN on.
+3. Of what is unique, structure takes chrome. Main blocks stay, what repeats there is quoted or copied text,
+   except a block that half of the host's distinct pages have between different neighbours.
+
+A large host is dealt by a hash of its pages' blocks into shards of SHARD bytes of words, each with an array of its
+own. Every shard gives the pages of each of its runs, and these are added up over the host, so shards change no
+result. Html is never shuffled while the boilerplate runs of all hosts are few enough to be broadcast; beyond
+BROADCAST_RUNS pages meet the runs of their host in groups of bounded size.
 
 Defined cases: null or empty html gives an empty text; a null or odd url belongs to the host ''; null page_id
 and repeated rows give one output row per input row; other columns of the input are ignored.
@@ -22,24 +25,27 @@ from __future__ import annotations
 
 import html
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusq.llm.common import small_batches, stage
 
 #: Words of a run; pages of a host that it must stand on: a share of them, but PAGES at least, and MOST_PAGES are enough in any host; the same for blocks of an article.
 RUN, PAGES, SHARE, MOST_PAGES, SITE_PAGES, SITE_SHARE = 6, 3, 0.02, 10, 10, 0.5
+#: Words that suffixes are ordered by.
+DEPTH = 8
 #: Share of a page's words outside chrome from which its main blocks are the article.
 MAIN_SHARE = 0.2
-SHARD = 500
-#: Large hosts that are broadcast at most (a name and a number each); more are joined by shuffling.
-BROADCAST_HOSTS = 100_000
+#: Bytes of words that one suffix array covers, about.
+SHARD = 4 << 20
+#: Runs (8 bytes each) and large hosts (two numbers each) that are broadcast at most; more are joined by shuffling.
+BROADCAST_RUNS, BROADCAST_HOSTS = 4_000_000, 100_000
 
 #: Elements whose content is no text, that end a block, and that hold what is not the article.
 RAW = ["script", "style", "noscript", "template", "svg", "iframe", "object", "canvas", "textarea", "select", "title", "head"]
@@ -47,12 +53,12 @@ BLOCK = set("""address article aside blockquote body br button caption center dd
     h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul""".split())
 CHROME = {"nav", "footer", "aside", "form", "button", "menu", "dialog"}
 CHROME_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar"}
-CHROME_NAMES = set("""ad ads advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion banner cookie cookies consent gdpr
-    notice notices alert popup modal overlay sidebar aside menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar toolbar
-    comment comments respond reply replies disqus share sharing social related recommended recommendations subscribe subscription newsletter
-    signup login widget widgets pagination pager skip""".split())
-#: Parts that a class name may have beside chrome names (site-footer, widget-area); with others (with-sidebar, main-widget) it says nothing.
-BESIDE = set("site page global list item items box block area section bar posts links buttons slot unit".split())
+#: Class names and ids: some mean chrome alone or beside neutral parts (site-footer), some only beside one (related_posts, not related); with others (with-sidebar) they say nothing.
+CHROME_NAMES = set("""ad ads advert adverts advertisement advertising adsense sponsored cookie cookies consent gdpr sidebar nav navbar navigation breadcrumb
+    breadcrumbs footer masthead comment comments disqus newsletter pagination""".split())
+UNSURE_NAMES = set("""sponsor sponsors promo promotion alert popup modal overlay aside menu topbar toolbar respond reply replies share sharing social related
+    recommended recommendations subscribe subscription signup login widget widgets pager skip""".split())
+BESIDE = set("site page global list item items box block area section bar banner notice notices posts links buttons slot unit".split())
 VOID = {"br", "hr", "img", "input", "meta", "link", "source", "wbr", "area", "base", "col", "embed", "param", "track"}
 
 _TOKEN = re.compile(
@@ -70,7 +76,8 @@ def _names_chrome(value: str) -> bool:
     """Whether one of the class names or ids consists of chrome names and parts that may stand beside them."""
     for name in value.split():
         parts = {x for x in _PART.split(name) if x}
-        if not CHROME_NAMES.isdisjoint(parts) and parts <= CHROME_NAMES | BESIDE:
+        sure, unsure, beside = parts & CHROME_NAMES, parts & UNSURE_NAMES, parts & BESIDE
+        if len(sure) + len(unsure) + len(beside) == len(parts) and (sure or unsure and beside):
             return True
     return False
 
@@ -153,180 +160,216 @@ def blocks(page: str | None) -> list[tuple[str, str]]:
     return out
 
 
-def run_ranks(words: np.ndarray, page: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each place of the stream a number of the run that starts there, and on how many pages that run stands. words: numbers; each page ends with a number of its own."""
+def suffix_array(words: np.ndarray, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the stream ordered by the `depth` words from them on, and how many of these words each has in common with the place before it. Prefix doubling; depth: a power of two."""
     n = len(words)
-    rank, depth = words.astype(np.int64), 1
-    while depth < run:  # ranks of suffixes by their first `depth` words, doubled until they reach `run`
-        step = min(depth, run - depth)
-        after = np.full(n, -1, np.int64)
-        after[: n - step] = rank[step:]
-        _, rank = np.unique(rank * (rank.max() + after.max() + 2) + after + 1, return_inverse=True)
-        depth += step
-    order = np.lexsort((page, rank))
-    r, p = rank[order], page[order]
-    first_of_page = np.r_[True, (r[1:] != r[:-1]) | (p[1:] != p[:-1])]
-    return rank, np.bincount(r, weights=first_of_page).astype(np.int64)[rank]
-
-
-def covered(of_run: np.ndarray, run: int) -> np.ndarray:
-    """For each place the largest value of the runs that cover it; of_run: by the place where a run starts."""
-    cover = of_run.copy()
-    for s in range(1, run):
-        cover[s:] = np.maximum(cover[s:], of_run[: len(of_run) - s])
-    return cover
-
-
-def repeated(words: np.ndarray, page: np.ndarray, run: int) -> np.ndarray:
-    """For each place of the stream, on how many pages the most widespread run that covers it stands. words: numbers; each page ends with a number of its own."""
-    return covered(run_ranks(words, page, run)[1], run)
+    ranks = [np.unique(words, return_inverse=True)[1]]
+    while 1 << (len(ranks) - 1) < depth:
+        step, last = 1 << (len(ranks) - 1), ranks[-1]
+        after = np.zeros(n, np.int64)
+        after[: n - step] = last[step:] + 1
+        ranks.append(np.unique(last * (last.max() + 2) + after, return_inverse=True)[1])
+    order = np.argsort(ranks[-1], kind="stable")
+    lcp, here, before = np.zeros(n, np.int64), order[1:].copy(), order[:-1].copy()
+    for k in range(len(ranks) - 1, -1, -1):
+        r = np.append(ranks[k], [-1, -2])  # places past the end are like none
+        same = (lcp[1:] + (1 << k) <= depth) & (r[np.minimum(here, n)] == r[np.where(before < n, before, n + 1)])
+        for x in (lcp[1:], here, before):
+            x[same] += 1 << k
+    return order, lcp
+
+
+def runs(words: np.ndarray, page: np.ndarray, run: int = RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Intervals of the suffix array with an LCP of at least `run`: for each place its interval; for each interval one of its places and its pages. words: numbers; each page ends with a number of its own."""
+    order, lcp = suffix_array(words, 1 << (run - 1).bit_length())
+    interval = np.cumsum(lcp < run) - 1
+    of_place = np.empty(len(words), np.int64)
+    of_place[order] = interval
+    by_page = np.unique(interval * (page.max() + 1) + page[order])
+    pages = np.bincount(by_page // (page.max() + 1))
+    return of_place, order[np.flatnonzero(lcp < run)], pages
+
+
+def covered(starts: np.ndarray, run: int = RUN) -> np.ndarray:
+    """Whether each place lies in one of the runs that start at the marked places."""
+    ends = np.zeros(len(starts) + run, np.int64)
+    at = np.flatnonzero(starts)
+    ends[at] += 1
+    ends[at + run] -= 1
+    return np.cumsum(ends)[: len(starts)] > 0
 
 
 def least_pages(pages: int) -> float:
-    """Pages of a host of so many pages from which a run counts as repeated in plain blocks."""
+    """Distinct pages of a host of so many from which a run is boilerplate."""
     return min(MOST_PAGES, max(PAGES, SHARE * pages))
 
 
-def _stream(pages: list[list[tuple[str, str]]]) -> tuple[np.ndarray, np.ndarray, list[list[tuple[int, int]]], dict[str, int]]:
-    """Numbers of all words with a number of its own after each page, their pages, the places of each block, and the words' numbers."""
+def stream(texts: list[list[str]], hosts: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All words of all pages as numbers, a number of its own after each page; their pages; for each place a hash of the host and the RUN words from it on, and whether these lie within a page."""
     numbers: dict[str, int] = {}
-    stream, owner, spans = [], [], []
-    for i, bs in enumerate(pages):
-        at = []
-        for _, text in bs:
-            ws = text.split(" ")
-            at.append((len(stream), len(stream) + len(ws)))
-            stream += [numbers.setdefault(w, len(numbers)) for w in ws]
-        spans.append(at)
-        owner += [i] * (len(stream) + 1 - len(owner))
-        stream.append(-1 - i)
-    words = np.array(stream, np.int64)
-    words[words < 0] = len(numbers) - 1 - words[words < 0]
-    return words, np.array(owner), spans, numbers
-
-
-def _run_keys(words: np.ndarray, numbers: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """For each place a 64-bit hash of the words of the run that starts there, the same in all shards, and whether that run lies within a page."""
-    known = np.zeros(int(words.max()) + 1, np.uint64)
-    known[: len(numbers)] = pd.util.hash_array(np.array(list(numbers), dtype=object), categorize=False)
-    of_word, within = known[words], words < len(numbers)
+    of, size = [], []
+    for page in texts:
+        was = len(of)
+        for text in page:
+            of += [numbers.setdefault(w, len(numbers)) for w in text.split(" ")]
+        of.append(-1)
+        size.append(len(of) - was)
+    words, page = np.array(of, np.int64), np.repeat(np.arange(len(texts)), size)
+    within = words >= 0
+    words[~within] = len(numbers) + np.arange(len(texts))
+    hashes = np.append(pd.util.hash_array(np.array(list(numbers), dtype=object), categorize=False) if numbers else np.zeros(0, np.uint64), np.zeros(len(texts), np.uint64))[words]
     n = max(0, len(words) - RUN + 1)
     keys, inside = np.zeros(len(words), np.uint64), np.zeros(len(words), bool)
     inside[:n] = True
     for k in range(RUN):
-        keys[:n] = keys[:n] * np.uint64(0x9E3779B97F4A7C15) + of_word[k : k + n]
+        keys[:n] = keys[:n] * np.uint64(0x9E3779B97F4A7C15) + hashes[k : k + n]
         inside[:n] &= within[k : k + n]
-    return keys.view(np.int64), inside
-
-
-def shard_runs(pages: list[list[tuple[str, str]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each run of a shard once: its hash, its pages, and whether it touches a plain block."""
-    words, owner, spans, numbers = _stream(pages)
-    rank, count = run_ranks(words, owner, RUN)
-    keys, inside = _run_keys(words, numbers)
-    plain = np.zeros(len(words) + RUN, bool)
-    for bs, at in zip(pages, spans, strict=True):
-        for (role, _), (lo, hi) in zip(bs, at, strict=True):
-            plain[lo:hi] = role == "p"
-    touches = np.zeros(len(words), bool)
-    for k in range(RUN):
-        touches |= plain[k : k + len(words)]
-    used = np.zeros(int(rank.max()) + 1, bool)
-    used[rank[touches]] = True
-    _, first = np.unique(rank, return_index=True)
-    first = first[inside[first]]
-    return keys[first], count[first], used[rank[first]]
-
-
-def main_texts(pages: list[list[tuple[str, str]]], known: np.ndarray | None = None) -> list[str]:
-    """Main text of each page of one host or shard. known: for a shard of a larger host, hashes of its runs that the host repeats."""
-    words, owner, spans, numbers = _stream(pages)
-    count = run_ranks(words, owner, RUN)[1]
-    cover = covered(count, RUN)
-    if known is None:
-        gone = cover >= least_pages(len(pages))
-    else:
-        keys, inside = _run_keys(words, numbers)
-        gone = covered(inside & np.isin(keys, known), RUN)
-    site = max(SITE_PAGES, SITE_SHARE * len(pages))
-    around: dict[str, tuple[set, set]] = defaultdict(lambda: (set(), set()))
-    for i, bs in enumerate(pages):
-        for k, (role, text) in enumerate(bs):
-            lo, hi = spans[i][k]
-            if role == "m" and hi - lo >= RUN and cover[lo] >= site:
-                before, after = around[text]
-                before.add(bs[k - 1][1] if k else None)
-                after.add(bs[k + 1][1] if k + 1 < len(bs) else None)
+    keys = (keys ^ np.array(hosts, np.int64).view(np.uint64)[page]) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return words, page, (keys ^ keys >> np.uint64(29)).view(np.int64), inside
+
+
+def _hash(*texts: str) -> int:
+    h = xxhash.xxh64(seed=3)
+    for t in texts:
+        h.update(t.encode("utf-8", "replace") + b"\0")
+    return h.intdigest() - (1 << 63)
+
+
+def main_keys(page: list[tuple[str, str]], host: int) -> list[tuple[int, int, int]]:
+    """(key, neighbour before, neighbour after) of the main blocks of RUN words or more, each block once; key: a hash of the host and the text; neighbours: hashes, 0 at either end of the article."""
+    mains = [t for r, t in page if r == "m"]
+    side = lambda i: _hash(mains[i]) if 0 <= i < len(mains) else 0
+    return [(_hash(str(host), t), side(i - 1), side(i + 1)) for t, i in {t: i for i, t in reversed([*enumerate(mains)])}.items() if t.count(" ") + 1 >= RUN]
+
+
+def main_texts(pages: list[list[tuple[str, str]]], hosts: list[int], known: np.ndarray) -> list[tuple[str, int, int]]:
+    """Main text of each page, blocks that repeated runs took whole, and blocks that structure took. known: sorted keys of the boilerplate runs and main blocks."""
+    _, page, keys, inside = stream([[t for r, t in p if r != "m"] for p in pages], hosts)
+
+    def in_known(x: np.ndarray) -> np.ndarray:
+        return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x if len(known) else np.zeros(len(x), bool)
+
+    gone = covered(inside & in_known(keys))
+    first = np.searchsorted(page, np.arange(len(pages)))
     out = []
     for i, bs in enumerate(pages):
-        kept, plain = [], []
-        for k, (role, text) in enumerate(bs):
-            lo, hi = spans[i][k]
+        kept, plain, by_run, by_mark, at = [], [], 0, 0, int(first[i])
+        boiler = {}
+        if len(known) and any(r == "m" for r, _ in bs):
+            ms = [k for k, _, _ in main_keys(bs, hosts[i])]
+            boiler = {k for k, hit in zip(ms, in_known(np.array(ms, np.int64)).tolist(), strict=True) if hit}
+        for role, text in bs:
             if role == "m":
-                sides = around.get(text)
-                if not (sides and (cover[lo:hi] >= site).all() and min(map(len, sides)) >= site / 2):
+                if boiler and text.count(" ") + 1 >= RUN and _hash(str(hosts[i]), text) in boiler:
+                    by_run += 1
+                else:
                     kept.append(text)
-            elif role == "p":
+                continue
+            size = text.count(" ") + 1
+            taken = gone[at : at + size]
+            at += size
+            if taken.all():
+                by_run += 1
+            elif role == "c":
+                by_mark += 1
+            elif not taken.any():
+                kept.append(text)
+            else:
+                kept.append(" ".join(w for w, t in zip(text.split(" "), taken.tolist(), strict=True) if not t))
+            if role == "p":
                 plain.append(text)
-                stays = ~gone[lo:hi]
-                if stays.any():
-                    kept.append(text if stays.all() else " ".join(w for w, s in zip(text.split(" "), stays.tolist(), strict=True) if s))
-        # A page of which nothing is unique is a copy of another page, not boilerplate.
-        out.append(" ".join(kept or plain))
+        # A page of which nothing is unique is a copy of other pages, not boilerplate.
+        if not kept and plain:
+            kept, by_run = plain, by_run - len(plain)
+        out.append((" ".join(kept), by_run, by_mark))
     return out
 
 
-def html_text(pages: DataFrame, shard: int = SHARD) -> DataFrame:
-    """page_id, url, text, n_chars."""
-    small_batches(pages.sparkSession)
-    kind = dict(pages.dtypes)["page_id"]
+def _hosted(pages: DataFrame) -> DataFrame:
+    """page_id, url, html and host: a hash of the url's host name."""
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][\w+.-]*://(?:[^/@]*@)?([^/:?#]*)", 1), F.lit("")))
-    named = pages.select("page_id", "url", "html", host.alias("host"))
-    # Hosts that need several shards: at most one for each SHARD pages. Few of them are broadcast, so html stays where it is.
-    large = stage(named.groupBy("host").agg(F.count("*").alias("host_pages")).withColumn("shards", F.ceil(F.col("host_pages") / shard).cast("int")).where("shards > 1"))
-    n_large = large.count()
-    sent = lambda df: F.broadcast(df) if n_large <= BROADCAST_HOSTS else df
-    dealt = named.join(sent(large), "host", "left").withColumn("shard", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("shards", F.lit(1)).cast("long")).cast("int"))
-
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = [blocks(x) for x in b.column(5).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns[:5], pa.array(["".join(r for r, _ in x) for x in got], pa.string()), pa.array([[t for _, t in x] for x in got], pa.list_(pa.string()))],
-                ["page_id", "url", "host", "shard", "host_pages", "roles", "texts"],
-            )
-
-    def parsed(df: DataFrame) -> DataFrame:
-        told = f"page_id {kind}, url string, host string, shard int, host_pages long, roles string, texts array<string>"
-        return df.select("page_id", "url", "host", "shard", "host_pages", "html").mapInArrow(parse, told)
-
-    def with_roles(df: pd.DataFrame) -> list[list[tuple[str, str]]]:
-        return [list(zip(r, t, strict=True)) for r, t in zip(df["roles"], df["texts"], strict=True)]
-
-    def texts(df: pd.DataFrame, known: np.ndarray | None) -> pd.DataFrame:
-        return pd.DataFrame({"page_id": df["page_id"], "url": df["url"], "text": main_texts(with_roles(df), known)})
-
-    def runs(df: pd.DataFrame) -> pd.DataFrame:
-        keys, count, plain = shard_runs(with_roles(df))
-        return pd.DataFrame({"host": df["host"].iloc[0], "shard": df["shard"].iloc[0], "host_pages": df["host_pages"].iloc[0], "run": keys, "pages": count, "plain": plain})
-
-    def extract(df: pd.DataFrame) -> pd.DataFrame:
-        return texts(df, None)
-
-    def extract_known(df: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        return texts(df, None if df["host_pages"].isna().iloc[0] else known["run"].to_numpy(np.int64))
-
-    result = f"page_id {kind}, url string, text string"
-    by_shard = parsed(dealt).groupBy("host", "shard")
-    # Hosts of several shards with plain blocks: their runs' pages are added up over the shards.
-    with_plain = stage(parsed(dealt.where("shards > 1")).where(F.contains("roles", F.lit("p"))).select("host").distinct()) if n_large else None
-    if with_plain is None or with_plain.isEmpty():
-        out = by_shard.applyInPandas(extract, result)
+    return pages.select("page_id", "url", "html", F.xxhash64(host).alias("host"))
+
+
+def _side_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, html) to (host, content, words, mains): a hash of all blocks, the words outside main blocks, and the keys of main blocks."""
+    for b in batches:
+        rows = []
+        for host, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            bs = blocks(page)
+            mains = [{"key": k, "before": x, "after": y} for k, x, y in main_keys(bs, host)]
+            rows.append((host, _hash(*[r + t for r, t in bs]), " ".join(t for r, t in bs if r != "m"), mains))
+        cols = list(zip(*rows, strict=True)) or [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.list_(_MAIN)), strict=True)], ["host", "content", "words", "mains"])
+
+
+_MAIN = pa.struct([("key", pa.int64()), ("before", pa.int64()), ("after", pa.int64())])
+
+
+def _shard_runs(df: pd.DataFrame) -> pd.DataFrame:
+    """The runs of one shard: key, pages of the shard; pages of the host. Runs that can't become boilerplate are left out where the shard is the whole host."""
+    host, n = int(df["host"].iloc[0]), df["host_pages"].iloc[0]
+    words, page, keys, inside = stream([[t] if t else [] for t in df["words"]], [host] * len(df))
+    _, place, pages = runs(words, page)
+    ok = inside[place] & (pages >= (least_pages(len(df)) if pd.isna(n) else 1))
+    return pd.DataFrame({"host": host, "key": keys[place[ok]], "pages": pages[ok], "host_pages": len(df) if pd.isna(n) else int(n)})
+
+
+def boilerplate(pages: DataFrame, shard: int = SHARD) -> DataFrame:
+    """host and key of the runs outside main blocks, and of the main blocks, that are boilerplate."""
+    seen = _hosted(pages).select("host", "html").mapInArrow(_side_words, "host long, content long, words string, mains array<struct<key:long,before:long,after:long>>")
+    # Copies of a page are one page; they are dropped before they are shuffled.
+    seen = stage(seen.dropDuplicates(["host", "content"]))
+    hosts = stage(seen.groupBy("host").agg(F.count("*").alias("host_pages"), F.ceil(F.sum(F.length("words")) / shard).cast("int").alias("shards")))
+    large = hosts.where("shards > 1")
+    dealt = seen.join(F.broadcast(large) if large.count() <= BROADCAST_HOSTS else large, "host", "left")
+    dealt = dealt.withColumn("shard", F.pmod("content", F.coalesce("shards", F.lit(1)).cast("long")))
+    counted = dealt.select("host", "shard", "words", "host_pages").groupBy("host", "shard").applyInPandas(_shard_runs, "host long, key long, pages long, host_pages long")
+    least = F.least(F.lit(float(MOST_PAGES)), F.greatest(F.lit(float(PAGES)), SHARE * F.max("host_pages")))
+    found = counted.groupBy("host", "key").agg(F.sum("pages").alias("n"), least.alias("least")).where("n >= least").select("host", "key")
+    # Main blocks on half of a host's pages: few by their nature, at most twice a page's blocks.
+    site = F.greatest(F.lit(float(SITE_PAGES)), SITE_SHARE * F.col("host_pages"))
+    mains = seen.select("host", F.explode("mains").alias("m")).select("host", "m.*")
+    often = mains.select("host", "key").groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") >= SITE_PAGES)
+    often = stage(often.join(hosts, "host").where(F.col("n") >= site).select("host", "key", site.alias("site")))
+    if not often.isEmpty():
+        sides = mains.join(often, ["host", "key"]).groupBy("host", "key", "site").agg(F.count_distinct("before").alias("b"), F.count_distinct("after").alias("a"))
+        found = found.unionByName(sides.where("least(a, b) >= site / 2").select("host", "key"))
+    return stage(found)
+
+
+def html_text(pages: DataFrame, shard: int = SHARD, broadcast_runs: int = BROADCAST_RUNS) -> DataFrame:
+    """page_id, url, text, n_chars, n_run_blocks (blocks that repeated runs took whole), n_mark_blocks (blocks that structure took)."""
+    spark = pages.sparkSession
+    small_batches(spark)
+    known = boilerplate(pages, shard)
+    kind = dict(pages.dtypes)["page_id"]
+    result = f"page_id {kind}, url string, text string, n_run_blocks int, n_mark_blocks int"
+    hosted = _hosted(pages)
+
+    def columns(htmls: list, hosts: list[int], keys: np.ndarray) -> list:
+        return list(zip(*main_texts([blocks(x) for x in htmls], hosts, keys), strict=True)) or [[]] * 3
+
+    if known.count() <= broadcast_runs:
+        shared = spark.sparkContext.broadcast(np.sort(known.select("key").toPandas()["key"].to_numpy(np.int64)))
+
+        def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                text, run, mark = columns(b.column(2).to_pylist(), b.column(3).to_pylist(), shared.value)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(text, pa.string()), pa.array(run, pa.int32()), pa.array(mark, pa.int32())], ["page_id", "url", "text", "n_run_blocks", "n_mark_blocks"])
+
+        out = hosted.mapInArrow(extract, result)
     else:
-        counted = parsed(dealt.where("shards > 1").join(sent(with_plain), "host", "left_semi")).groupBy("host", "shard")
-        counted = counted.applyInPandas(runs, "host string, shard int, host_pages long, run long, pages long, plain boolean")
-        counted = counted.withColumn("pages", F.sum("pages").over(Window.partitionBy("host", "run")))
-        least = F.least(F.lit(float(MOST_PAGES)), F.greatest(F.lit(float(PAGES)), SHARE * F.col("host_pages")))
-        known = stage(counted.where(F.col("plain") & (F.col("pages") >= least)).select("host", "shard", "run"))
-        out = by_shard.cogroup(known.groupBy("host", "shard")).applyInPandas(extract_known, result)
-    return out.withColumn("n_chars", F.length("text").cast("long"))
+
+        def extract_group(df: pd.DataFrame, keys: pd.DataFrame) -> pd.DataFrame:
+            text, run, mark = columns(df["html"].tolist(), df["host"].tolist(), np.sort(keys["key"].to_numpy(np.int64)))
+            return pd.DataFrame({"page_id": df["page_id"], "url": df["url"].astype(object), "text": pd.Series(text, dtype=object), "n_run_blocks": run, "n_mark_blocks": mark})
+
+        # Pages of a host are dealt into groups of about `shard` bytes of html; its runs go to each of them.
+        parts = hosted.groupBy("host").agg(F.ceil((F.sum(F.length(F.coalesce("html", F.lit("")))) + 1) / shard).cast("int").alias("parts"))
+        parts = stage(parts.where("parts > 1"))
+        parts = F.broadcast(parts) if parts.count() <= BROADCAST_HOSTS else parts
+        dealt = hosted.join(parts, "host", "left").withColumn("part", F.pmod(F.xxhash64("page_id", "url", "html"), F.coalesce("parts", F.lit(1)).cast("long")))
+        to_all = known.join(parts, "host", "left").select("host", "key", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)).cast("long") - 1)).alias("part"))
+        out = dealt.drop("parts").groupBy("host", "part").cogroup(to_all.groupBy("host", "part")).applyInPandas(extract_group, result)
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_run_blocks", "n_mark_blocks")

@@ -301,20 +301,94 @@ def test_runs_repeat_by_the_whole_host(spark):
     assert not any("hotline" in t for i, t in got.items() if i < 5000)
 
 
-def test_repeated_runs_against_brute_force():
-    rng = np.random.default_rng(7)
-    pages = [rng.integers(0, 3, 30).tolist() for _ in range(4)]
-    stream, owner = [], []
+def long_repeats(pages, run, least):
+    """Places of all words that lie in some substring of run words or more, of any length, that stands on enough pages."""
+    on = defaultdict(set)
+    for i, p in enumerate(pages):
+        for a in range(len(p)):
+            for b in range(a + run, len(p) + 1):
+                on[tuple(p[a:b])].add(i)
+    out = [[False] * len(p) for p in pages]
     for i, p in enumerate(pages):
-        stream += [*p, 100 + i]
-        owner += [i] * (len(p) + 1)
-    got = html_text.repeated(np.array(stream), np.array(owner), 5)
-    n = len(stream)
-    at = defaultdict(set)
-    for i in range(n):
-        at[tuple(stream[i : i + 5])].add(owner[i])
-    expected = [max(len(at[tuple(stream[j : j + 5])]) for j in range(max(0, i - 4), i + 1)) for i in range(n)]
-    assert got.tolist() == expected
+        for a in range(len(p)):
+            for b in range(a + run, len(p) + 1):
+                if len(on[tuple(p[a:b])]) >= least:
+                    out[i][a:b] = [True] * (b - a)
+    return out
+
+
+def test_suffix_array_against_brute_force():
+    rng = np.random.default_rng(7)
+    words = rng.integers(0, 3, 200)
+    order, lcp = html_text.suffix_array(words, 8)
+    key = [words[i : i + 8].tolist() for i in range(200)]
+    assert [key[i] for i in order] == sorted(key)
+    common = lambda a, b: next((k for k in range(min(len(a), len(b))) if a[k] != b[k]), min(len(a), len(b)))
+    assert lcp.tolist() == [0] + [common(key[order[i - 1]], key[order[i]]) for i in range(1, 200)]
+
+
+def test_runs_cover_all_long_repeats():
+    rng = np.random.default_rng(7)
+    pages = [rng.integers(0, 3, 30).tolist() for _ in range(5)]
+    words, page, _, _ = html_text.stream([[" ".join(map(str, p))] for p in pages], [1] * 5)
+    for run, least in ((5, 2), (6, 2), (5, 3)):
+        of, _, n = html_text.runs(words, page, run)
+        got = html_text.covered((n[of] >= least) & (words < 3), run)
+        assert [x for i in range(5) for x in got[page == i][:30].tolist()] == [x for p in long_repeats(pages, run, least) for x in p]
+
+
+def test_html_text_query_against_brute_force(spark):
+    """Hosts of pages made of menus, notices and stories, with and without an article element; whole html_text() in one shard, in many shards, and without a broadcast."""
+    rng = np.random.default_rng(11)
+    word = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 400, n))
+    parts = {h: [word(9), word(5), word(12), word(7)] for h in range(3)}
+    rows, blocks = [], []
+    for i in range(90):
+        h = i % 3
+        tops = [str(x) for x in rng.choice(parts[h], rng.integers(0, 3), replace=False)]
+        story, end = [word(int(n)) for n in rng.integers(4, 30, 3)], [parts[h][0]] if i % 2 else []
+        art = i % 5 < 2 or h == 2
+        if h == 2 and i % 4:
+            story.insert(1, "this line stands inside of very many stories here")
+        rows.append((i, f"https://h{h}.example/{i}", "".join(f"<div>{t}</div>" for t in tops) + ("<article>" if art else "") + "".join(f"<p>{t}</p>" for t in story) + ("</article>" if art else "") + "".join(f"<nav>{t}</nav>" for t in end)))
+        blocks.append([("c" if art else "p", t) for t in tops] + [("m" if art else "p", t) for t in story] + [("c", t) for t in end])
+    rows += [rows[4], rows[4], rows[4]]
+    blocks += [blocks[4]] * 3
+    expected, boilers = [], 0
+    for h in range(3):
+        mine = [i for i in range(len(rows)) if rows[i][0] % 3 == h]
+        distinct = {str(blocks[i]): i for i in mine}
+        seen = sorted(distinct.values())
+        side = {i: [w for r, t in blocks[i] if r != "m" for w in t.split()] for i in mine}
+        gone = dict(zip(seen, long_repeats([side[i] for i in seen], 6, min(10, max(3, 0.02 * len(seen)))), strict=True))
+        mains = {i: [t for r, t in blocks[i] if r == "m"] for i in mine}
+        around = defaultdict(list)
+        for i in seen:
+            for t in set(mains[i]):
+                k = mains[i].index(t)
+                around[t].append((mains[i][k - 1] if k else None, mains[i][k + 1] if k + 1 < len(mains[i]) else None))
+        most = max(10, len(seen) / 2)
+        boiler = {t for t, x in around.items() if len(t.split()) >= 6 and len(x) >= most and min(len({a for a, _ in x}), len({b for _, b in x})) >= most / 2}
+        boilers += len(boiler)
+        for i in mine:
+            marks, at, kept = gone[distinct[str(blocks[i])]], 0, []
+            for r, t in blocks[i]:
+                ws = t.split()
+                if r == "m":
+                    kept += [] if t in boiler else [t]
+                    continue
+                stay = [w for w, g in zip(ws, marks[at : at + len(ws)], strict=True) if not g]
+                at += len(ws)
+                if r == "p" and stay:
+                    kept.append(" ".join(stay))
+            kept = kept or [t for r, t in blocks[i] if r == "p"]
+            expected.append((rows[i][0], rows[i][1], " ".join(kept), len(" ".join(kept))))
+    assert boilers == 1
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    for options in ({}, {"shard": 300}, {"shard": 300, "broadcast_runs": 0}):
+        got = html_text.html_text(df, **options)
+        assert sorted(tuple(r)[:4] for r in got.collect()) == sorted(expected), options
+        assert got.agg(F.sum("n_run_blocks")).first()[0] > 50
 
 
 def test_pipeline_stages(spark):
