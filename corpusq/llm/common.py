@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes that one Arrow batch may carry to a Python worker.
@@ -45,7 +45,10 @@ def stage(df: DataFrame) -> DataFrame:
     """Writes df as a table in the shared folder and reads it again: later jobs start from files that outlive any executor."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/corpusq-{uuid.uuid4().hex}"
+    # Deleted when the driver ends: results may be read until then.
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
     df.write.parquet(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     out = spark.read.schema(df.schema).parquet(path)
     out._corpusq_path = path
     return out
@@ -60,6 +63,24 @@ def discard(df: DataFrame) -> None:
         at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before those that df has already."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def row_hash(df: DataFrame) -> list[Column]:
+    """Two 64-bit hashes of a whole row; equal rows have equal ones. Maps, which have no hash, are left out."""
+    cols = [F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    nulls = F.concat(*[F.when(c.isNull(), "1").otherwise("0") for c in cols])
+    return [F.xxhash64(F.lit(seed), nulls, *cols) for seed in (1, 2)]
+
+
 def lower_ascii(col):
     """A-Z lower-cased, other letters left as they are."""
     return F.translate(col, UPPER, LOWER)
