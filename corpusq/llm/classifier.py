@@ -33,7 +33,8 @@ from corpusq.llm.common import small_batches
 SAMPLE, BITS, EPOCHS = 10_000, 18, 3
 #: Follow-the-regularised-leader: learning rate, its offset, and the two penalties.
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.05, 0.05
-REMEMBER = 250_000
+#: Words that a worker remembers, and how long they may be.
+REMEMBER, LONGEST = 250_000, 64
 
 _TOKEN = re.compile(r"[^\W_]+|[^\w\s]+|_+")
 
@@ -48,15 +49,17 @@ class Features:
     def _hash(self, w: str) -> tuple[int, int]:
         shape = ("A" if w.isupper() and len(w) > 1 else "a" if w.isalpha() else "0" if w.isalnum() else "#") + str(min(len(w), 20) // 2)
         out = xxhash.xxh64_intdigest(w.lower().encode("utf-8", "replace"), 7), xxhash.xxh64_intdigest(shape, 11)
-        self.known[w] = out
+        # What is remembered is bounded in bytes too.
+        if len(w) <= LONGEST:
+            if len(self.known) >= REMEMBER:
+                self.known.clear()
+            self.known[w] = out
         return out
 
     def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         words = _TOKEN.findall(text or "")
         if not words:
             return np.zeros(0, np.int64), np.zeros(0)
-        if len(self.known) > REMEMBER:
-            self.known.clear()
         get, add = self.known.get, self._hash
         h = np.array([get(w) or add(w) for w in words], np.uint64)
         one, shape = h[:, 0], h[:, 1]
@@ -106,20 +109,21 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int =
     part = min(1.0, sample / max(n, 1))
     known = known.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 20)) < int(part * (1 << 20)))
     # The sample's size is bounded by `sample`, so its ids may be broadcast; texts stay where they are.
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).join(F.broadcast(known), "doc_id").select("doc_id", "text", "quality", "h")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = features_of(bits)
         for b in batches:
             got = [f.of(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), pa.array([a.astype(np.int32) for a, _ in got], pa.list_(pa.int32())), pa.array([x.astype(np.float32) for _, x in got], pa.list_(pa.float32()))],
-                ["doc_id", "quality", "at", "x"],
+                [b.column(0), b.column(2), b.column(3), pa.array([a.astype(np.int32) for a, _ in got], pa.list_(pa.int32())), pa.array([x.astype(np.float32) for _, x in got], pa.list_(pa.float32()))],
+                ["doc_id", "quality", "h", "at", "x"],
             )
 
     def fit(df: pd.DataFrame) -> pd.DataFrame:
         model = Leader(bits)
-        df = df.sort_values("doc_id")
+        # Rows that repeat a doc_id have an order of their own, so every run learns alike.
+        df = df.sort_values(["doc_id", "h", "quality"], kind="stable")
         at, x, y = df["at"].tolist(), df["x"].tolist(), df["quality"].tolist()
         # Both labels weigh the same: the rarer one is shown more often.
         times = {v: max(1, round(len(y) / 2 / max(1, y.count(v)))) for v in (0, 1)}
@@ -132,7 +136,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int =
         return pd.DataFrame({"w": [w.astype("<f4").tobytes()]})
 
     kind = dict(docs.dtypes)["doc_id"]
-    got = rows.mapInArrow(vectors, f"doc_id {kind}, quality {dict(labels.dtypes)['quality']}, at array<int>, x array<float>")
+    got = rows.mapInArrow(vectors, f"doc_id {kind}, quality {dict(labels.dtypes)['quality']}, h long, at array<int>, x array<float>")
     model = got.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(fit, "w binary").collect()
     return np.frombuffer(bytes(model[0].w), "<f4").astype(float) if model else np.zeros((1 << bits) + 1)
 
