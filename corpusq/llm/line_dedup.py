@@ -10,7 +10,8 @@
 
 Defined cases: null or empty text is one empty line and its kept text is empty; rows with equal doc_id count
 as one document when documents are counted, and each gives an output row; a null doc_id counts as one more
-document, smaller than all others; other columns of the input are kept by line_dedup() and ignored by digest().
+document, smaller than all others; other columns of the input, however they are named, are kept by line_dedup()
+(but its own n_lines and n_dropped take the place of columns of these names) and ignored by digest().
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusq.llm.common import small_batches, stage
+from corpusq.llm.common import small_batches, stage, unused
 
 MIN_CHARS, MIN_DOCS = 20, 3
 #: Bits of either filter: 8 MB each when packed. SEGMENT bits travel in one row.
@@ -170,19 +171,23 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = M
     return gone.groupBy("d", "h").agg(F.flatten(F.collect_set("lines")).alias("lines"))
 
 
-def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, bits: int = BITS, keep: str = "max") -> DataFrame:
-    """docs with text replaced by the kept lines, and n_lines and n_dropped added."""
+def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, bits: int = BITS, keep: str = "max", counts: bool = True) -> DataFrame:
+    """docs with text replaced by the kept lines; with counts, n_lines and n_dropped are added."""
     gone = stage(dropped_lines(docs, min_chars, min_docs, bits, keep))
     n = gone.select(F.sum(F.size("lines"))).first()[0] or 0
-    gone = gone.select(F.col("d").alias("_d"), F.col("h").alias("_h"), F.col("lines").alias("_gone"))
+    doc, text_hash, lines, own = unused(docs, "d", "h", "lines", "own")
+    gone = gone.select(F.col("d").alias(doc), F.col("h").alias(text_hash), F.col("lines").alias(lines))
     gone = F.broadcast(gone) if n <= BROADCAST_LINES else gone
-    out = docs.withColumn("_x", F.xxhash64("text")).join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_x") == F.col("_h")), "left")
-    out = out.withColumn("_l", F.split(F.coalesce("text", F.lit("")), "\n", -1))
-    kept = F.when(F.col("_gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(
-        F.array_join(F.filter("_l", lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    )
-    out = out.withColumns({"text": kept, "n_lines": F.size("_l").cast("long"), "n_dropped": F.coalesce(F.size("_gone"), F.lit(0)).cast("long")})
-    return out.drop("_x", "_d", "_h", "_gone", "_l")
+    out = docs.withColumn(own, F.xxhash64("text")).join(gone, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(own) == F.col(text_hash)), "left")
+    text = F.coalesce("text", F.lit(""))
+    split = F.split(text, "\n", -1)
+    stay = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(lines))
+    kept = F.when(F.col(lines).isNull(), text).otherwise(F.array_join(F.transform(stay, lambda i: F.get(split, i)), "\n"))
+    new = {"text": kept}
+    if counts:
+        new |= {"n_lines": F.size(split).cast("long"), "n_dropped": F.coalesce(F.size(lines), F.lit(0)).cast("long")}
+    names = docs.columns + [c for c in new if c.lower() not in {x.lower() for x in docs.columns}]
+    return out.withColumns(new).select(*[f"`{c}`" for c in names])
 
 
 def digest(docs: DataFrame) -> DataFrame:
