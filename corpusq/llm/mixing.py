@@ -15,7 +15,7 @@ Running sums take two steps, so that no source is one task: sums of hash buckets
 
 Defined cases: null or empty text has size 0 and is never counted against a target; a null source is a source of
 its own, after all others; null doc_id and repeated rows give one output row per input row; sources of size 0 have target 0;
-other columns of the input are kept by mix() if their names do not clash with its results.
+other columns of the input, however they are named, are kept by mixed() and ignored by mix().
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusq.llm.common import WORD, stage
+from corpusq.llm.common import WORD, row_hash, stage, unused
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MOST = 1.5, 2.0
@@ -34,7 +34,9 @@ SLOPES = (0.5, 0.0, -0.5)
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
+    """doc_id, source, size, and the row's hashes row1 and row2."""
+    h1, h2 = row_hash(docs)
+    return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), h1.alias("row1"), h2.alias("row2"))
 
 
 def targets(by_source: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -71,46 +73,44 @@ def position(at: F.Column, slope: F.Column):
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """docs without text, with size, source_size, target, times, taken and position of the first pass (null where it is not taken); _middle and _slope serve mixed()."""
-    base = stage(sizes(docs).withColumns({"_o": F.md5(F.col("doc_id").cast("string")), "_t": F.xxhash64("text")}).drop("text"))
-    by_source = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_n"))
-    goal = stage(targets(by_source.select("source", "source_size"), weights, share, most))
-    n = base.count()
-    buckets = max(1, min(1 << 24, n // BUCKET_ROWS))
-    rows = base.withColumn("_b", F.floor(F.conv(F.substring(F.coalesce("_o", F.lit("0")), 1, 7), 16, 10).cast("double") / float(1 << 28) * buckets).cast("int"))
+    """doc_id, source, size, source_size, target, times, taken and position of the first pass (null where it is not taken); row1, row2, middle and slope serve mixed()."""
+    base = stage(sizes(docs).withColumn("order", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("row "), F.hex("row1"))))))
+    by_source = base.groupBy("source").agg(F.sum("size").alias("source_size"))
+    goal = stage(targets(by_source, weights, share, most))
+    buckets = max(1, min(1 << 24, base.count() // BUCKET_ROWS))
+    rows = base.withColumn("bucket", F.floor(F.conv(F.substring("order", 1, 7), 16, 10).cast("double") / float(1 << 28) * buckets).cast("int"))
     # First step: one row for each source and bucket. Second: inside a bucket.
-    one = rows.groupBy("source", "_b").agg(F.sum("size").alias("_s"))
-    w = Window.partitionBy("source").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    one = one.select(F.col("source").alias("_so"), F.col("_b").alias("_bb"), F.coalesce(F.sum("_s").over(w), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("source", "_b").orderBy(F.col("_o").asc_nulls_first(), "doc_id", "_t")
-    rows = rows.withColumn("_in", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.join(one, F.col("source").eqNullSafe(F.col("_so")) & (F.col("_b") == F.col("_bb")), "left").drop("_so", "_bb")
-    g = goal.select(F.col("source").alias("_so"), "source_size", "target", "slope")
-    rows = rows.join(g, F.col("source").eqNullSafe(F.col("_so")), "left").drop("_so")
-    start = F.col("_before") + F.col("_in") - F.col("size")
+    one = rows.groupBy("source", "bucket").agg(F.sum("size").alias("s"))
+    w = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    one = one.select(F.col("source").alias("of"), F.col("bucket").alias("number"), F.coalesce(F.sum("s").over(w), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("source", "bucket").orderBy("order", "doc_id", "row1", "row2")
+    rows = rows.withColumn("within", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.join(one, F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("number")), "left").drop("of", "number")
+    g = goal.select(F.col("source").alias("of"), "source_size", "target", "slope")
+    rows = rows.join(g, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
+    start = F.col("before") + F.col("within") - F.col("size")
     # In pass p the document starts at start + p * source_size; it is taken if its middle lies below the target.
     middle = start + F.col("size") / 2
     times = F.when((F.col("size") == 0) | (F.col("source_size") == 0), 0).otherwise(
         F.least(F.lit(int(most)), F.greatest(F.lit(0), F.ceil((F.col("target") - middle) / F.col("source_size")))).cast("int")
     )
-    rows = rows.withColumn("times", times)
-    at = F.least(F.lit(1.0), middle / F.col("target"))
+    rows = rows.withColumns({"times": times, "middle": middle})
+    at = F.least(F.lit(1.0), F.col("middle") / F.col("target"))
     rows = rows.withColumns({"taken": F.col("times") * F.col("size"), "position": F.when(F.col("times") > 0, position(at, F.col("slope")))})
-    return rows.withColumnsRenamed({"slope": "_slope"}).withColumn("_middle", middle).drop("_o", "_t", "_b", "_before", "_in")
+    return rows.select("doc_id", "source", "size", "source_size", "target", "times", "taken", "position", "row1", "row2", "middle", "slope")
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix as training reads it: docs' columns, each row once for each time it is taken, at the position of that pass, range-sorted.
 
-    Sums and positions are made from ids and sizes; texts are shuffled once to their places.
+    Sums and positions are made from ids and sizes. Whole rows are shuffled twice: once to meet their positions, once to their places.
     """
-    names = docs.columns
-    keyed = docs.withColumn("_h", F.xxhash64(*names))
-    plan = mix(keyed.select("doc_id", "source", "text", "_h"), **options).where("times > 0").select(F.col("doc_id").alias("_d"), "_h", "times", "_middle", "source_size", "target", "_slope")
-    plan = plan.withColumn("_p", F.explode(F.sequence(F.lit(0), F.col("times") - 1)))
-    at = F.least(F.lit(1.0), (F.col("_middle") + F.col("_p") * F.col("source_size")) / F.col("target"))
-    plan = plan.select("_d", F.col("_h").alias("_k"), position(at, F.col("_slope")).alias("_at"))
-    # Equal rows stand once on this side and once for each of them in the plan.
-    once = keyed.dropDuplicates(["doc_id", "_h"])
-    out = once.join(plan, (F.col("_h") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_d")))
-    return out.orderBy("_at", "doc_id").select(*names)
+    plan = mix(docs, **options).where("times > 0").withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("times") - 1)))
+    at = F.least(F.lit(1.0), (F.col("middle") + F.col("pass") * F.col("source_size")) / F.col("target"))
+    one, two, to1, to2, place = unused(docs, "row1", "row2", "to1", "to2", "place")
+    plan = plan.select(F.col("row1").alias(to1), F.col("row2").alias(to2), position(at, F.col("slope")).alias(place))
+    # Equal rows stand once on this side and once for each of them in the plan. The join's keys are those of the sorting out, so both take one shuffle.
+    h1, h2 = row_hash(docs)
+    once = docs.withColumns({one: h1, two: h2}).dropDuplicates([one, two])
+    out = once.join(plan, (F.col(one) == F.col(to1)) & (F.col(two) == F.col(to2)))
+    return out.orderBy(place, one, two).select(*[f"`{c}`" for c in docs.columns])
