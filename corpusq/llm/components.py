@@ -15,14 +15,18 @@ from corpusq.llm.common import discard, stage
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
     """links: u > v. Large: larger neighbours go to the smallest of a node's neighbours and itself. Small: smaller ones and itself."""
+    # Sums are written before they are joined. As a written table they don't share the links' partitioning, so Spark
+    # may broadcast them or split the one partition of a node that a third of all links meet.
     if large:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+        least = stage(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")))
         out = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
-        least = links.groupBy("u").agg(F.min("v").alias("m"))
+        least = stage(links.groupBy("u").agg(F.min("v").alias("m")))
         out = links.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    return out.where("u <> v").distinct()
+    out = stage(out.where("u <> v").distinct())
+    discard(least)
+    return out
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -32,7 +36,8 @@ def components(links: DataFrame) -> DataFrame:
     mark = _mark(now)
     while True:
         half = _star(now, large=True)
-        new = stage(_star(half, large=False))
+        new = _star(half, large=False)
+        discard(half)
         discard(now)
         now, before = new, mark
         mark = _mark(now)

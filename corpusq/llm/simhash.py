@@ -13,7 +13,8 @@ compared in tasks of their own, so a crowded anchor is spread. A task gives at m
 fingerprints (to the least one it is connected with there), not all pairs. Links meet in components.components.
 
 Defined cases: null, empty or blank text has fingerprint 0 and links like any other; a null doc_id is
-ignored as a component's name unless no other is there; repeated rows give one output row per input row.
+ignored as a component's name unless no other is there; repeated rows give one output row per input row;
+other columns of the input, however they are named, are kept by one_of_each() and ignored otherwise.
 """
 
 from __future__ import annotations
@@ -23,10 +24,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusq.llm.common import small_batches, stage
+from corpusq.llm.common import row_hash, small_batches, stage, unused
 from corpusq.llm.components import components
 
 WORDS, SEED, BITS, DISTANCE = 4, 42, 64, 4
@@ -54,15 +55,16 @@ def fingerprint(text: bytes | None, words: int = WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """docs' doc_id and fp: the fingerprint as a signed long."""
+    """docs' doc_id, row1 and row2 (hashes of the row), and fp: the fingerprint as a signed long."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint(t, words) for t in b.column(1).cast(pa.binary()).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], ["doc_id", "fp"])
+            fp = np.array([fingerprint(t, words) for t in b.column(3).cast(pa.binary()).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(fp, pa.int64())], ["doc_id", "row1", "row2", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, fp long")
+    h1, h2 = row_hash(docs)
+    return docs.select("doc_id", h1.alias("row1"), h2.alias("row2"), "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, row1 long, row2 long, fp long")
 
 
 def _syndromes(x: np.ndarray) -> np.ndarray:
@@ -175,7 +177,7 @@ def links(fps: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> DataF
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
-    """doc_id, fp, component_id (smallest doc_id reachable)."""
+    """doc_id, row1 and row2 (hashes of the row), fp, root (least fp reachable), component_id (smallest doc_id reachable)."""
     if distance > DISTANCE:
         raise ValueError("the anchors cover distances up to 4")
     fps = stage(fingerprints(docs, words))
@@ -183,21 +185,23 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = DISTANC
     found = components(stage(links(each, distance).distinct())).select(F.col("node").alias("fp"), "root")
     # Smallest doc_id of each component, then of each fingerprint.
     named = each.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = stage(named.join(least, "root").select("fp", "component_id"))
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    # Written first, so that Spark can split a component of very many fingerprints.
+    least = stage(named.groupBy("root").agg(F.min("least").alias("component_id")))
+    named = stage(named.join(least, "root").select("fp", "root", "component_id"))
+    return fps.join(named, "fp").select("doc_id", "row1", "row2", "fp", "root", "component_id")
 
 
 def simhash_components(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 lowercase hex digits), component_id."""
-    return near_duplicates(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return near_duplicates(docs.select("doc_id", "text")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
-    """docs with one row of each component: that of its smallest doc_id. Rows without doc_id can't be named and stay."""
-    keepers = near_duplicates(docs, words, distance).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").join(keepers, "doc_id").select(*docs.columns)
-    # Rows that repeat a doc_id: one stays.
-    w = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    kept = kept.withColumn("_row", F.row_number().over(w)).where("_row = 1").drop("_row")
-    return kept.unionByName(docs.where("doc_id is null"))
+    """docs with one row of each component: that of its smallest doc_id, null last; of rows with one doc_id, that of the least hash. Equal rows are one."""
+    of = F.struct(F.col("doc_id").isNull(), "doc_id", "row1", "row2")
+    kept = near_duplicates(docs, words, distance).groupBy("root").agg(F.min(of).alias("row")).select("row.row1", "row.row2")
+    one, two, at, to = unused(docs, "row1", "row2", "at", "to")
+    h1, h2 = row_hash(docs)
+    # One shuffle of the texts serves the join and the sorting out of equal rows.
+    out = docs.withColumns({one: h1, two: h2}).join(kept.select(F.col("row1").alias(at), F.col("row2").alias(to)), (F.col(one) == F.col(at)) & (F.col(two) == F.col(to)))
+    return out.dropDuplicates([one, two]).select(*[f"`{c}`" for c in docs.columns])
