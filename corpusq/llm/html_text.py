@@ -42,8 +42,8 @@ RUN, PAGES, SHARE, MOST_PAGES, SITE_PAGES, SITE_SHARE = 6, 3, 0.02, 10, 10, 0.5
 DEPTH = 8
 #: Share of a page's words outside chrome from which its main blocks are the article.
 MAIN_SHARE = 0.2
-#: Bytes of words that one suffix array covers, about.
-SHARD = 4 << 20
+#: Bytes of words that one suffix array covers, and bytes of html of one group, about.
+SHARD, GROUP = 1 << 18, 4 << 20
 #: Runs (8 bytes each) and large hosts (two numbers each) that are broadcast at most; more are joined by shuffling.
 BROADCAST_RUNS, BROADCAST_HOSTS = 4_000_000, 100_000
 
@@ -338,7 +338,7 @@ def boilerplate(pages: DataFrame, shard: int = SHARD) -> DataFrame:
     return stage(found)
 
 
-def html_text(pages: DataFrame, shard: int = SHARD, broadcast_runs: int = BROADCAST_RUNS) -> DataFrame:
+def html_text(pages: DataFrame, shard: int = SHARD, group: int = GROUP, broadcast_runs: int = BROADCAST_RUNS) -> DataFrame:
     """page_id, url, text, n_chars, n_run_blocks (blocks that repeated runs took whole), n_mark_blocks (blocks that structure took)."""
     spark = pages.sparkSession
     small_batches(spark)
@@ -365,8 +365,8 @@ def html_text(pages: DataFrame, shard: int = SHARD, broadcast_runs: int = BROADC
             text, run, mark = columns(df["html"].tolist(), df["host"].tolist(), np.sort(keys["key"].to_numpy(np.int64)))
             return pd.DataFrame({"page_id": df["page_id"], "url": df["url"].astype(object), "text": pd.Series(text, dtype=object), "n_run_blocks": run, "n_mark_blocks": mark})
 
-        # Pages of a host are dealt into groups of about `shard` bytes of html; its runs go to each of them.
-        parts = hosted.groupBy("host").agg(F.ceil((F.sum(F.length(F.coalesce("html", F.lit("")))) + 1) / shard).cast("int").alias("parts"))
+        # Pages of a host are dealt into groups of about `group` bytes of html; its runs go to each of them.
+        parts = hosted.groupBy("host").agg(F.ceil((F.sum(F.length(F.coalesce("html", F.lit("")))) + 1) / group).cast("int").alias("parts"))
         parts = stage(parts.where("parts > 1"))
         parts = F.broadcast(parts) if parts.count() <= BROADCAST_HOSTS else parts
         dealt = hosted.join(parts, "host", "left").withColumn("part", F.pmod(F.xxhash64("page_id", "url", "html"), F.coalesce("parts", F.lit(1)).cast("long")))

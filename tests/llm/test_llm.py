@@ -1,17 +1,16 @@
 """Defined cases of the training-data operators, held against brute force on small tables."""
 
 import hashlib
-import re
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
 import pytest
-import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import brute
 from corpusq.llm import classifier, components, html_text, licenses, line_dedup, mixing, packing, quality_rules, simhash, tokens, topk
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, w string, h string, label string, page long"
@@ -36,10 +35,6 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-def words(t):
-    return re.findall(r"[^\x20\x09-\x0D]+", t or "")
-
-
 def test_empty_tables(spark, empty):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     pages = spark.createDataFrame([], "page_id long, url string, html string")
@@ -50,27 +45,24 @@ def test_empty_tables(spark, empty):
 
 
 def test_simhash(docs):
-    def fp(t):
-        w = [x.translate({c: c + 32 for c in range(65, 91)}) for x in words(t)]
-        if not w:
-            return 0
-        sh = [" ".join(w[i : i + 4]) for i in range(max(1, len(w) - 3))]
-        h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in sh]
-        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
-
-    data = [(r[0], fp(r[1])) for r in rows()]
-    group = list(range(len(data)))
-    for i in range(len(data)):
-        for j in range(i):
-            if bin(data[i][1] ^ data[j][1]).count("1") <= 4:
-                a, b = group[i], group[j]
-                group = [a if g == b else g for g in group]
-    least = defaultdict(list)
-    for g, (i, _) in zip(group, data, strict=True):
-        if i is not None:
-            least[g].append(i)
-    expected = sorted((str(i), f"{f:016x}", min(least[g])) for g, (i, f) in zip(group, data, strict=True))
+    fps = [brute.fingerprint(r[1]) for r in rows()]
+    group, least = brute.classes(fps), defaultdict(list)
+    for g, r in zip(group, rows(), strict=True):
+        if r[0] is not None:
+            least[g].append(r[0])
+    expected = sorted((str(r[0]), f"{f:016x}", min(least[g])) for g, f, r in zip(group, fps, rows(), strict=True))
     assert sorted((str(r.doc_id), r.fingerprint, r.component_id) for r in simhash.simhash_components(docs).collect()) == expected
+    one = simhash.one_of_each(docs).collect()
+    assert len(one) == len(set(group)) and sorted(r.doc_id for r in one) == sorted(min(x) for x in least.values())
+
+
+def test_one_of_each_odd_ids(spark):
+    """Components without ids keep one row; different texts of one doc_id are kept apart."""
+    other = " ".join(f"w{i}" for i in range(40))
+    d = [(None, BASE), (None, BASE), (7, other), (7, BASE + " and more of it all"), (8, other), (None, "x y z")]
+    got = simhash.one_of_each(spark.createDataFrame(d, "doc_id long, text string")).collect()
+    fps = brute.classes([brute.fingerprint(t) for _, t in d])
+    assert len(got) == len(set(fps)) and (7, other) in map(tuple, got) and (None, "x y z") in map(tuple, got)
 
 
 def test_simhash_anchors_cover(spark):
@@ -112,18 +104,9 @@ def test_components_long_chain(spark):
 
 
 def test_line_dedup(docs):
-    data = [(r[0], (r[1] or "").split("\n")) for r in rows()]
-    key = lambda s: s.strip(" \t\n\x0b\x0c\r").translate({c: c + 32 for c in range(65, 91)})
-    where = defaultdict(set)
-    for i, ls in data:
-        for s in ls:
-            where[key(s)].add(-1 if i is None else i)
-    expected = []
-    for i, ls in data:
-        kept = [s for s in ls if not (len(key(s)) >= 20 and len(where[key(s)]) >= 3 and max(where[key(s)]) != (-1 if i is None else i))]
-        expected.append((str(i), len(ls), len(ls) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()))
-    got = sorted((str(r.doc_id), r.n_lines, r.n_dropped, r.kept_sha256) for r in line_dedup.digest(docs).collect())
-    assert got == sorted(expected)
+    kept = brute.kept_lines([r[:2] for r in rows()])
+    expected = sorted((str(r[0]), (r[1] or "").count("\n") + 1, (r[1] or "").count("\n") + 1 - len(k), hashlib.sha256("\n".join(k).encode()).hexdigest()) for r, k in zip(rows(), kept, strict=True))
+    assert sorted((str(r.doc_id), r.n_lines, r.n_dropped, r.kept_sha256) for r in line_dedup.digest(docs).collect()) == expected
 
 
 def test_line_dedup_with_a_full_filter(docs):
@@ -165,12 +148,12 @@ def test_quality_rules(docs):
     got = sorted((str(r.doc_id), r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in quality_rules.quality_rules(docs).collect())
     expected = []
     for r in rows():
-        t, w = r[1] or "", words(r[1])
+        t, w = r[1] or "", brute.words(r[1])
         at = defaultdict(list)
         for i in range(len(w) - 2):
             at[tuple(w[i : i + 3])].append(i)
         rep = len({i + j for v in at.values() if len(v) > 1 for i in v for j in range(3)})
-        lines = [x for x in t.split("\n") if words(x)]
+        lines = [x for x in t.split("\n") if brute.words(x)]
         expected.append((str(r[0]), len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), rep, len(w) < 50 or 100 * rep > 50 * len(w)))
     assert got == sorted(expected)
 
@@ -235,6 +218,11 @@ def test_mixing(docs):
     assert sum(t for _, _, t, _ in by.values()) == pytest.approx(1.5 * sum(a for a, *_ in by.values()))
     assert all(t <= 2 * s + 1e-6 for s, _, t, _ in by.values())
     assert mixing.mixed(docs).count() == sum(r.times for r in got)
+    data = [(r[0], r[1], r[3]) for r in rows() if r[0] is not None and r[0] != 4]
+    taken, target = brute.mix(data)
+    few = docs.where("doc_id is not null and doc_id <> 4")
+    assert [r.doc_id for r in mixing.mixed(few).collect()] == [i for _, i in sorted(taken)]
+    assert {r.source: r.target for r in mixing.mix(few).collect()} == pytest.approx(target)
 
 
 def test_token_counts(docs):
@@ -257,6 +245,9 @@ def test_classifier(spark):
     assert len(got) == len(d) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
     held = [r for r in got if r.held_out and r.doc_id < 400]
     assert held and all(r.predicted == r.doc_id % 2 for r in held)
+    text = {i: t for i, t, _ in d}
+    weights = brute.ftrl([(brute.features(text[i], 18), i % 2) for i in range(400) if zlib.crc32(str(i).encode()) % 3 != 1])
+    assert [r.score for r in got] == pytest.approx([brute.score(text[r.doc_id], weights) for r in got], abs=1e-5)
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got if r.doc_id is not None)
 
 
@@ -385,40 +376,9 @@ def test_html_text_query_against_brute_force(spark):
             expected.append((rows[i][0], rows[i][1], " ".join(kept), len(" ".join(kept))))
     assert boilers == 1
     df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
-    for options in ({}, {"shard": 300}, {"shard": 300, "broadcast_runs": 0}):
+    for options in ({}, {"shard": 300}, {"shard": 300, "group": 900, "broadcast_runs": 0}):
         got = html_text.html_text(df, **options)
         assert sorted(tuple(r)[:4] for r in got.collect()) == sorted(expected), options
         assert got.agg(F.sum("n_run_blocks")).first()[0] > 50
 
 
-def test_pipeline_stages(spark):
-    import corpus_pipeline
-
-    d = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{d}/documents.parquet")
-    out, seen = docs, [docs.count()]
-    for _, f in corpus_pipeline.STAGES[:-1]:
-        before = out
-        out = corpus_pipeline.stage(f(spark, out, d))
-        assert out.columns == docs.columns
-        seen.append(out.count())
-    assert seen[0] > seen[1] >= seen[3] and seen[1] == seen[2]
-    assert corpus_pipeline.run(spark, d).select("doc_id").distinct().count() == out.select("doc_id").distinct().count()
-
-
-def test_pipeline_stages_keep_clashing_columns(spark):
-    """Extra columns named like the operators' own results and helpers pass all stages; null and repeated rows don't stop them."""
-    import corpus_pipeline
-
-    d = "/root/testdata/sf0.001"
-    names = "score fp component_id label root lines n_lines n_dropped size source_size target times position d h u v node".split()
-    docs = spark.read.parquet(f"{d}/documents.parquet")
-    odd = docs.limit(3).unionByName(docs.limit(1).select(*[F.lit(None).cast(t).alias(c) for c, t in docs.dtypes]))
-    out = docs.unionByName(odd).withColumns({c: F.concat(F.lit("x"), F.col("doc_id").cast("string")) for c in names})
-    columns = out.columns
-    for _, f in corpus_pipeline.STAGES[:-1]:
-        out = corpus_pipeline.stage(f(spark, out, d))
-        assert out.columns == columns
-        assert out.where(F.col("doc_id").isNotNull() & ~F.col("score").eqNullSafe(F.concat(F.lit("x"), F.col("doc_id").cast("string")))).count() == 0
-    assert out.where("doc_id is not null").count() > 0
-    assert corpus_pipeline.pack(spark, out, d).count() > 0
