@@ -17,7 +17,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that other documents keep; n_chars follows."""
-    return line_dedup.line_dedup(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return line_dedup.line_dedup(docs, counts=False).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality classifier", quality), ("line dedup", lines), ("SimHash near-dedup", near_duplicates), ("mixing to target weights", mix), ("best-fit packing", pack)]
 
-#: The classifier and the tokenizer are no SQL; tests/llm holds run() against brute-force versions.
+#: The classifier and the tokenizer are no SQL; tests/llm/test_pipeline.py holds run() against plain versions of all stages.
 ORACLE_SQL = None
 
 
