@@ -199,8 +199,40 @@ def test_topk(spark):
         if i % 50 == 0:
             best = sorted((-int(q @ x), j) for j, x in usable if j != i)[:5]
             expected += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best)]
+    seen = {}
+    for sizes in ((64, topk.DIRECTORY), (16, 10 * 8 * 8)):
+        before, (topk.PAGE, topk.DIRECTORY) = (topk.PAGE, topk.DIRECTORY), sizes
+        got = sorted(map(tuple, topk.top_k(e, F.col("vec_id") % 50 == 0, seen=seen).collect()))
+        topk.PAGE, topk.DIRECTORY = before
+        assert got == sorted(expected)
+    assert seen["pages"] > 20
+
+
+def test_topk_searches_few_pages_of_clustered_vectors(spark):
+    rng = np.random.default_rng(8)
+    centers = rng.normal(size=(40, 8)) * 20
+    v = [(i, [float(x) for x in centers[i % 40] + rng.normal(size=8) * 0.1], 0) for i in range(4000)]
     page, topk.PAGE = topk.PAGE, 64
-    got = sorted(map(tuple, topk.top_k(e, F.col("vec_id") % 50 == 0).collect()))
+    seen = {}
+    topk.top_k(spark.createDataFrame(v, "vec_id int, embedding array<double>, label int"), F.col("vec_id") % 50 == 0, seen=seen).count()
+    topk.PAGE = page
+    assert seen["queries"] == 80 and seen["pairs1"] + seen["pairs2"] < 0.5 * seen["queries"] * seen["pages"]
+
+
+@pytest.mark.parametrize("size", [1e3, 1e5, 2e6])
+def test_topk_long_vectors(spark, size):
+    """Products beyond 2^53 are exact; vectors too long for products in a long take no part; ids may be ints."""
+    rng = np.random.default_rng(9)
+    v = [(i, [float(x) for x in np.floor(rng.normal(size=4) * size * 256) / 256], 0) for i in range(200)] + [(200, [1e300, 0.0, 0.0, 0.0], 0), (201, [3e7, 0.0, 0.0, 0.0], 0), (202, [0.0] * 4, 0)]
+    usable = [(i, [int(np.floor(256 * c)) for c in x]) for i, x, _ in v if sum(np.floor(256 * c) ** 2 for c in x) <= 2**62]
+    assert len(usable) == 201
+    expected = []
+    for i, q in usable:
+        if i % 50 == 0:
+            best = sorted((-sum(a * b for a, b in zip(q, x, strict=True)), j) for j, x in usable if j != i)[:5]
+            expected += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best)]
+    page, topk.PAGE = topk.PAGE, 32
+    got = sorted(map(tuple, topk.top_k(spark.createDataFrame(v, "vec_id int, embedding array<double>, label int"), F.col("vec_id") % 50 == 0).collect()))
     topk.PAGE = page
     assert got == sorted(expected)
 
