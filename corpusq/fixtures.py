@@ -8,18 +8,34 @@ from pyspark.sql import functions as F
 from corpusq.functions import text as T
 
 
+#: Characters of a chunk, from one chunk's start to the next one's, and numbers kept for the chunks of one document.
+WINDOW, STEP, MOST_CHUNKS = 4000, 3200, 1_000_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of WINDOW characters, each STEP after the one before, so that any passage of 800 characters lies whole in one. Chunks stay well below the caps on terms and tokens."""
+    d = table(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit("")))
+    start = F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)), F.lit(STEP))
+    d = d.select("doc_id", "lang", "source", F.posexplode(F.transform(start, lambda s: F.substr("text", s + 1, F.lit(WINDOW)))).alias("chunk_index", "text"))
+    return d.select(
+        (F.col("doc_id") * MOST_CHUNKS + F.col("chunk_index")).alias("chunk_id"), "doc_id", "chunk_index", "text", "lang", "source", T.token_count(F.col("text")).alias("token_count"),
+        F.array("lang", "source").alias("acl_tags"),
+    )
+
+
+def whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of one chunk each, for operators that count chunks or look them up."""
     d = table(spark, sf_dir, "documents")
     return d.select(F.col("doc_id").alias("chunk_id"), "doc_id", F.lit(0).alias("chunk_index"), "text", "lang", "source", T.token_count(F.col("text")).alias("token_count"))
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = table(spark, sf_dir, "benchmark")
-    return b.select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 12), " ").alias("query"), F.col("text").alias("evidence"))
+    return b.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.col("text").alias("evidence"))
 
 
 def registry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusq.operators.ranking import once
+
 RECALL, REFUSAL, NOISE = 0.85, (0.10, 0.30), 0.01
 #: Smallest shares of kinds of questions in a dataset.
 LEAST_SHARES = {"abstain": 0.20, "multiturn": 0.10, "identifier": 0.10}
@@ -142,3 +144,21 @@ def first_token_times(answers: DataFrame) -> DataFrame:
     """category, ttft_p50, ttft_p95 by nearest rank (EV16). answers: category, ttft_ms (null where no token came)."""
     at = lambda share, name: nearest_rank(answers, ["category"], "ttft_ms", share).withColumnRenamed("value", name)
     return at(0.5, "ttft_p50").join(at(0.95, "ttft_p95"), "category")
+
+
+#: Words of a probe.
+PROBE = 6
+
+
+def holding(queries: DataFrame, chunks: DataFrame, probe: int = PROBE) -> DataFrame:
+    """query_id, chunk_id of all chunks whose text holds the query's evidence, in any case of letters (EV1, JN6). queries: query_id, evidence.
+
+    Evidence is looked up by one run of `probe` whole words from its middle, which a text that holds it must have; then the whole is compared. Evidence of too few words is compared with all texts."""
+    of = queries.select("query_id", F.lower("evidence").alias("evidence")).where("evidence is not null").withColumn("w", F.split("evidence", " ", -1))
+    run = lambda words, at: F.array_join(F.slice(words, at, F.lit(probe)), " ")
+    long = of.where(F.size("w") >= probe + 2).select("query_id", "evidence", F.xxhash64(run("w", F.greatest(F.lit(2), F.floor((F.size("w") - probe) / 2).cast("int") + 1))).alias("key"))
+    text = chunks.where("text is not null").select("chunk_id", F.lower("text").alias("text"))
+    grams = F.when(F.size("w") >= probe, F.transform(F.sequence(F.lit(1), F.size("w") - (probe - 1)), lambda i: F.xxhash64(run("w", i))))
+    met = once(text.withColumn("w", F.split("text", " ", -1)), "w").select("chunk_id", "text", F.explode(F.array_distinct(grams)).alias("key")).join(long, "key").where(F.contains("text", "evidence"))
+    short = text.join(of.where(F.size("w") < probe + 2), F.contains("text", "evidence"))
+    return met.select("query_id", "chunk_id").unionByName(short.select("query_id", "chunk_id"))

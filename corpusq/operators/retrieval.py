@@ -64,6 +64,14 @@ def reranked(ranked: DataFrame, scores: DataFrame, depth: int = 40) -> DataFrame
     return r.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("reranked").desc(), "fused_rank")))
 
 
+def scores_by_text(ranked: DataFrame, hits: DataFrame) -> DataFrame:
+    """query_id, chunk_id, score for reranked() from a reranker that answers with texts (JN8): candidates of one text share its first hit's score; others have none.
+
+    ranked: query_id, chunk_id, text; hits: query_id, position, text, score."""
+    first = hits.groupBy("query_id", "text").agg(F.min_by("score", "position").alias("score"))
+    return ranked.select("query_id", "chunk_id", "text").join(first, ["query_id", "text"]).select("query_id", "chunk_id", "score")
+
+
 STAGES = ["reranked", "fused", "vector", "keyword"]
 
 
@@ -97,13 +105,15 @@ class Config:
 def candidates(queries: DataFrame, chunks: DataFrame, config: Config = Config()) -> DataFrame:
     """query_id, chunk_id, keyword, vector, fused, reranked, rank, best: fused, without near duplicates, reranked; no gate yet.
 
-    queries: query_id, query, vector (unused without the vector stage); chunks: chunk_id, text, token_count, vector."""
+    queries: query_id, query, vector (unused without the vector stage), and grants if access is limited; chunks: live ones, with chunk_id, text, token_count, vector, and then acl_tags.
+    What a query may not see is left out of both searches before their best are taken."""
     lists = []
     if config.keyword:
         lists.append(keyword.bm25(queries, chunks, config.fetch).withColumn("stage", F.lit("keyword")))
     if config.vector:
-        have = chunks.where("vector is not null").select("chunk_id", "vector")
-        lists.append(ranking.cosine_top(queries.select("query_id", "vector"), have, config.fetch, 6).withColumn("stage", F.lit("vector")))
+        limited = "grants" in queries.columns
+        have = chunks.where("vector is not null").select("chunk_id", "vector", *(["acl_tags"] if limited else []))
+        lists.append(ranking.cosine_top(queries.select("query_id", "vector", *(["grants"] if limited else [])), have, config.fetch, 6).withColumn("stage", F.lit("vector")))
     found = lists[0] if len(lists) == 1 else lists[0].unionByName(lists[1])
     of = lambda s: F.max(F.when(F.col("stage") == s, F.col("score"))).alias(s)
     fused = found.groupBy("query_id", "chunk_id").agg(of("keyword"), of("vector"), F.round(F.sum(1.0 / (60 + F.col("rank"))), 9).alias("fused"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusq import fixtures as X
 from corpusq.functions import text as T
-from corpusq.operators import keyword, lifecycle, ranking
+from corpusq.operators import access, evaluation, keyword, lifecycle, ranking
 from corpusq.plans import logs
 from corpusq.sources import streams
 from corpusq.streaming import alerts
@@ -18,8 +18,11 @@ QUERIES, SQL = {}, {}
 
 _TOK = "list_filter(regexp_extract_all(lower({0}), '[A-Za-z0-9_]+'), lambda x: length(x) between 2 and 64)"
 _COUNT = r"len(regexp_extract_all(text, '[\s\x0b\x85\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]+'))".replace("{{", "{").replace("}}", "}")
-CHUNKS = f"chunks as (select doc_id as chunk_id, doc_id, text, lang, source, {_COUNT} as token_count from documents)"
-ASKED = "queries as (select item_id as query_id, array_to_string(string_split(text, ' ')[1:12], ' ') as query, text as evidence from benchmark)"
+CHUNKS = f"""starts as (select doc_id, coalesce(text, '') as whole, lang, source, unnest(range(0, greatest(length(coalesce(text, '')), 1), {X.STEP})) as s from documents),
+    cut as (select doc_id * {X.MOST_CHUNKS} + s // {X.STEP} as chunk_id, doc_id, cast(s // {X.STEP} as integer) as chunk_index, substring(whole, s + 1, {X.WINDOW}) as text, lang, source from starts),
+    chunks as (select *, {_COUNT} as token_count from cut)"""
+WHOLE = f"chunks as (select doc_id as chunk_id, doc_id, text, lang, source, {_COUNT} as token_count from documents)"
+ASKED = "queries as (select item_id as query_id, text as query, text as evidence from benchmark)"
 _STATE = "case when doc_id % 10 <= 5 then 'live' when doc_id % 10 = 6 then 'disabled' when doc_id % 10 = 7 then 'failed' when doc_id % 10 = 8 then 'duplicate' else 'deleted' end"
 REGISTRY = f"""registry as (select *, {_STATE} as state, timestamp '2024-01-01' + to_minutes(doc_id) as uploaded_at,
     case when doc_id % 10 <= 6 then timestamp '2024-01-01' + to_minutes(doc_id) + to_seconds(doc_id % 97) end as indexed_at from documents)"""
@@ -162,15 +165,55 @@ def rnk10_budget(spark, sf_dir):
 
 @query(f"with {REGISTRY}, {CHUNKS} select chunk_id from chunks semi join (select doc_id from registry where state = 'live') l using (doc_id)")
 def flt1_retrievable(spark, sf_dir):
-    live = X.registry(spark, sf_dir).where("state = 'live'").select("doc_id")
-    return X.chunks(spark, sf_dir).join(live, "doc_id", "left_semi").select("chunk_id")
+    return access.live(X.chunks(spark, sf_dir), X.registry(spark, sf_dir)).select("chunk_id")
+
+
+#: Queries with grants by number: none, one language, or a language and a source.
+_GRANTS = "case query_id % 3 when 0 then {0} when 1 then {1} else {2} end"
+_SEEN = f"""granted as (select *, {_GRANTS.format('[]', "['fr']", "['en', 'src3']")} as grants from queries),
+    open as (select query_id, chunk_id from granted, lively where len(grants) = 0 or list_contains(grants, lang) or list_contains(grants, source))"""
+_LIVE = f"{CHUNKS.replace('chunks as', 'every as')}, {REGISTRY}, chunks as (select every.* from every semi join (select doc_id from registry where state = 'live') l using (doc_id)), lively as (select * from chunks)"
+
+
+def _granted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Queries with grants, and live chunks."""
+    q = X.queries(spark, sf_dir).withColumn("grants", F.expr(_GRANTS.format("cast(array() as array<string>)", "array('fr')", "array('en', 'src3')")))
+    return q, access.live(X.chunks(spark, sf_dir), X.registry(spark, sf_dir))
+
+
+@query(f"""with {_LIVE}, {ASKED}, {_SEEN}, {POSTINGS}, {GRAMS}, {BM25.split('keyword as')[0].rstrip().rstrip(',')}
+    select query_id, chunk_id, score, cast(row_number() over (partition by query_id order by score desc, chunk_id) as integer) as rank
+    from bm semi join open using (query_id, chunk_id) qualify rank <= 10""")
+def kw5_flt1_flt2_bm25(spark, sf_dir):
+    return keyword.bm25(*_granted(spark, sf_dir), 10)
+
+
+@query(f"""with {_LIVE}, {ASKED}, {_SEEN}, {POSTINGS},
+    q as (select distinct query_id, unnest({_TOK.format('query')}) as term from queries),
+    s as (select query_id, chunk_id, cast(sum(term_count) as bigint) as score, string_agg(term, ',' order by term) as matched from q join terms using (term) group by all)
+    select *, cast(row_number() over (partition by query_id order by score desc, chunk_id) as integer) as rank from s semi join open using (query_id, chunk_id) qualify rank <= 50""")
+def kw2_flt1_flt2_lookup(spark, sf_dir):
+    q, c = _granted(spark, sf_dir)
+    return keyword.lookup(q, keyword.postings(c), 50, c)
+
+
+@query(f"""with v as (select vec_id, list_transform(embedding, lambda c: cast(c as double)) as v, label, {_STATE.replace('doc_id', 'vec_id')} as state from embeddings),
+    s as (select q.vec_id as query_id, c.vec_id as chunk_id, round(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i]))
+        / (sqrt(list_sum(list_transform(q.v, lambda x: x * x))) * sqrt(list_sum(list_transform(c.v, lambda x: x * x)))), 6) as score
+        from v q, v c where q.vec_id % 20 = 0 and q.vec_id <> c.vec_id and c.state = 'live' and (q.vec_id % 40 = 0 or c.label % 2 = 1))
+    select *, cast(row_number() over (partition by query_id order by score desc, chunk_id) as integer) as rank from s qualify rank <= 10""")
+def vec2_flt1_flt2_cosine_top(spark, sf_dir):
+    e = X.table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"), F.array(F.when(F.col("label") % 2 == 1, "odd").otherwise("even")).alias("acl_tags"))
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "vector", F.expr("if(vec_id % 40 = 0, cast(array() as array<string>), array('odd'))").alias("grants"))
+    registry = e.select(F.col("vec_id").alias("doc_id")).withColumn("state", F.expr(_STATE))
+    c = access.live(e.withColumn("doc_id", F.col("vec_id")), registry).withColumnRenamed("vec_id", "chunk_id")
+    return ranking.cosine_top(q, c, 10, 6, others=True)
 
 
 @query("select doc_id from documents where lang in ('fr', 'src3') or source in ('fr', 'src3')")
 def flt2_access(spark, sf_dir):
     grants = F.array(F.lit("fr"), F.lit("src3"))
-    d = X.table(spark, sf_dir, "documents").withColumn("acl_tags", F.array("lang", "source"))
-    return d.where((F.size(grants) == 0) | F.arrays_overlap("acl_tags", grants)).select("doc_id")
+    return X.table(spark, sf_dir, "documents").where(access.permits(grants, F.array("lang", "source"))).select("doc_id")
 
 
 @query("""with w as (select doc_id, text, unnest(range(0, length(text), 320)) as s from documents)
@@ -223,7 +266,7 @@ def cit2_markers(spark, sf_dir):
     from queries left join chunks on contains(lower(text), lower(evidence)) group by query_id""")
 def ev1_labels(spark, sf_dir):
     q, c = X.queries(spark, sf_dir), X.chunks(spark, sf_dir)
-    hits = c.join(F.broadcast(q), F.contains(F.lower("text"), F.lower("evidence")))  # benchmark items: one row for each question
+    hits = evaluation.holding(q, c)
     return q.select("query_id").join(hits.groupBy("query_id").agg(F.count("*").alias("relevant"), F.min("chunk_id").alias("first")), "query_id", "left").na.fill(0, ["relevant"])
 
 
@@ -234,8 +277,7 @@ def ev1_labels(spark, sf_dir):
         round(avg(case when r <= 10 then 1.0 else 0.0 end), 9) as recall_10, round(avg(case when r <= 10 then 1.0 / r else 0.0 end), 9) as mrr_10 from best""")
 def ev5_recall(spark, sf_dir):
     q, c = X.queries(spark, sf_dir), X.chunks(spark, sf_dir)
-    rel = c.join(F.broadcast(q), F.contains(F.lower("text"), F.lower("evidence"))).select("query_id", "chunk_id")  # benchmark items
-    best = rel.join(keyword.bm25(q, c, 40), ["query_id", "chunk_id"], "left").groupBy("query_id").agg(F.min("rank").alias("r"))
+    best = evaluation.holding(q, c).join(keyword.bm25(q, c, 10), ["query_id", "chunk_id"], "left").groupBy("query_id").agg(F.min("rank").alias("r"))
     at = lambda k: F.round(F.avg(F.when(F.col("r") <= k, 1.0).otherwise(0.0)), 9).alias(f"recall_{k}")
     return best.agg(F.count("*").alias("questions"), at(1), at(5), at(10), F.round(F.avg(F.when(F.col("r") <= 10, 1 / F.col("r")).otherwise(0.0)), 9).alias("mrr_10"))
 

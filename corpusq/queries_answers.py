@@ -48,6 +48,17 @@ def rnk5_reranked(spark, sf_dir):
     return retrieval.reranked(r, scores, 20).select("query_id", "chunk_id", "reranked", "rank")
 
 
+@query(f"""with {FOUND}, {RERANK}, t as (select query_id, text, arg_min(score, rank) as score from scored join chunks using (chunk_id) where rank <= 20 group by all)
+    select k.query_id, k.chunk_id, t.score as reranked, cast(row_number() over (partition by k.query_id order by t.score desc, k.rank) as integer) as rank
+    from keyword k join chunks using (chunk_id) join t on t.query_id = k.query_id and t.text = chunks.text where k.rank <= 20""")
+def rnk5_jn8_by_text(spark, sf_dir):
+    """The reranker answers with texts, in the order of the candidates."""
+    r = _bm25(spark, sf_dir).drop("score").where("rank <= 40")
+    pool = written(_pool(spark, sf_dir, r), "pool")
+    hits = retrieval.lexical_scores(pool).join(pool.where("rank <= 20"), ["query_id", "chunk_id"]).select("query_id", F.col("rank").alias("position"), "text", "score")
+    return retrieval.reranked(r, retrieval.scores_by_text(pool, hits), 20).select("query_id", "chunk_id", "reranked", "rank")
+
+
 @query()
 def rnk7_model(spark, sf_dir):
     return retrieval.model_scores(_pool(spark, sf_dir, _bm25(spark, sf_dir)), lambda q, t: [len(set(a.split()) & set(b.split())) / (1 + len(a)) for a, b in zip(q, t)])
@@ -207,7 +218,7 @@ def ev3_classes(spark, sf_dir):
 
 def _labels(spark, sf_dir):
     q, c = X.queries(spark, sf_dir), X.chunks(spark, sf_dir)
-    return c.join(F.broadcast(q), F.contains(F.lower("text"), F.lower("evidence"))).select("query_id", "chunk_id")  # benchmark items
+    return evaluation.holding(q, c)
 
 
 _REL = "rel as (select query_id, chunk_id from queries join chunks on contains(lower(text), lower(evidence)))"
@@ -287,16 +298,16 @@ def ev13_fingerprint(spark, sf_dir):
 
 @query("select count(*) as chunks, count(distinct doc_id) as documents from documents")
 def ev14_corpus(spark, sf_dir):
-    return evaluation.corpus_fingerprint(X.chunks(spark, sf_dir))
+    return evaluation.corpus_fingerprint(X.whole(spark, sf_dir))
 
 
 @query()
 def ev15_strategies(spark, sf_dir):
-    d, q = outlined(spark, sf_dir), X.queries(spark, sf_dir).withColumn("evidence", F.substring("evidence", 1, 30))
+    d, q = outlined(spark, sf_dir), X.queries(spark, sf_dir)
     out = {"chunks": None, "labels": None, "ranked": None}
     for s in ("heading", "paragraph", "fixed"):
-        c = written(chunking.chunk_documents(d, s, 120, 24, 8).withColumn("chunk_id", F.concat_ws("-", "doc_id", "chunk_index")), "chunks")
-        rel = c.join(F.broadcast(q), F.contains("text", F.col("evidence"))).select("query_id", "chunk_id")  # benchmark items
+        c = written(chunking.chunk_documents(d, s, 1000, 200, 50).withColumn("chunk_id", F.concat_ws("-", "doc_id", "chunk_index")), "chunks")
+        rel = evaluation.holding(q, c)
         parts = {"chunks": c.select("token_count"), "labels": q.select("query_id").join(rel, "query_id", "left"), "ranked": keyword.bm25_repeated(q.select("query_id", "query"), c)}
         for k, v in parts.items():
             v = v.withColumn("strategy", F.lit(s))

@@ -201,7 +201,7 @@ _hourly(
 @query(f"""with {REGISTRY}, c as (select doc_id, len(regexp_extract_all(text, '\\s+')) as token_count from documents)
     select strftime(time_bucket(interval '1 hour', uploaded_at), '%Y-%m-%d %H:%M:%S') as bucket, count(*) as chunks, round(avg(token_count), 6) as mean_tokens from registry join c using (doc_id) group by 1""")
 def dsh13_chunks(spark, sf_dir):
-    c = X.chunks(spark, sf_dir).select("doc_id", "token_count").join(X.registry(spark, sf_dir).select("doc_id", "uploaded_at"), "doc_id")
+    c = X.whole(spark, sf_dir).select("doc_id", "token_count").join(X.registry(spark, sf_dir).select("doc_id", "uploaded_at"), "doc_id")
     return _named(logs.buckets(c, "1 hour", {"chunks": F.count("*"), "mean_tokens": F.round(F.avg("token_count"), 6)}, "uploaded_at"))
 
 
@@ -258,8 +258,10 @@ def str7_str9_src6_ingest_stream(spark, sf_dir):
 
 @query()
 def cit9_answer_stream(spark, sf_dir):
-    c = streams.read_stream(spark, f"{sf_dir}/conversation[s].parquet").where("role = 'assistant'")
-    return stateful_run(stateful.answer_sentences(c.select(F.col("conv_id").alias("query_id"), F.col("turn").alias("seq"), F.col("text").alias("delta"), F.lit(False).alias("done"))))
+    of = "role = 'assistant'"
+    last = X.table(spark, sf_dir, "conversations").where(of).groupBy("conv_id").agg(F.max("turn").alias("last"))
+    c = streams.read_stream(spark, f"{sf_dir}/conversation[s].parquet").where(of).join(last, "conv_id")
+    return stateful_run(stateful.answer_sentences(c.select(F.col("conv_id").alias("query_id"), F.col("turn").alias("seq"), F.col("text").alias("delta"), (F.col("turn") == F.col("last")).alias("done"))))
 
 
 @query()

@@ -8,7 +8,7 @@ from corpusq import fixtures as X
 from corpusq.functions import structure as S
 from corpusq.functions import text as T
 from corpusq.operators import chunking, intake, keyword, lifecycle, vectors
-from corpusq.queries import _TOK, CHUNKS, REGISTRY, query
+from corpusq.queries import _TOK, CHUNKS, REGISTRY, WHOLE, query
 from corpusq.sources import files
 
 WS = r"[\s\x0b\x85\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -144,13 +144,13 @@ def flt6_requests(spark, sf_dir):
 
 @query(f"with {REGISTRY} select doc_id, state, case when doc_id % 3 = 0 then 0 else 1 end as chunk_count from registry where state <> 'deleted'")
 def flt8_listing(spark, sf_dir):
-    return intake.listing(X.registry(spark, sf_dir), X.chunks(spark, sf_dir).where("doc_id % 3 <> 0")).select("doc_id", "state", F.col("chunk_count").cast("int"))
+    return intake.listing(X.registry(spark, sf_dir), X.whole(spark, sf_dir).where("doc_id % 3 <> 0")).select("doc_id", "state", F.col("chunk_count").cast("int"))
 
 
 @query(f"with {REGISTRY} select event_id, e.event_id * 7 as chunk_id, r.doc_id is not null as found from events e left join (select * from registry where state = 'live') r on r.doc_id = e.event_id * 7")
 def flt9_passages(spark, sf_dir):
     wanted = X.table(spark, sf_dir, "events").select("event_id", (F.col("event_id") * 7).alias("chunk_id"))
-    return intake.passages(wanted, X.chunks(spark, sf_dir), X.registry(spark, sf_dir).where("state = 'live'")).select("event_id", "chunk_id", "found")
+    return intake.passages(wanted, X.whole(spark, sf_dir), X.registry(spark, sf_dir).where("state = 'live'")).select("event_id", "chunk_id", "found")
 
 
 VECTORS = """chunks as (select vec_id as chunk_id, vec_id as doc_id, case when vec_id % 11 = 0 then null when vec_id % 13 = 0 then embedding[1:8] else embedding end as embedding,
@@ -173,6 +173,13 @@ def vec3_approximate(spark, sf_dir):
     return vectors.approximate_top(e.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), e.withColumnRenamed("vec_id", "chunk_id"), others=True)
 
 
+@query("select true as reached, true as spared")
+def vec3_recall(spark, sf_dir):
+    e = X.table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    r = vectors.recall(e.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), e.withColumnRenamed("vec_id", "chunk_id"))
+    return r.select((F.col("recall") >= 0.9).alias("reached"), (F.col("share") < 0.75).alias("spared"))
+
+
 _HEX = "cast(('0x' || substring(sha256(token), {0}, {1})) as bigint)"
 
 
@@ -280,15 +287,15 @@ def kw6_bm25_variant(spark, sf_dir):
     return keyword.bm25_repeated(q, X.chunks(spark, sf_dir))
 
 
-@query(f"with {CHUNKS}, {REGISTRY} select (select count(*) from chunks anti join (select doc_id from registry where state = 'failed') f using (doc_id)) as kept, (select count(*) from registry where state = 'failed') as removed")
+@query(f"with {WHOLE}, {REGISTRY} select (select count(*) from chunks anti join (select doc_id from registry where state = 'failed') f using (doc_id)) as kept, (select count(*) from registry where state = 'failed') as removed")
 def kw7_lif5_purge(spark, sf_dir):
-    c, r = X.chunks(spark, sf_dir), X.registry(spark, sf_dir)
+    c, r = X.whole(spark, sf_dir), X.registry(spark, sf_dir)
     kept = lifecycle.without_failed(c, r).agg(F.count("*").alias("kept"))
     return kept.crossJoin(c.agg(F.count("*").alias("n"))).select("kept", (F.col("n") - F.col("kept")).alias("removed"))
 
 
-@query(f"with {CHUNKS}, {REGISTRY} select state, cast(sum(len({_TOK.format('text')})) as bigint) as tokens from registry group by state")
+@query(f"with {WHOLE}, {REGISTRY} select state, cast(sum(len({_TOK.format('text')})) as bigint) as tokens from registry group by state")
 def kw8_term_states(spark, sf_dir):
     states = X.registry(spark, sf_dir).select("doc_id", "state")
-    c = X.chunks(spark, sf_dir).select("doc_id", F.size(T.tokens(F.col("text"))).cast("long").alias("n"))
+    c = X.whole(spark, sf_dir).select("doc_id", F.size(T.tokens(F.col("text"))).cast("long").alias("n"))
     return c.join(states, "doc_id").groupBy("state").agg(F.sum("n").alias("tokens"))

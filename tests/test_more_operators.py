@@ -119,7 +119,7 @@ def test_exact_search_of_many_queries(spark, monkeypatch):
     e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select("vec_id", F.col("embedding").alias("vector")).where("vec_id < 60")
     q, c = e.withColumnRenamed("vec_id", "query_id"), e.withColumnRenamed("vec_id", "chunk_id")
     expected = sorted(map(tuple, ranking.cosine_top(q, c, 3).collect()))
-    monkeypatch.setattr(ranking, "MOST_QUERIES", 25)
+    monkeypatch.setattr(ranking, "BLOCK_BYTES", 25 * 8 * 64)
     assert sorted(map(tuple, ranking.cosine_top(q, c, 3).collect())) == expected and len(expected) == 3 * q.count()
 
 
