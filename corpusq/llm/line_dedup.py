@@ -175,17 +175,18 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
     """docs with text replaced by the kept lines; with counts, n_lines and n_dropped are added."""
     gone = stage(dropped_lines(docs, min_chars, min_docs, bits, keep))
     n = gone.select(F.sum(F.size("lines"))).first()[0] or 0
-    doc, text_hash, lines, own = unused(docs, "d", "h", "lines", "own")
+    doc, text_hash, lines, own, all_lines = unused(docs, "d", "h", "lines", "own", "all_lines")
     gone = gone.select(F.col("d").alias(doc), F.col("h").alias(text_hash), F.col("lines").alias(lines))
     gone = F.broadcast(gone) if n <= BROADCAST_LINES else gone
     out = docs.withColumn(own, F.xxhash64("text")).join(gone, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(own) == F.col(text_hash)), "left")
     text = F.coalesce("text", F.lit(""))
-    split = F.split(text, "\n", -1)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(lines))
-    kept = F.when(F.col(lines).isNull(), text).otherwise(F.array_join(F.transform(stay, lambda i: F.get(split, i)), "\n"))
+    # Exploded from an array of one, so that Spark splits a text once and not again in each place that uses its lines.
+    out = out.withColumn(all_lines, F.explode(F.array(F.split(text, "\n", -1))))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.col(lines))
+    kept = F.when(F.col(lines).isNull(), text).otherwise(F.array_join(F.transform(stay, lambda i: F.get(F.col(all_lines), i)), "\n"))
     new = {"text": kept}
     if counts:
-        new |= {"n_lines": F.size(split).cast("long"), "n_dropped": F.coalesce(F.size(lines), F.lit(0)).cast("long")}
+        new |= {"n_lines": F.size(all_lines).cast("long"), "n_dropped": F.coalesce(F.size(lines), F.lit(0)).cast("long")}
     names = docs.columns + [c for c in new if c.lower() not in {x.lower() for x in docs.columns}]
     return out.withColumns(new).select(*[f"`{c}`" for c in names])
 
