@@ -13,11 +13,12 @@ from corpusq.sources.streams import written
 
 @dataclass(frozen=True)
 class Ingested:
-    """outcomes: doc_id, state, chunks, duplicate_of, detail; chunks with chunk_id and vector; terms: chunk_id, term, term_count."""
+    """outcomes: doc_id, state, chunks, duplicate_of, detail; chunks with chunk_id and vector; terms: chunk_id, term, term_count; hashes: doc_id, content_hash of documents with chunks."""
 
     outcomes: DataFrame
     chunks: DataFrame
     terms: DataFrame
+    hashes: DataFrame
 
 
 #: What is said of documents that the registry holds in one of these states; they are left as they are.
@@ -51,4 +52,4 @@ def ingest(uploads: DataFrame, registry: DataFrame, strategy: str = "heading", w
     )
     kept = drafts.join(judged.where(~copy).select("doc_id"), "doc_id", "left_semi").withColumn("chunk_id", F.concat_ws("-", "doc_id", "chunk_index"))
     chunks = kept.join(vectors.hash_embedding(kept.select("chunk_id", "text"), "chunk_id", width), "chunk_id")
-    return Ingested(done.unionByName(left), chunks, keyword.postings(kept))
+    return Ingested(done.unionByName(left), chunks, keyword.postings(kept), known.select("doc_id", "content_hash"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -105,7 +105,7 @@ class Config:
 def candidates(queries: DataFrame, chunks: DataFrame, config: Config = Config()) -> DataFrame:
     """query_id, chunk_id, keyword, vector, fused, reranked, rank, best: fused, without near duplicates, reranked; no gate yet.
 
-    queries: query_id, query, vector (unused without the vector stage), and grants if access is limited; chunks: live ones, with chunk_id, text, token_count, vector, and then acl_tags.
+    queries: query_id, query, vector (unused without the vector stage; queries without one are searched by keywords alone), and grants if access is limited; chunks: live ones, with chunk_id, text, token_count, vector, and then acl_tags.
     What a query may not see is left out of both searches before their best are taken."""
     lists = []
     if config.keyword:
@@ -113,7 +113,7 @@ def candidates(queries: DataFrame, chunks: DataFrame, config: Config = Config())
     if config.vector:
         limited = "grants" in queries.columns
         have = chunks.where("vector is not null").select("chunk_id", "vector", *(["acl_tags"] if limited else []))
-        lists.append(ranking.cosine_top(queries.select("query_id", "vector", *(["grants"] if limited else [])), have, config.fetch, 6).withColumn("stage", F.lit("vector")))
+        lists.append(ranking.cosine_top(queries.where("vector is not null").select("query_id", "vector", *(["grants"] if limited else [])), have, config.fetch, 6).withColumn("stage", F.lit("vector")))
     found = lists[0] if len(lists) == 1 else lists[0].unionByName(lists[1])
     of = lambda s: F.max(F.when(F.col("stage") == s, F.col("score"))).alias(s)
     fused = found.groupBy("query_id", "chunk_id").agg(of("keyword"), of("vector"), F.round(F.sum(1.0 / (60 + F.col("rank"))), 9).alias("fused"))
@@ -153,3 +153,16 @@ def retrieve(queries: DataFrame, chunks: DataFrame, config: Config = Config()) -
     found = written(candidates(queries, chunks, config), "found")
     final = gated(found, config)
     return final, results(queries, found, final, config.threshold)
+
+
+def gap_runs(queries: DataFrame, chunks: DataFrame, config: Config = Config(), fetch: int = 100, top: int = 50) -> DataFrame:
+    """query_id, abstained, passed, open_top, keyword_top, vector_top, threshold (LOG6): the production run of each query, and for those that it abstains
+    from the best scores of three runs without threshold: whole, by keywords only, by vectors only. Answered ones have null there."""
+    r = written(retrieve(queries, chunks, config)[1].select("query_id", "abstained", F.col("final_n").alias("passed")), "production")
+    asked = written(queries.join(r.where("abstained").select("query_id"), "query_id", "left_semi"), "unanswered")
+    wide = replace(config, threshold=0.0, fetch=fetch, top=top)
+    for name, flags in {"open_top": {}, "keyword_top": {"vector": False}, "vector_top": {"keyword": False}}.items():
+        run = replace(wide, **flags)
+        best = gated(candidates(asked, chunks, run), run).groupBy("query_id").agg(F.max("score").alias(name))
+        r = r.join(best, "query_id", "left").withColumn(name, F.when(F.col("abstained"), F.coalesce(name, F.lit(0.0))))
+    return r.withColumn("threshold", F.lit(config.threshold))

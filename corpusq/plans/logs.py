@@ -79,6 +79,26 @@ def gaps(runs: DataFrame) -> DataFrame:
     return runs.select("query_id", gap.alias("gap"), F.when(gap == "ranking_gap", "low").otherwise("high").alias("confidence"))
 
 
+def diagnoses(runs: DataFrame) -> DataFrame:
+    """runs (as for `gaps`, with passed and threshold) with gap, confidence and the figures it rests on as text."""
+    of = lambda c, n: F.format_string(f"%.{n}f", F.coalesce(c, F.lit(0.0)))
+    says = {
+        "answer_gap": F.concat(F.col("passed"), F.lit(" candidate(s) passed at threshold "), F.col("threshold")),
+        "lexical_gap": F.concat(F.lit("keyword "), of("keyword_top", 4), F.lit(" vs vector "), of("vector_top", 6)),
+        "semantic_gap": F.concat(F.lit("vector "), of("vector_top", 4), F.lit(" vs keyword "), of("keyword_top", 6)),
+        "threshold_gap": F.concat(F.lit("best "), of("open_top", 4), F.lit(" with the gate removed vs threshold "), F.col("threshold")),
+    }
+    evidence = F.concat(F.lit("best score "), of("open_top", 6), F.lit(" with the gate removed"))
+    for gap, text in says.items():
+        evidence = F.when(F.col("gap") == gap, text).otherwise(evidence)
+    return runs.join(gaps(runs), "query_id").withColumn("evidence", evidence)
+
+
+def gap_counts(found: DataFrame) -> DataFrame:
+    """gap, n: how many questions each class has."""
+    return found.groupBy("gap").agg(F.count("*").alias("n"))
+
+
 def load_summary(requests: DataFrame, by: list[str]) -> DataFrame:
     """One row, or one for each group (LOG8, LOG9): ok, failed, truncated, requests a second, TTFT of answered ones. requests: at, status, ttft_ms, answered."""
     ok = F.col("status") == "ok"

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusq import fixtures as X
 from corpusq.operators import answers, chunking, evaluation, keyword, retrieval, rewrite, vectors
+from corpusq.plans import logs
 from corpusq.queries import _TOK, ASKED, BM25, CHUNKS, GRAMS, POSTINGS, query
 from corpusq.queries_text import outlined
 from corpusq.sources import files
@@ -91,6 +92,11 @@ def rnk12_trace(spark, sf_dir):
     return retrieval.retrieve(*hybrid(spark, sf_dir))[1]
 
 
+@query()
+def log6_diagnoses(spark, sf_dir):
+    return logs.diagnoses(retrieval.gap_runs(*hybrid(spark, sf_dir)))
+
+
 @query()
 def snk5_log_rows(spark, sf_dir):
     q, c, config = hybrid(spark, sf_dir)

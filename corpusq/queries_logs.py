@@ -264,6 +264,74 @@ def cit9_answer_stream(spark, sf_dir):
     return stateful_run(stateful.answer_sentences(c.select(F.col("conv_id").alias("query_id"), F.col("turn").alias("seq"), F.col("text").alias("delta"), (F.col("turn") == F.col("last")).alias("done"))))
 
 
+def answer_deltas(spark, sf_dir):
+    """A stream of answers, a turn of the assistant at a time, each with a citation of passage turn % 5 of 3."""
+    of = "role = 'assistant'"
+    last = X.table(spark, sf_dir, "conversations").where(of).groupBy("conv_id").agg(F.max("turn").alias("last"))
+    c = streams.read_stream(spark, f"{sf_dir}/conversation[s].parquet").where(of).join(last, "conv_id")
+    delta = F.concat(F.coalesce("text", F.lit("")), F.lit(" ["), F.col("turn") % 5, F.lit("]. "))
+    return c.select(F.col("conv_id").alias("query_id"), F.col("turn").alias("seq"), delta.alias("delta"), (F.col("turn") == F.col("last")).alias("done"), F.lit(3).alias("passages"))
+
+
+@query("""with a as (select conv_id as query_id, turn % 5 between 1 and 3 as good from conversations where role = 'assistant')
+    select query_id, case when bool_or(good) then 'citation_warning' else 'refusal' end as kind, cast(count(*) filter (not good) as integer) as stripped
+    from a group by 1 having bool_or(not good)""")
+def cit9_answer_ends_stream(spark, sf_dir):
+    """What each streamed answer with a bad citation ends with."""
+    return stateful_run(stateful.answer_parts(answer_deltas(spark, sf_dir))).where("kind <> 'token'").select("query_id", "kind", "stripped")
+
+
+@query()
+def cit9_answer_parts_stream(spark, sf_dir):
+    return stateful_run(stateful.answer_parts(answer_deltas(spark, sf_dir)))
+
+
+def _arriving(rows, part, parts: int):
+    """Calls back with a stream over a folder after each part of the rows has come into it."""
+    spark, folder = rows.sparkSession, streams.shared_path(rows.sparkSession, "arriving")
+    for i in range(parts):
+        rows.where(F.expr(part) == i).write.mode("append").parquet(folder)
+        yield streams.read_stream(spark, folder)
+
+
+_PART = "least(3, (day(ts) - 1) div 8 + if(event_id % 10 = 0, 1, 0))"
+
+
+@query(f"""with p as (select event_id as query_id, ts, {_PART.replace('div', '//').replace('if(event_id % 10 = 0, 1, 0)', 'case when event_id % 10 = 0 then 1 else 0 end')} as part from events),
+    m as (select part, max(ts) as latest from p group by 1), h as (select p.part, max(m.latest) - interval 2 days as horizon from (select distinct part from p) p left join m on m.part < p.part group by 1)
+    select query_id, coalesce(ts < horizon, false) as late from p join h using (part)""")
+def str7_late_rows_stream(spark, sf_dir):
+    """The log comes in four parts of eight days; every tenth row comes with the part after its own."""
+    e = X.table(spark, sf_dir, "events").withColumn("created_at", F.col("ts").cast("timestamp"))
+    out, state = streams.shared_path(spark, "log"), streams.shared_path(spark, "state")
+    for s in _arriving(e, _PART, 4):
+        stateful.ingest_log(s.select(F.col("event_id").alias("query_id"), "created_at"), out, state, "2 days")
+    return spark.read.parquet(f"{out}/rows").select("query_id", F.col("late").cast("boolean").alias("late"))
+
+
+def uploads_in_two(spark, sf_dir):
+    """All pages as uploads; every tenth of the first half comes again with the second."""
+    p = X.table(spark, sf_dir, "pages")
+    again = p.where("page_id % 20 = 0").withColumn("part", F.lit(1))
+    both = p.withColumn("part", (F.col("page_id") % 2).cast("int")).unionByName(again)
+    name = F.format_string("p%d.%s", "page_id", F.when(F.col("page_id") % 7 == 0, "exe").otherwise("html"))
+    for s in _arriving(both, "part", 2):
+        yield intake.html_text(s).select(F.col("page_id").alias("doc_id"), name.alias("filename"), "text", F.timestamp_seconds("page_id").alias("uploaded_at"))
+
+
+@query("""select page_id as doc_id, case when page_id % 7 = 0 then 'failed' else 'live' end as state, page_id % 7 <> 0 as has_chunks, page_id % 7 <> 0 as has_terms,
+    case when page_id % 7 = 0 then 'unsupported' when page_id % 20 = 0 then 'already indexed' end as detail from pages""")
+def str9_ingest_stream(spark, sf_dir):
+    """Each page's last outcome, and whether the tables of chunks and terms hold it."""
+    out, state = streams.shared_path(spark, "ingest"), streams.shared_path(spark, "state")
+    for u in uploads_in_two(spark, sf_dir):
+        stateful.ingest_uploads(u, out, state, target=120, overlap=24, least=8)
+    last = spark.read.parquet(f"{out}/outcomes").groupBy("doc_id").agg(F.max_by("state", "batch").alias("state"), F.max_by(F.struct("detail"), "batch").alias("d"))
+    c, t = spark.read.parquet(f"{out}/chunks"), spark.read.parquet(f"{out}/terms")
+    c = c.groupBy("doc_id").agg(F.count("*").alias("n")).join(c.join(t, "chunk_id", "left_semi").select("doc_id").distinct().withColumn("t", F.lit(True)), "doc_id", "left")
+    return last.join(c, "doc_id", "left").select("doc_id", "state", F.col("n").isNotNull().alias("has_chunks"), F.col("t").isNotNull().alias("has_terms"), "d.detail")
+
+
 @query()
 def str2_silence_stream(spark, sf_dir):
     e = streams.read_stream(spark, f"{sf_dir}/event[s].parquet")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -9,10 +10,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from corpusq.operators import ingest as batches
+from corpusq.operators.answers import LONGEST_HELD, REFUSALS
 from corpusq.operators.chunking import split_sentences
 from corpusq.operators.lifecycle import TRANSITIONS
 
 LIMIT, SECONDS = 30, 60
+_MARK, _WIDE = re.compile(r"\[(\d+)\]", re.ASCII), re.compile(r"[【［]\s*(\d+)\s*[】］]", re.ASCII)
 
 
 class _Limiter(StatefulProcessor):
@@ -90,6 +94,17 @@ def lifecycle_stream(events: DataFrame) -> DataFrame:
         _Lifecycle(), "doc_id long, seq long, before string, state string, accepted boolean", "append", "none")
 
 
+def _cut(text: str, done: bool) -> tuple[list[str], str]:
+    """The sentences that are whole, and what goes on with the next delta."""
+    whole, rest = split_sentences(text)
+    if done:
+        return whole + ([rest] if rest else []), ""
+    if not whole:
+        return whole, text.lstrip()
+    # Without a rest the last sentence may go on, or its citation may still come.
+    return (whole, text[text.rindex(rest) :]) if rest else (whole[:-1], text[text.rindex(whole[-1]) :])
+
+
 class _Sentences(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.rest = handle.getValueState("rest", "text string, next int")
@@ -97,17 +112,12 @@ class _Sentences(StatefulProcessor):
     def handleInputRows(self, key, rows, timers) -> Iterator[pd.DataFrame]:
         text, i = self.rest.get() if self.rest.exists() else ("", 0)
         b = pd.concat(list(rows)).sort_values("seq")
-        text += "".join(x for x in b["delta"] if x)
-        whole, rest = split_sentences(text)
-        if not b["done"].any():
-            # The last sentence may go on, or its citation may still come.
-            keep = whole[-1] if whole and not rest else None
-            rest_text = text[text.rindex(keep) :] if keep else text[len(text) - len(text.lstrip()) :] if not whole else text[text.rindex(rest) :]
-            whole = whole[:-1] if keep else whole
-            self.rest.update((rest_text, i + len(whole)))
-        else:
-            whole += [rest] if rest else []
+        done = b["done"].any()
+        whole, rest = _cut(text + "".join(x for x in b["delta"] if x), done)
+        if done:
             self.rest.clear()
+        else:
+            self.rest.update((rest, i + len(whole)))
         yield pd.DataFrame([(key[0], i + n, s) for n, s in enumerate(whole)], columns=["query_id", "sent_idx", "sentence"])
 
     def close(self) -> None:
@@ -120,6 +130,70 @@ def answer_sentences(deltas: DataFrame) -> DataFrame:
         _Sentences(), "query_id long, sent_idx int, sentence string", "append", "none")
 
 
+def _checked(sentence: str, passages: int) -> tuple[str, int, int]:
+    """A sentence without citations of passages that are not there, with the number of its good and bad ones; as `answers.validated` does for tables."""
+    folded = _WIDE.sub(r"[\1]", sentence)
+    cited = [1 <= int(n) <= passages for n in _MARK.findall(folded)]
+    text = _MARK.sub(lambda m: m[0] if 1 <= int(m[1]) <= passages else "", folded)
+    return re.sub(r"\s+([.,;:!?])", r"\1", re.sub(r"[ \t]{2,}", " ", text)).strip(), sum(cited), len(cited) - sum(cited)
+
+
+class _Answers(StatefulProcessor):
+    """State: the unfinished sentence, what is held back until a citation grounds the answer, and counts."""
+
+    COLUMNS = ["query_id", "part", "kind", "text", "stripped"]
+
+    def __init__(self, longest: int) -> None:
+        self.longest = longest
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("answer", "text string, held string, n_held int, grounded boolean, part int, stripped int")
+
+    def handleInputRows(self, key, rows, timers) -> Iterator[pd.DataFrame]:
+        text, held, n_held, grounded, part, stripped = self.state.get() if self.state.exists() else ("", "", 0, False, 0, 0)
+        b = pd.concat(list(rows)).sort_values("seq")
+        done = bool(b["done"].any())
+        whole, rest = _cut(text + "".join(x for x in b["delta"] if x), done)
+        out = []
+        for sentence in whole:
+            said, good, bad = _checked(sentence, int(b["passages"].iloc[0]))
+            stripped += bad
+            if not grounded and not good:
+                n_held += len(said)
+                held = " ".join(x for x in (held, said) if x)
+                if n_held > self.longest:
+                    held, n_held = "", 0
+                continue
+            grounded = True
+            for t in (held, said):
+                if t:
+                    out.append((key[0], part, "token", " " + t if part else t, 0))
+                    part += 1
+            held, n_held = "", 0
+        if done:
+            self.state.clear()
+            if not grounded:
+                out.append((key[0], part, "refusal", REFUSALS["ungrounded_answer"], stripped))
+            elif stripped:
+                out.append((key[0], part, "citation_warning", "", stripped))
+        else:
+            self.state.update((rest, held, n_held, grounded, part, stripped))
+        yield pd.DataFrame(out, columns=self.COLUMNS)
+
+    def close(self) -> None:
+        pass
+
+
+def answer_parts(deltas: DataFrame, longest: int = LONGEST_HELD) -> DataFrame:
+    """query_id, part, kind, text, stripped (CIT9): what may be shown of streamed answers. Citations of absent passages are cut out; sentences before the
+    first good citation are held back, over `longest` held characters are discarded; an answer's tokens, one after the other, are its text. At its end an
+    answer without any good citation gives a refusal, one with bad citations a warning with their number.
+
+    deltas: a stream of query_id (long), seq, delta, done (last of its answer), passages (how many there are)."""
+    return deltas.select("query_id", "seq", "delta", "done", "passages").groupBy("query_id").transformWithStateInPandas(
+        _Answers(longest), "query_id long, part int, kind string, text string, stripped int", "append", "none")
+
+
 class _Silence(StatefulProcessor):
     """State: a key's latest event, and whether the silence after it has been told."""
 
@@ -179,10 +253,51 @@ def with_feedback(log: DataFrame, feedback: DataFrame, late: str = "1 day", span
     return a.join(b, F.expr(f"query_id = voted_id and voted_at >= created_at and voted_at <= created_at + {span}"), "leftOuter").drop("voted_id")
 
 
+def _each_batch(rows: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+    rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def ingest(uploads: DataFrame, batch: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> None:
-    """Runs the batch pipeline over each micro-batch and writes it under the batch's own folder, so a repeated batch overwrites itself (STR9, SRC6, STR7)."""
+    """Runs a batch function over each micro-batch and writes it under the batch's own folder, so a repeated batch overwrites itself (SRC6)."""
+    _each_batch(uploads, lambda df, n: batch(df).write.mode("overwrite").parquet(f"{path}/batch={n}"), checkpoint)
+
+
+def ingest_log(log: DataFrame, path: str, checkpoint: str, late: str = "10 minutes") -> None:
+    """Appends log rows to a table partitioned by `late` (STR7): rows whose created_at lies more than `late` before the latest of all earlier micro-batches
+    go to its side late=true, others, and those without a time, to late=false. Each batch writes its rows once and one row with the latest time so far;
+    a repeated batch overwrites its own folders and sees the same earlier ones."""
 
     def write(df: DataFrame, n: int) -> None:
-        batch(df).write.mode("overwrite").parquet(f"{path}/batch={n}")
+        spark = df.sparkSession
+        before = spark.read.parquet(f"{path}/latest/batch={n - 1}").first()[0] if n else None
+        horizon = F.lit(before).cast("timestamp") - F.expr(f"interval {late}")
+        df.withColumn("late", F.coalesce(F.col("created_at") < horizon, F.lit(False))).write.mode("overwrite").partitionBy("late").parquet(f"{path}/rows/batch={n}")
+        latest = F.greatest(F.max("created_at"), F.lit(before).cast("timestamp")).alias("latest")
+        spark.read.schema(df.schema).parquet(f"{path}/rows/batch={n}").agg(latest).write.mode("overwrite").parquet(f"{path}/latest/batch={n}")
+
+    _each_batch(log, write, checkpoint)
+
 
-    uploads.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+def ingest_uploads(uploads: DataFrame, path: str, checkpoint: str, **sizes: int) -> None:
+    """Runs the batch pipeline over each micro-batch of uploads and writes its outcomes, chunks, terms and registry rows under the batch's own folder of each
+    table (STR9). The registry of earlier batches tells which documents are there and which are copies; redelivered uploads leave theirs as it is.
+
+    uploads: a stream of doc_id, filename, text, uploaded_at; of a document that comes twice in one batch the latest upload counts."""
+
+    def write(df: DataFrame, n: int) -> None:
+        spark = df.sparkSession
+        kind = dict(df.dtypes)["doc_id"]
+        if n:
+            r = spark.read.parquet(f"{path}/registry").where(F.col("batch") < n)
+            hashed = F.when(F.col("content_hash").isNotNull(), F.col("batch"))
+            known = r.groupBy("doc_id").agg(F.max_by("state", "batch").alias("state"), F.max_by("content_hash", hashed).alias("content_hash"), F.min("uploaded_at").alias("uploaded_at"))
+        else:
+            known = spark.createDataFrame([], f"doc_id {kind}, state string, content_hash string, uploaded_at timestamp")
+        last = F.max_by(F.struct("filename", "text", "uploaded_at"), F.struct("uploaded_at", "text", "filename")).alias("u")
+        u = df.groupBy("doc_id").agg(last).select("doc_id", "u.*")
+        got = batches.ingest(u, known, **sizes)
+        registry = got.outcomes.join(got.hashes, "doc_id", "left").join(u.select("doc_id", "uploaded_at"), "doc_id")
+        for name, table in {"outcomes": got.outcomes, "chunks": got.chunks, "terms": got.terms, "registry": registry.select("doc_id", "state", "content_hash", "uploaded_at")}.items():
+            table.write.mode("overwrite").parquet(f"{path}/{name}/batch={n}")
+
+    _each_batch(uploads, write, checkpoint)
