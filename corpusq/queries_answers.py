@@ -129,7 +129,25 @@ def glossary(spark, sf_dir):
     return X.table(spark, sf_dir, "benchmark").selectExpr("item_id as position", "lower(regexp_extract(text, '[A-Za-z0-9_]+', 0)) as term", "regexp_extract(text, '[A-Za-z0-9_]+ ([A-Za-z0-9_]+)', 1) as synonym")
 
 
-@query()
+_WORDS = "regexp_extract_all(lower({}), '[A-Za-z0-9_]+')"
+_PRONOUNS = "[" + ", ".join(f"'{w}'" for w in rewrite.PRONOUNS) + "]"
+_ASKS = r"(?i)^\s*(do|does|did|is|are|was|were|can|could|would|should|will|shall|may|might|tell\s+me\s+about|explain|describe|what\s+is|what\s+are|what''?s)\s+"
+_BARE = r"trim(regexp_replace(trim({}), '[?.]+\s*$', ''))"
+_TOPIC = _BARE.format(rf"regexp_replace(trim(regexp_replace({_BARE.format('query')}, '{_ASKS}', '')), '(?i)^(the|a|an|my|our|your|their)\s+', '')")
+_OPENER = rewrite.OPENER.replace("'", "''")
+
+
+@query(f"""with t as (select conv_id, turn, case when turn > 0 and conv_id % 3 = 0 then 'What about ' || substring(text, 1, 20) || '?' when turn > 0 and conv_id % 3 = 1 then 'Does it ' || substring(text, 1, 20) else text end as query
+        from conversations where role = 'user'), u as (select *, {_WORDS.format(_TOPIC)} as topic, {_WORDS.format('query')} as present from t where trim(query) <> ''),
+    a as (select conv_id || '-' || turn as query_id, query, present, last_value(case when len(topic) >= 2 then array_to_string(topic[1:6], ' ') end ignore nulls) over (partition by conv_id order by turn rows between 10 preceding and 1 preceding) as before from u),
+    o as (select *, trim(regexp_replace(trim(regexp_extract(query, '{_OPENER}', 1)), '[?.]+$', '')) as of, array_to_string(list_filter(present, lambda x: not list_contains({_PRONOUNS}, x)), ' ') as rest from a),
+    r as (select *, case when before is null then null when of <> '' and not list_has_any({_WORDS.format('of')}, {_PRONOUNS}) then before || ' ' || of
+        when list_has_any(present, {_PRONOUNS}) then before || ' ' || case when rest = '' then before else rest || '?' end end as res from o),
+    g as ({_GLOSS}), h as (select distinct query_id, position, synonym from (select query_id, unnest(present) as term from a) q join g using (term)),
+    n as (select query_id, lower(synonym) as k, min({{'position': position, 'synonym': synonym}}) as s from h join a using (query_id) where not list_contains(present, lower(synonym)) group by all),
+    x as (select query_id, string_agg(s.synonym, ' ' order by i) as added from (select *, row_number() over (partition by query_id order by s) as i from n qualify i <= 4) group by 1),
+    f as (select query_id, query as original, coalesce(res, query || ' ' || added, query) as query, case when res is not null then 'anaphora' when added is not null then 'expansion' else 'none' end as stage from r left join x using (query_id))
+    select *, query <> original as changed from f""")
 def rw1_rw2_rw3_rw5_rewritten(spark, sf_dir):
     return rewrite.rewritten(rewrites(spark, sf_dir), glossary(spark, sf_dir))
 
