@@ -174,7 +174,18 @@ def cit3_totals(spark, sf_dir):
     return answers.totals(answers.validated(said(spark, sf_dir)))
 
 
-@query()
+_REFUSAL = answers.REFUSALS["ungrounded_answer"].replace("'", "''")
+
+
+@query(rf"""with recursive s as (select conv_id as query_id, turn % 5 between 1 and 3 as good, row_number() over (partition by conv_id order by turn) as i,
+        trim(regexp_replace(regexp_replace(text || ' ' || case when turn % 5 between 1 and 3 then '[' || (turn % 5) || ']' else '' end, '[ \t]{{2,}}', ' ', 'g'), '\s+([.,;:!?])', '\1', 'g')) as text
+        from conversations where role = 'assistant'),
+    f as (select query_id, '' as shown, '' as held, 0 as n, false as ok, 0::bigint as i, 0::bigint as stripped from s group by 1 union all
+        select f.query_id, case when ok or good then concat_ws(' ', nullif(shown, ''), nullif(held, ''), nullif(text, '')) else shown end,
+            case when ok or good or n + length(text) > 4000 then '' when text = '' then held else concat_ws(' ', nullif(held, ''), text) end,
+            case when ok or good or n + length(text) > 4000 then 0 else n + length(text)::int end, ok or good, s.i, f.stripped + (not good)::int
+        from f join s on s.query_id = f.query_id and s.i = f.i + 1)
+    select query_id, case when ok then shown else '{_REFUSAL}' end as answer, not ok as abstained, stripped from f qualify row_number() over (partition by query_id order by i desc) = 1""")
 def cit1_cit4_assembled(spark, sf_dir):
     return answers.assembled(answers.validated(said(spark, sf_dir)))
 
