@@ -26,8 +26,9 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def read_stream(spark: SparkSession, path: str) -> DataFrame:
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+def read_stream(spark: SparkSession, path: str, batch_bytes: int = 256 << 20) -> DataFrame:
+    """A stream over a folder's parquet files, oldest first; micro-batches of about batch_bytes bound what a key's state sees at once."""
+    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxBytesPerTrigger", batch_bytes).parquet(path)
 
 
 def run_to_end(result: DataFrame, mode: str = "append") -> DataFrame:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -207,7 +209,10 @@ class _Silence(StatefulProcessor):
         return pd.DataFrame([(key[0], t) for t in begins], columns=["source", "at"])
 
     def handleInputRows(self, key, rows, timers) -> Iterator[pd.DataFrame]:
-        times = (pd.concat(list(rows))["created_at"].astype("datetime64[ms]").astype("int64")).sort_values().tolist()
+        # Of each block only its distinct milliseconds are kept.
+        times = reduce(np.union1d, (b["created_at"].dropna().astype("datetime64[ms]").astype("int64").to_numpy() for b in rows), np.empty(0, "int64")).tolist()
+        if not times:
+            return
         at, told = self.last.get() if self.last.exists() else (None, False)
         if at is not None:
             self.handle.deleteTimer(at + self.millis)
