@@ -87,4 +87,27 @@ select doc_id, size, source_size, target, cast(times * size as bigint) as taken,
 from timed
 """
 
-ORACLE_SQL = {"op3_line_dedup": OP3, "op5_quality_rules": OP5, "op7_topk": OP7, "op8_mixing": OP8}
+OP13 = """
+with v as (
+    select vec_id, cast(case when vec_id % 7 = 0 then (label + 1) % 10 else label end as bigint) as label,
+        list_transform(embedding, lambda c: cast(floor(256 * cast(c as double)) as bigint)) as x
+    from embeddings
+    where vec_id is not null and label is not null and len(embedding) > 0 and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0),
+parts as (select vec_id, unnest(x) as c, generate_subscripts(x, 1) as i from v),
+sums as (
+    select q.vec_id as anchor_id, e.vec_id, sum(q.c * e.c) as score
+    from parts q join parts e on q.i = e.i and q.vec_id <> e.vec_id where q.vec_id % 100 = 0 group by all),
+scores as (
+    select s.*, a.label = e.label as same from sums s join v a on a.vec_id = s.anchor_id join v e on e.vec_id = s.vec_id),
+positives as (
+    select anchor_id, vec_id as positive_id, score as positive_score from scores where same
+    qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5),
+ranked as (
+    select p.anchor_id, p.positive_id, s.vec_id as negative_id, p.positive_score, s.score as negative_score,
+        row_number() over (partition by p.anchor_id, p.positive_id order by s.score desc, s.vec_id) as rank
+    from positives p join scores s on s.anchor_id = p.anchor_id and not s.same and 80 * p.positive_score <= 100 * s.score and s.score <= p.positive_score)
+select anchor_id, positive_id, cast(rank as integer) as rank, negative_id, cast(positive_score as bigint) as positive_score, cast(negative_score as bigint) as negative_score
+from ranked where rank <= 5
+"""
+
+ORACLE_SQL = {"op3_line_dedup": OP3, "op5_quality_rules": OP5, "op7_topk": OP7, "op8_mixing": OP8, "op13_hard_negatives": OP13}
