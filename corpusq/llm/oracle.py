@@ -87,6 +87,37 @@ select doc_id, size, source_size, target, cast(times * size as bigint) as taken,
 from timed
 """
 
+OP12 = rf"""
+with d as (
+    select row_number() over () as d, coalesce(lang, 'und') as lang, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') as t from documents),
+pieces as (select d, lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) as piece, generate_subscripts(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]'), 1) as p from d),
+split as (select d, p, lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces),
+totals as (select lang, cast(sum(len(w)) as hugeint) as n from split group by lang),
+words as (select d, p, lang, unnest(w) as w, generate_subscripts(w, 1) as i from split),
+rows as (
+    select lang, w as w1, lead(w, 1) over o as w2, lead(w, 2) over o as w3, lead(w, 3) over o as w4, lead(w, 4) over o as w5
+    from words window o as (partition by d, p order by i)),
+starts as (select lang, w1, w2, w3, w4, w5, count(*) as n from rows group by all),
+phrases as (
+    select lang, m, [w1, w2, w3, w4, w5][1:m] as w, cast(sum(n) as hugeint) as f from starts, (values (1), (2), (3), (4), (5)) as s(m)
+    where case m when 1 then w1 when 2 then w2 when 3 then w3 when 4 then w4 else w5 end is not null group by all having sum(n) >= 100),
+inner_ones as (
+    select distinct p.lang, p.f, p.w[i:i + s.m - 1] as w from phrases p, (values (2), (3), (4)) as s(m), (values (1), (2), (3), (4)) as o(i)
+    where p.m >= 3 and s.m < p.m and i + s.m - 1 <= p.m),
+longer as (select lang, w, max(f) as f from inner_ones group by all),
+kept as (select p.* from phrases p left join longer l on l.lang = p.lang and l.w = p.w where p.m >= 2 and (l.f is null or 100 * l.f < 100 * p.f)),
+cuts as (
+    select c.lang, c.w, c.f as a, k, x.f as l, y.f as r, t.n, (1000 * c.f * t.n) // (x.f * y.f) as score
+    from kept c join (values (1), (2), (3), (4)) as s(k) on k < c.m
+    join phrases x on x.lang = c.lang and x.w = c.w[1:k] join phrases y on y.lang = c.lang and y.w = c.w[k + 1:c.m] join totals t on t.lang = c.lang),
+lowest as (select * from cuts qualify row_number() over (partition by lang, w order by score, k) = 1),
+ranked as (
+    select lang, row_number() over (partition by lang order by score desc, a desc, array_to_string(w, ' ')) as rank, array_to_string(w, ' ') as phrase, a, l, r, n, score
+    from lowest)
+select lang, rank, phrase, cast(a as bigint) as a, cast(l as bigint) as l, cast(r as bigint) as r, cast(n as bigint) as n, cast(score as bigint) as score
+from ranked where rank <= 2000
+"""
+
 OP13 = """
 with v as (
     select vec_id, cast(case when vec_id % 7 = 0 then (label + 1) % 10 else label end as bigint) as label,
@@ -110,4 +141,4 @@ select anchor_id, positive_id, cast(rank as integer) as rank, negative_id, cast(
 from ranked where rank <= 5
 """
 
-ORACLE_SQL = {"op3_line_dedup": OP3, "op5_quality_rules": OP5, "op7_topk": OP7, "op8_mixing": OP8, "op13_hard_negatives": OP13}
+ORACLE_SQL = {"op3_line_dedup": OP3, "op5_quality_rules": OP5, "op7_topk": OP7, "op8_mixing": OP8, "op12_collocations": OP12, "op13_hard_negatives": OP13}

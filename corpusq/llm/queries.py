@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusq.llm import classifier, hard_negatives, html_text, licenses, line_dedup, mixing, packing, pii, quality_rules, simhash, tokens, topk
+from corpusq.llm import classifier, collocations, hard_negatives, html_text, licenses, line_dedup, mixing, packing, pii, quality_rules, simhash, tokens, topk
 from corpusq.llm.common import read
 
 
@@ -54,6 +54,10 @@ def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(read(spark, sf_dir, "documents"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.hard_negatives(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
@@ -64,6 +68,6 @@ QUERIES = {
     for f in (
         op1_simhash, op2_html_text, op3_line_dedup, op4_packing, op5_quality_rules,
         op6_licenses, op7_topk, op8_mixing, op9_token_counts, op10_quality_classifier,
-        op11_pii, op13_hard_negatives,
+        op11_pii, op12_collocations, op13_hard_negatives,
     )
 }
