@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows and bytes that one Arrow batch may carry to a Python worker.
 BATCH_ROWS = 2_000
@@ -74,11 +75,28 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def _told_apart(c: Column, kind: T.DataType, seed: int) -> Column:
+    """c in a form whose hash tells nulls inside it from nothing, and that maps and variants have as well."""
+    if isinstance(kind, T.ArrayType):
+        inner = F.transform(c, lambda x: _told_apart(x, kind.elementType, seed))
+        return F.struct(c.isNull(), F.size(c), inner)
+    if isinstance(kind, T.StructType):
+        return F.struct(c.isNull(), *[_told_apart(c.getField(f.name), f.dataType, seed) for f in kind.fields])
+    if isinstance(kind, T.MapType):
+        # Maps are equal whatever the order of their entries.
+        entry = lambda e: F.xxhash64(F.lit(seed), _told_apart(e["key"], kind.keyType, seed), _told_apart(e["value"], kind.valueType, seed))
+        return F.struct(c.isNull(), F.sort_array(F.transform(F.map_entries(c), entry)))
+    if isinstance(kind, T.VariantType):
+        return F.struct(c.isNull(), F.schema_of_variant(c), F.to_json(c))
+    return F.struct(c.isNull(), c)
+
+
 def row_hash(df: DataFrame) -> list[Column]:
-    """Two 64-bit hashes of a whole row; equal rows have equal ones. Maps, which have no hash, are left out."""
-    cols = [F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
-    nulls = F.concat(*[F.when(c.isNull(), "1").otherwise("0") for c in cols])
-    return [F.xxhash64(F.lit(seed), nulls, *cols) for seed in (1, 2)]
+    """Two 64-bit hashes of a whole row: equal rows have equal ones, and rows that differ anywhere, inside arrays, structs, maps and variants too, have others."""
+    nested = (T.ArrayType, T.StructType, T.MapType, T.VariantType)
+    cols = {f.name: (F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields}
+    nulls = F.concat(*[F.when(c.isNull(), "1").otherwise("0") for c, _ in cols.values()])
+    return [F.xxhash64(F.lit(seed), nulls, *[_told_apart(c, t, seed) if isinstance(t, nested) else c for c, t in cols.values()]) for seed in (1, 2)]
 
 
 def lower_ascii(col):

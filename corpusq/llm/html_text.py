@@ -61,13 +61,112 @@ UNSURE_NAMES = set("""sponsor sponsors promo promotion alert popup modal overlay
 BESIDE = set("site page global list item items box block area section bar banner notice notices posts links buttons slot unit".split())
 VOID = {"br", "hr", "img", "input", "meta", "link", "source", "wbr", "area", "base", "col", "embed", "param", "track"}
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<(?P<raw>script|style|noscript|template|svg|iframe|object|canvas|textarea|select|title)(?=[\s/>])"
-    # Closed by "/>", unless that ends an unquoted value or stands in a quoted one.
-    r"(?:(?:\s*+[^\s\"'<>=/]++(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>]++))?+)*+\s*+/>|[^>]*>.*?(?:</(?P=raw)\s*>|\Z))"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][\w:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
-    re.S | re.I,
-)
+_RAW = re.compile(r"<(script|style|noscript|template|svg|iframe|object|canvas|textarea|select|title)(?=[\s/>])", re.I)
+_RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW if t != "head"}
+_TAG = re.compile(r"<(/?)([a-zA-Z][\w:-]*)")
+_EVENT, _BLANK = re.compile("[>\"']"), re.compile(r"\s*")
+_NAME, _EQUALS, _VALUE = re.compile(r"[^\s\"'<>=/]+"), re.compile(r"\s*=\s*"), re.compile(r"[^\s\"'>]+")
+
+
+class Scanner:
+    """Markup of a page, in time linear in its length whatever is left open: what has failed once is known to fail wherever another try meets it, and ends that don't come any more are not looked for."""
+
+    def __init__(self, page: str):
+        self.page, self.event = page, (0, -1)
+        self.last = {x: page.rfind(x) for x in (">", '"', "'", "]]>")}
+        self.open_tags: set[int] = set()
+        self.open_raw: set[int] = set()
+
+    def _closing(self, quote: int) -> int:
+        """Where the quoted value that begins at `quote` ends, or -1."""
+        kind = self.page[quote]
+        return self.page.find(kind, quote + 1) if quote < self.last[kind] else -1
+
+    def _next_event(self, at: int) -> int:
+        since, found = self.event
+        if not since <= at <= found:
+            m = _EVENT.search(self.page, at)
+            self.event = at, m.start() if m else len(self.page)
+        return self.event[1]
+
+    def tag_end(self, at: int) -> int:
+        """The first > from `at` on that stands in no quoted value, or -1."""
+        met, e = [], self._next_event(at)
+        while e < len(self.page) and e not in self.open_tags:
+            if self.page[e] == ">":
+                return e
+            met.append(e)
+            end = self._closing(e)
+            if end < 0:
+                break
+            m = _EVENT.search(self.page, end + 1)
+            e = m.start() if m else len(self.page)
+        self.open_tags.update(met)
+        return -1
+
+    def self_closed(self, at: int) -> int:
+        """The end of "/>" after nothing but whole attributes from `at` on, or -1: it neither ends an unquoted value nor stands in a quoted one."""
+        met = []
+        while True:
+            at = _BLANK.match(self.page, at).end()
+            if at in self.open_raw:
+                break
+            met.append(at)
+            m = _NAME.match(self.page, at)
+            if not m:
+                if self.page.startswith("/>", at):
+                    return at + 2
+                break
+            at = m.end()
+            if m := _EQUALS.match(self.page, at):
+                value = m.end()
+                if self.page[value : value + 1] in ("'", '"'):
+                    end = self._closing(value)
+                    if end < 0:
+                        break
+                    at = end + 1
+                elif m := _VALUE.match(self.page, value):
+                    at = m.end()
+                else:
+                    break
+        self.open_raw.update(met)
+        return -1
+
+    def markup(self, at: int) -> tuple[int, str, str, str] | None:
+        """End, slash, tag and attributes of the markup that begins at `at`; no tag: a comment, a declaration, an element whose content is no text."""
+        page = self.page
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            return (end + 3 if end >= 0 else len(page)), "", "", ""
+        if page[at : at + 9].upper() == "<![CDATA[" and at + 9 <= self.last["]]>"]:
+            return page.find("]]>", at + 9) + 3, "", "", ""
+        if at > self.last[">"]:
+            return None
+        if m := _RAW.match(page, at):
+            end = self.self_closed(m.end())
+            if end < 0:
+                name = m[1].lower()
+                ending = _RAW_END.get(name) or re.compile(rf"</{name}\s*>", re.I)  # some other letters count as i, k and s
+                close = ending.search(page, page.find(">", m.end()) + 1)
+                end = close.end() if close else len(page)
+            return end, "", "", ""
+        if m := _TAG.match(page, at):
+            end = self.tag_end(m.end())
+            return (end + 1, m[1], m[2], page[m.end() : end]) if end >= 0 else None
+        if page[at + 1 : at + 2] in ("!", "?"):
+            return page.find(">", at) + 1, "", "", ""
+        return None
+
+    def __iter__(self) -> Iterator[tuple[int, int, str, str, str]]:
+        """Start, end, slash, tag, attributes of all markup."""
+        at = self.page.find("<")
+        while at >= 0:
+            got = self.markup(at)
+            if got:
+                yield at, *got
+            at = self.page.find("<", got[0] if got else at + 1)
+
+
 _ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _PART = re.compile(r"[_-]+")
 
@@ -111,25 +210,25 @@ def blocks(page: str | None) -> list[tuple[str, str]]:
             out.append(("c" if chrome else "m" if main else "p", text))
 
     at, page = 0, page or ""
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            text = page[at : m.start()]
+    for start, stop, slash, tag, attrs in Scanner(page):
+        if start > at:
+            text = page[at:start]
             now.append(html.unescape(text) if "&" in text else text)
-        at = m.end()
-        if not m["tag"]:
-            if m[0].startswith("<![CDATA["):
-                now.append(m[0][9:-3])
+        at = stop
+        if not tag:
+            if page.startswith("<![CDATA[", start) and page.endswith("]]>", start, stop):
+                now.append(page[start + 9 : stop - 3])
             continue
-        tag = m["tag"].lower()
+        tag = tag.lower()
         if tag in BLOCK or tag == "head":
             close()
         if tag == "head":
-            in_head = not m["end"]
+            in_head = not slash
         elif tag == "body":
             in_head = False
         if tag in VOID:
             continue
-        if m["end"]:
+        if slash:
             if chrome and tag == chrome_tag:
                 chrome -= 1
                 if not chrome:
@@ -137,13 +236,13 @@ def blocks(page: str | None) -> list[tuple[str, str]]:
             if tag in ("article", "main") and main and not chrome:
                 main -= 1
         elif chrome:
-            if tag == chrome_tag and not m["attrs"].endswith("/"):
+            if tag == chrome_tag and not attrs.endswith("/"):
                 chrome += 1
             elif tag == "main" or tag == "article" and chrome_tag in ("nav", "header") and not main:  # a menu that was never closed
                 chrome, main = 0, main + 1
-        elif m["attrs"].endswith("/"):
+        elif attrs.endswith("/"):
             continue
-        elif _is_chrome(tag, m["attrs"], main > 0):
+        elif _is_chrome(tag, attrs, main > 0):
             close()
             chrome, chrome_tag = 1, tag
         elif tag in ("article", "main"):
