@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusq.functions import text as T
+from corpusq.operators import access
+from corpusq.operators import index as I
 
 
 #: Characters of a chunk, from one chunk's start to the next one's, and numbers kept for the chunks of one document.
@@ -27,6 +29,13 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def index(spark: SparkSession, sf_dir: str, live: bool = False) -> I.Index:
+    """The session's index over the chunks, or over those of live documents: built where the documents' file is met for the first time or has changed since."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
+    s = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+    return I.kept(spark, (sf_dir, live, s.getLen(), s.getModificationTime()), lambda: access.live(chunks(spark, sf_dir), registry(spark, sf_dir)) if live else chunks(spark, sf_dir))
+
+
 def whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of one chunk each, for operators that count chunks or look them up."""
     d = table(spark, sf_dir, "documents")

@@ -1,4 +1,4 @@
-"""Vector search, fusion, duplicates, gate and budget over tables of candidates."""
+"""Fusion, duplicates, gate and budget over tables of candidates."""
 
 from __future__ import annotations
 
@@ -13,108 +13,6 @@ from corpusq.functions import text as T
 from corpusq.operators.keyword import top
 from corpusq.sources.streams import written
 
-#: Queries that meet the corpus together: their vectors go to every task, in at most so many bytes.
-BLOCK_BYTES = 16 << 20
-
-
-def unit_matrix(column: pa.Array) -> tuple[np.ndarray, int]:
-    """Unit vectors as rows, zero for those of length 0; and the width."""
-    n = np.diff(np.asarray(column.offsets))
-    if len(set(n.tolist())) > 1 or column.null_count or column.flatten().null_count:
-        raise ValueError("vectors of different widths")
-    width = int(n[0]) if len(n) else 0
-    x = np.asarray(column.flatten(), float).reshape(len(n), width)
-    size = np.sqrt((x * x).sum(axis=1, keepdims=True))
-    return np.divide(x, size, out=np.zeros_like(x), where=size > 0), width
-
-
-def cosine_top(queries: DataFrame, corpus: DataFrame, k: int = 10, digits: int = 9, others: bool = False, centers: np.ndarray | None = None, probes: int = 0) -> DataFrame:
-    """query_id, chunk_id, score, rank (VEC2): exact, over any number of queries.
-
-    queries: query_id, vector, and grants if access is limited; corpus: chunk_id, vector, and then acl_tags. others: ids are of one table, and a query does not meet its own row.
-    Blocks of queries meet the corpus as products of matrices of unit vectors. A task sends on, for each query, its k best rows and those that rounding might put level with them;
-    rows that a query may not see are left out before. centers: with them each row belongs to its nearest center and a query meets only the rows of its `probes` nearest ones."""
-    spark = queries.sparkSession
-    limited = "grants" in queries.columns
-    first = queries.select(F.size("vector")).first()
-    kinds = {n: dict(df.dtypes)[n] for df, n in ((queries, "query_id"), (corpus, "chunk_id"))}
-    result = f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, score double"
-    if first is None:
-        return top(spark.createDataFrame([], result), k)
-    block = max(1, BLOCK_BYTES // (8 * max(1, first[0])))
-    blocks = -(-queries.count() // block)
-    asked = queries.select("query_id", "vector", *(["grants"] if limited else []), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"))
-    asked = written(asked, "queries") if blocks > 1 else asked
-    rows = corpus.select("chunk_id", "vector", *(["acl_tags"] if limited else []))
-    out = None
-    for i in range(blocks):
-        some = asked.where(F.col("block") == i).drop("block").toArrow().combine_chunks()
-        if not some.num_rows:
-            continue
-        column = lambda name, some=some: some.column(name).combine_chunks()
-        q, width = unit_matrix(column("vector"))
-        grants = column("grants").to_pylist() if limited else None
-        shared = spark.sparkContext.broadcast((column("query_id").to_pylist(), q, grants))
-        got = rows.mapInArrow(_best(shared, k, 10.0**-digits, width, others, centers, probes), result)
-        out = got if out is None else out.unionByName(got)
-    return top(out.withColumn("score", F.round("score", digits)), k)
-
-
-def nearest_lists(x: np.ndarray, centers: np.ndarray, probes: int) -> np.ndarray:
-    """For each row which of the centers are its `probes` nearest ones."""
-    near = np.zeros((len(x), len(centers)), bool)
-    np.put_along_axis(near, np.argsort(-(x @ centers.T), axis=1, kind="stable")[:, :probes], True, axis=1)
-    return near
-
-
-def _products(q: np.ndarray, x: np.ndarray, centers: np.ndarray | None, probed: np.ndarray | None) -> np.ndarray:
-    """Cosines of all pairs, or of those that meet in a list; -inf for others, which aren't computed."""
-    if centers is None:
-        return q @ x.T
-    out, of = np.full((len(q), len(x)), -np.inf), (x @ centers.T).argmax(axis=1)
-    for i in np.unique(of):
-        a, b = np.flatnonzero(probed[:, i]), np.flatnonzero(of == i)
-        out[np.ix_(a, b)] = q[a] @ x[b].T
-    return out
-
-
-def _best(shared, k: int, level: float, width: int, others: bool, centers: np.ndarray | None, probes: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q, grants = shared.value
-        held: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, object))] * len(ids)
-        schema, probed = None, None if centers is None else nearest_lists(q, centers, probes)
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x, w = unit_matrix(b.column(1))
-            if w != width:
-                raise ValueError("vectors of different widths")
-            schema = b.schema.field(0).type
-            scores = _products(q, x, centers, probed)
-            names = np.array(b.column(0).to_pylist(), object)
-            if grants is not None:
-                tags = [set(t or ()) for t in b.column(2).to_pylist()]
-                seen = {g: np.array([not g or not t.isdisjoint(g) for t in tags]) for g in {tuple(g or ()) for g in grants}}
-                scores = np.where(np.array([seen[tuple(g or ())] for g in grants]), scores, -np.inf)
-            if others:
-                scores[np.array(ids, object)[:, None] == names] = -np.inf
-            # What is clearly below k others of this batch is out.
-            low = np.partition(scores, -k, axis=1)[:, -k] - level if scores.shape[1] > k else np.full(len(ids), -2.0)
-            for i in range(len(ids)):
-                at = np.flatnonzero((scores[i] >= low[i]) & (scores[i] > -2))
-                s, n = np.r_[held[i][0], scores[i][at]], np.r_[held[i][1], names[at]]
-                if len(s) > 4 * k:
-                    keep = s >= np.partition(s, -k)[-k] - level
-                    s, n = s[keep], n[keep]
-                held[i] = s, n
-        if schema is not None:
-            for i, (s, n) in enumerate(held):
-                if len(s):
-                    keep = s >= (np.partition(s, -k)[-k] if len(s) > k else -2) - level
-                    yield pa.RecordBatch.from_arrays([pa.array([ids[i]] * int(keep.sum())), pa.array(n[keep].tolist(), schema), pa.array(s[keep])], ["query_id", "chunk_id", "score"])
-
-    return run
-
 
 def fuse(lists: DataFrame, k: int = 60) -> DataFrame:
     """Reciprocal rank fusion (RNK1). lists: query_id, chunk_id, rank, weight."""

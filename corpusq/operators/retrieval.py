@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from corpusq.functions import text as T
-from corpusq.operators import keyword, ranking
+from corpusq.operators import dense, keyword, ranking
 from corpusq.sources.streams import written
 
 #: Words that the rerank leaves out.
@@ -113,7 +113,7 @@ def candidates(queries: DataFrame, chunks: DataFrame, config: Config = Config())
     if config.vector:
         limited = "grants" in queries.columns
         have = chunks.where("vector is not null").select("chunk_id", "vector", *(["acl_tags"] if limited else []))
-        lists.append(ranking.cosine_top(queries.where("vector is not null").select("query_id", "vector", *(["grants"] if limited else [])), have, config.fetch, 6).withColumn("stage", F.lit("vector")))
+        lists.append(dense.cosine_top(queries.where("vector is not null").select("query_id", "vector", *(["grants"] if limited else [])), have, config.fetch, 6).withColumn("stage", F.lit("vector")))
     found = lists[0] if len(lists) == 1 else lists[0].unionByName(lists[1])
     of = lambda s: F.max(F.when(F.col("stage") == s, F.col("score"))).alias(s)
     fused = found.groupBy("query_id", "chunk_id").agg(of("keyword"), of("vector"), F.round(F.sum(1.0 / (60 + F.col("rank"))), 9).alias("fused"))

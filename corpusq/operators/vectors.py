@@ -1,20 +1,14 @@
-"""Embeddings of whole tables: hash embedding, normal form, approximate search, checks and upkeep."""
+"""Embeddings of whole tables: hash embedding, normal form, checks and upkeep."""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusq.functions import text as T
-from corpusq.operators import ranking
 
 
 def norm(vector: Column) -> Column:
@@ -59,50 +53,6 @@ def embed(chunks: DataFrame, model: Callable[[list[str]], list[list[float]]], ba
     return chunks.select("chunk_id", told.alias("input")).mapInPandas(run, f"chunk_id {kind}, vector array<double>")
 
 
-#: Rows that lists are fitted on at most, about; lists at most; share of the lists that a query looks into.
-FITTED, MOST_LISTS, PROBED = 20_000, 1024, 0.7
-
-
-def fit_lists(corpus: DataFrame, seed: int = 7) -> np.ndarray:
-    """Unit centers of about sqrt(rows) lists, by k-means over a sample of at most about FITTED rows, drawn by a hash. corpus: chunk_id, vector."""
-    some = corpus.where(norm(F.col("vector")) > 0)
-    n = some.count()
-    if not n:
-        return np.zeros((0, 0))
-    some = some.where(F.pmod(F.xxhash64("chunk_id", F.lit(seed)), F.lit(1 << 20)) <= int(min(1.0, FITTED / n) * (1 << 20)))
-    unit = some.select(array_to_vector(F.transform("vector", lambda x: x.cast("double") / norm(F.col("vector")))).alias("features"))
-    centers = np.array(KMeans(k=max(2, min(MOST_LISTS, int(n**0.5))), maxIter=10, seed=seed).fit(unit).clusterCenters())
-    size = np.linalg.norm(centers, axis=1, keepdims=True)
-    return np.divide(centers, size, out=np.zeros_like(centers), where=size > 0)
-
-
-def approximate_top(queries: DataFrame, corpus: DataFrame, k: int = 10, probed: float = PROBED, digits: int = 6, others: bool = False, centers: np.ndarray | None = None) -> DataFrame:
-    """query_id, chunk_id, score, rank (VEC3): every row is in the list of its nearest center, a query looks into the share `probed` of the lists, its nearest ones; cosines are exact.
-
-    What share gives which recall depends on the vectors: recall() tells. Vectors of one direction each, without clusters, need over half of the lists for a recall of 0.9; clustered ones few."""
-    centers = fit_lists(corpus) if centers is None else centers
-    return ranking.cosine_top(queries, corpus, k, digits, others, centers, max(1, math.ceil(probed * len(centers))))
-
-
-def recall(queries: DataFrame, corpus: DataFrame, k: int = 10, probed: float = PROBED) -> DataFrame:
-    """recall of approximate_top() against exact search, and the share of all pairs that it computed: one row. queries and corpus are of one table."""
-    centers = fit_lists(corpus)
-    exact, near = ranking.cosine_top(queries, corpus, k, 6, True), approximate_top(queries, corpus, k, probed, 6, True, centers)
-    hit = exact.join(near.select("query_id", "chunk_id", F.lit(1).alias("found")), ["query_id", "chunk_id"], "left").agg(F.avg(F.coalesce("found", F.lit(0))).alias("recall"))
-    probes = max(1, math.ceil(probed * len(centers)))
-
-    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, _ = ranking.unit_matrix(b.column(0))
-            rows, asked = np.bincount((x @ centers.T).argmax(axis=1), minlength=len(centers)), ranking.nearest_lists(x, centers, probes).sum(axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(centers))), pa.array(rows), pa.array(asked)], ["list", "rows", "asked"])
-
-    per = lambda df: df.select("vector").mapInArrow(counts, "list long, rows long, asked long").groupBy("list").agg(F.sum("rows").alias("rows"), F.sum("asked").alias("asked"))
-    pairs = per(corpus).select("list", "rows").join(per(queries).select("list", "asked", F.col("rows").alias("queries")), "list")
-    share = pairs.agg((F.sum(F.col("rows") * F.col("asked")) / (F.sum("rows") * F.sum("queries"))).alias("share"))
-    return hit.crossJoin(share)  # one row each
-
-
 def survey(chunks: DataFrame) -> DataFrame:
     """embedding_model, width, n (VEC10); null models are labelled."""
     return chunks.where("embedding is not null").groupBy(F.coalesce("embedding_model", F.lit("<null>")).alias("embedding_model"), F.size("embedding").alias("width")).agg(F.count("*").alias("n"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusq import fixtures as X
 from corpusq.functions import text as T
-from corpusq.operators import access, evaluation, keyword, lifecycle, ranking
+from corpusq.operators import access, dense, evaluation, index, keyword, lifecycle, ranking
 from corpusq.plans import logs
 from corpusq.sources import streams
 from corpusq.streaming import alerts
@@ -62,7 +62,7 @@ def query(sql: str | None = None):
 
 
 def _bm25(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    return keyword.bm25(X.queries(spark, sf_dir), X.chunks(spark, sf_dir), k)
+    return index.search(X.index(spark, sf_dir), X.queries(spark, sf_dir), k)
 
 
 @query(f"with {CHUNKS} select chunk_id, token_count, len({_TOK.format('text')}) as n_tokens from chunks")
@@ -72,7 +72,7 @@ def txt4_txt5_tokens(spark, sf_dir):
 
 @query(f"with {CHUNKS}, {POSTINGS} select * from terms")
 def kw1_postings(spark, sf_dir):
-    return keyword.postings(X.chunks(spark, sf_dir))
+    return X.index(spark, sf_dir).postings.select("chunk_id", "term", F.col("term_count").cast("long"))
 
 
 @query(f"""with {CHUNKS}, {ASKED}, {POSTINGS},
@@ -80,7 +80,7 @@ def kw1_postings(spark, sf_dir):
     s as (select query_id, chunk_id, cast(sum(term_count) as bigint) as score, string_agg(term, ',' order by term) as matched from q join terms using (term) group by all)
     select *, cast(row_number() over (partition by query_id order by score desc, chunk_id) as integer) as rank from s qualify rank <= 50""")
 def kw2_lookup(spark, sf_dir):
-    return keyword.lookup(X.queries(spark, sf_dir), keyword.postings(X.chunks(spark, sf_dir)))
+    return index.lookup(X.queries(spark, sf_dir), X.index(spark, sf_dir))
 
 
 @query(f"with {ASKED}, {GRAMS} select query_id, term from asked")
@@ -102,11 +102,11 @@ def kw5_bm25(spark, sf_dir):
 @query("""with v as (select vec_id, list_transform(embedding, lambda c: cast(c as double)) as v from embeddings),
     s as (select q.vec_id as query_id, c.vec_id as chunk_id, round(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i]))
         / (sqrt(list_sum(list_transform(q.v, lambda x: x * x))) * sqrt(list_sum(list_transform(c.v, lambda x: x * x)))), 6) as score
-        from v q, v c where q.vec_id % 50 = 0 and c.vec_id % 50 <> 0)
+        from v q, v c where q.vec_id % 50 = 0 and c.vec_id <> q.vec_id)
     select *, cast(row_number() over (partition by query_id order by score desc, chunk_id) as integer) as rank from s qualify rank <= 10""")
 def vec2_cosine_top(spark, sf_dir):
     e = X.table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
-    return ranking.cosine_top(e.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), e.where("vec_id % 50 <> 0").withColumnRenamed("vec_id", "chunk_id"), 10, 6)
+    return dense.cosine_top(e.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), e.withColumnRenamed("vec_id", "chunk_id"), 10, 6, others=True)
 
 
 @query(f"""with {CHUNKS}, {ASKED}, {POSTINGS}, {GRAMS}, {BM25},
@@ -117,9 +117,9 @@ def vec2_cosine_top(spark, sf_dir):
     f as (select query_id, chunk_id, round(sum(weight / (60 + rank)), 9) as score from lists group by all)
     select *, cast(row_number() over (partition by query_id order by score desc, chunk_id) as integer) as rank from f""")
 def rnk1_fusion(spark, sf_dir):
-    c, q = X.chunks(spark, sf_dir), X.queries(spark, sf_dir)
-    lists = keyword.bm25(q, c, 40).select("query_id", "chunk_id", "rank", F.lit(1.0).alias("weight"))
-    return ranking.fuse(lists.unionByName(keyword.lookup(q, keyword.postings(c), 40).select("query_id", "chunk_id", "rank", F.lit(0.5).alias("weight"))))
+    i, q = X.index(spark, sf_dir), X.queries(spark, sf_dir)
+    lists = index.search(i, q, 40).select("query_id", "chunk_id", "rank", F.lit(1.0).alias("weight"))
+    return ranking.fuse(lists.unionByName(index.lookup(q, i, 40).select("query_id", "chunk_id", "rank", F.lit(0.5).alias("weight"))))
 
 
 @query(f"""with {CHUNKS}, {ASKED}, {POSTINGS}, {GRAMS}, {BM25},
@@ -185,7 +185,8 @@ def _granted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     select query_id, chunk_id, score, cast(row_number() over (partition by query_id order by score desc, chunk_id) as integer) as rank
     from bm semi join open using (query_id, chunk_id) qualify rank <= 10""")
 def kw5_flt1_flt2_bm25(spark, sf_dir):
-    return keyword.bm25(*_granted(spark, sf_dir), 10)
+    q, c = _granted(spark, sf_dir)
+    return index.search(X.index(spark, sf_dir, live=True), q, 10, c)
 
 
 @query(f"""with {_LIVE}, {ASKED}, {_SEEN}, {POSTINGS},
@@ -194,7 +195,7 @@ def kw5_flt1_flt2_bm25(spark, sf_dir):
     select *, cast(row_number() over (partition by query_id order by score desc, chunk_id) as integer) as rank from s semi join open using (query_id, chunk_id) qualify rank <= 50""")
 def kw2_flt1_flt2_lookup(spark, sf_dir):
     q, c = _granted(spark, sf_dir)
-    return keyword.lookup(q, keyword.postings(c), 50, c)
+    return index.lookup(q, X.index(spark, sf_dir, live=True), 50, c)
 
 
 @query(f"""with v as (select vec_id, list_transform(embedding, lambda c: cast(c as double)) as v, label, {_STATE.replace('doc_id', 'vec_id')} as state from embeddings),
@@ -207,7 +208,7 @@ def vec2_flt1_flt2_cosine_top(spark, sf_dir):
     q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "vector", F.expr("if(vec_id % 40 = 0, cast(array() as array<string>), array('odd'))").alias("grants"))
     registry = e.select(F.col("vec_id").alias("doc_id")).withColumn("state", F.expr(_STATE))
     c = access.live(e.withColumn("doc_id", F.col("vec_id")), registry).withColumnRenamed("vec_id", "chunk_id")
-    return ranking.cosine_top(q, c, 10, 6, others=True)
+    return dense.cosine_top(q, c, 10, 6, others=True)
 
 
 @query("select doc_id from documents where lang in ('fr', 'src3') or source in ('fr', 'src3')")
@@ -277,7 +278,7 @@ def ev1_labels(spark, sf_dir):
         round(avg(case when r <= 10 then 1.0 else 0.0 end), 9) as recall_10, round(avg(case when r <= 10 then 1.0 / r else 0.0 end), 9) as mrr_10 from best""")
 def ev5_recall(spark, sf_dir):
     q, c = X.queries(spark, sf_dir), X.chunks(spark, sf_dir)
-    best = evaluation.holding(q, c).join(keyword.bm25(q, c, 10), ["query_id", "chunk_id"], "left").groupBy("query_id").agg(F.min("rank").alias("r"))
+    best = evaluation.holding(q, c).join(_bm25(spark, sf_dir, 10), ["query_id", "chunk_id"], "left").groupBy("query_id").agg(F.min("rank").alias("r"))
     at = lambda k: F.round(F.avg(F.when(F.col("r") <= k, 1.0).otherwise(0.0)), 9).alias(f"recall_{k}")
     return best.agg(F.count("*").alias("questions"), at(1), at(5), at(10), F.round(F.avg(F.when(F.col("r") <= 10, 1 / F.col("r")).otherwise(0.0)), 9).alias("mrr_10"))
 

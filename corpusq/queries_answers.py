@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusq import fixtures as X
-from corpusq.operators import answers, chunking, evaluation, keyword, retrieval, rewrite, vectors
+from corpusq.operators import answers, chunking, evaluation, index, keyword, retrieval, rewrite, vectors
 from corpusq.plans import logs
 from corpusq.queries import _TOK, ASKED, BM25, CHUNKS, GRAMS, POSTINGS, query
 from corpusq.queries_text import outlined
@@ -30,7 +30,7 @@ RERANK = f"""pool as (select query_id, chunk_id, rank, list_distinct(list_filter
 
 
 def _bm25(spark, sf_dir):
-    return keyword.bm25(X.queries(spark, sf_dir), X.chunks(spark, sf_dir), 40)
+    return index.search(X.index(spark, sf_dir), X.queries(spark, sf_dir), 40)
 
 
 def _pool(spark, sf_dir, ranked):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corpusq import fixtures as X
 from corpusq.functions import structure as S
 from corpusq.functions import text as T
-from corpusq.operators import chunking, intake, keyword, lifecycle, vectors
+from corpusq.operators import chunking, dense, intake, keyword, lifecycle, vectors
 from corpusq.queries import _TOK, CHUNKS, REGISTRY, WHOLE, query
 from corpusq.sources import files
 
@@ -178,14 +178,14 @@ WIDTH = 64
 @query()
 def vec3_approximate(spark, sf_dir):
     e = X.table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
-    return vectors.approximate_top(e.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), e.withColumnRenamed("vec_id", "chunk_id"), others=True)
+    return dense.approximate_top(e.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), e.withColumnRenamed("vec_id", "chunk_id"), others=True)
 
 
 @query("select true as reached, true as spared")
 def vec3_recall(spark, sf_dir):
     e = X.table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
-    r = vectors.recall(e.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), e.withColumnRenamed("vec_id", "chunk_id"))
-    return r.select((F.col("recall") >= 0.9).alias("reached"), (F.col("share") < 0.75).alias("spared"))
+    r = dense.recall(e.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), e.withColumnRenamed("vec_id", "chunk_id"), 5)
+    return r.select((F.col("recall") >= 0.9).alias("reached"), (F.col("share") <= 0.05).alias("spared"))
 
 
 _HEX = "cast(('0x' || substring(sha256(token), {0}, {1})) as bigint)"

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusq.operators import access, evaluation, keyword, ranking, retrieval, vectors
+from corpusq.operators import access, dense, evaluation, keyword, ranking, retrieval, vectors
 
 
 def test_access_is_applied_before_the_best_are_taken(spark):
@@ -13,7 +13,7 @@ def test_access_is_applied_before_the_best_are_taken(spark):
     registry = spark.createDataFrame([(i, "live" if i % 5 else "deleted") for i in range(40)], "doc_id long, state string")
     queries = spark.createDataFrame([(1, "apple", ["b"], [0.0, 1.0]), (2, "apple", [], [0.0, 1.0]), (3, "apple", None, [0.0, 1.0]), (4, "apple", ["c"], [0.0, 1.0])], "query_id long, query string, grants array<string>, vector array<double>")
     seen = access.live(chunks, registry)
-    for found in (keyword.bm25(queries, seen, 3), keyword.lookup(queries, keyword.postings(seen), 3, seen), ranking.cosine_top(queries, seen, 3), retrieval.candidates(queries, seen, retrieval.Config(fetch=3, rerank=False))):
+    for found in (keyword.bm25(queries, seen, 3), keyword.lookup(queries, keyword.postings(seen), 3, seen), dense.cosine_top(queries, seen, 3), retrieval.candidates(queries, seen, retrieval.Config(fetch=3, rerank=False))):
         got = {}
         for r in found.collect():
             got.setdefault(r.query_id, []).append(r.chunk_id)
@@ -63,7 +63,7 @@ def test_cosine_top_against_plain_search(spark):
     q, c = df.where("id % 10 = 0").withColumnRenamed("id", "query_id"), df.withColumnRenamed("id", "chunk_id")
     cos = lambda a, b: round(float(a @ b / (np.linalg.norm(a) * np.linalg.norm(b))), 9) if a.any() and b.any() else 0.0
     want = sorted((i, j, s, n + 1) for i in range(0, 300, 10) for n, (s, j) in enumerate(sorted(((cos(x[i], x[j]), j) for j in range(300) if j != i), key=lambda t: (-t[0], t[1]))[:7]))
-    got = sorted((r.query_id, r.chunk_id, r.score, r["rank"]) for r in ranking.cosine_top(q, c, 7, 9, others=True).collect())
+    got = sorted((r.query_id, r.chunk_id, r.score, r["rank"]) for r in dense.cosine_top(q, c, 7, 9, others=True).collect())
     assert [g[:2] + g[3:] for g in got] == [w[:2] + w[3:] for w in want] and [g[2] for g in got] == pytest.approx([w[2] for w in want])
 
 
@@ -72,8 +72,28 @@ def test_approximate_search_compares_few_clustered_vectors(spark):
     centers = rng.normal(size=(20, 16))
     x = centers[rng.integers(0, 20, 2000)] + rng.normal(size=(2000, 16)) * 0.05
     df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "id long, vector array<double>")
-    r = vectors.recall(df.where("id % 50 = 0").withColumnRenamed("id", "query_id"), df.withColumnRenamed("id", "chunk_id"), 5, 0.2).first()
-    assert r.recall >= 0.9 and r.share < 0.35
+    r = dense.recall(df.where("id % 50 = 0").withColumnRenamed("id", "query_id"), df.withColumnRenamed("id", "chunk_id"), 5).first()
+    assert r.recall >= 0.9 and r.share <= 0.01
+
+
+def test_approximate_search_without_rows_and_with_odd_ones(spark):
+    kinds = ("query_id long, vector array<double>", "chunk_id long, vector array<double>")
+    none = [spark.createDataFrame([], k) for k in kinds]
+    one = [spark.createDataFrame([(1, [0.0, 0.0, 0.0]), (2, [1.0, 2.0, 3.0]), (2, [1.0, 2.0, 3.0])], k) for k in kinds]
+    assert dense.approximate_top(*none).count() == dense.approximate_top(none[0], one[1]).count() == dense.approximate_top(one[0], none[1]).count() == 0
+    got = dense.approximate_top(one[0].dropDuplicates(["query_id"]), one[1].dropDuplicates(["chunk_id"]), 2).collect()
+    assert sorted((r.query_id, r.chunk_id, r.score) for r in got) == [(1, 1, 0.0), (1, 2, 0.0), (2, 1, 0.0), (2, 2, 1.0)]
+
+
+def test_access_limits_approximate_search(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(c) for c in rng.normal(size=6)], ["a"] if i % 3 else ["b"]) for i in range(200)]
+    c = spark.createDataFrame(rows, "chunk_id long, vector array<double>, acl_tags array<string>")
+    q = spark.createDataFrame([(i, rows[i][1], g) for i, g in ((0, ["a"]), (1, ["b"]), (2, []), (3, None))], "query_id long, vector array<double>, grants array<string>")
+    near, exact = (f(q, c, 5).collect() for f in (dense.approximate_top, dense.cosine_top))
+    tags = {r[0]: r[2][0] for r in rows}
+    assert all(tags[r.chunk_id] == {0: "a", 1: "b"}[r.query_id] for r in near if r.query_id < 2)
+    assert len({(r.query_id, r.chunk_id) for r in near} & {(r.query_id, r.chunk_id) for r in exact}) >= 19
 
 
 def test_scores_by_text(spark):

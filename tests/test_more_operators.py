@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusq.functions import structure as S
-from corpusq.operators import answers, chunking, evaluation, intake, lifecycle, retrieval, rewrite, vectors
+from corpusq.operators import answers, chunking, dense, evaluation, intake, lifecycle, retrieval, rewrite, vectors
 from corpusq.sources import files
 from corpusq.streaming import alerts, stateful
 
@@ -103,24 +103,21 @@ def test_hash_embedding_matches_hashlib(spark):
 
 
 def test_approximate_search_finds_most(spark):
-    from corpusq.operators import ranking
-
     e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select("vec_id", F.col("embedding").alias("vector"))
     q, c = e.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), e.where("vec_id % 50 <> 0").withColumnRenamed("vec_id", "chunk_id")
     key = ["query_id", "chunk_id"]
-    exact, near = ({tuple(r) for r in x.select(key).collect()} for x in (ranking.cosine_top(q, c, 5), vectors.approximate_top(q, c, 5)))
+    exact, near = ({tuple(r) for r in x.select(key).collect()} for x in (dense.cosine_top(q, c, 5), dense.approximate_top(q, c, 5)))
     assert len(exact & near) >= 0.9 * len(exact)
 
 
 def test_exact_search_of_many_queries(spark, monkeypatch):
     """More queries than one block holds give the same rows."""
-    from corpusq.operators import ranking
-
     e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select("vec_id", F.col("embedding").alias("vector")).where("vec_id < 60")
     q, c = e.withColumnRenamed("vec_id", "query_id"), e.withColumnRenamed("vec_id", "chunk_id")
-    expected = sorted(map(tuple, ranking.cosine_top(q, c, 3).collect()))
-    monkeypatch.setattr(ranking, "BLOCK_BYTES", 25 * 8 * 64)
-    assert sorted(map(tuple, ranking.cosine_top(q, c, 3).collect())) == expected and len(expected) == 3 * q.count()
+    expected = sorted(map(tuple, dense.cosine_top(q, c, 3).collect()))
+    for name, value in (("QUERIES", 7), ("ROWS", 9), ("TASKS", 3)):
+        monkeypatch.setattr(dense, name, value)
+    assert sorted(map(tuple, dense.cosine_top(q, c, 3).collect())) == expected and len(expected) == 3 * q.count()
 
 
 def test_approximate_search_meets_other_query_rows(spark, tmp_path):
