@@ -63,7 +63,9 @@ VOID = {"br", "hr", "img", "input", "meta", "link", "source", "wbr", "area", "ba
 
 _RAW = re.compile(r"<(script|style|noscript|template|svg|iframe|object|canvas|textarea|select|title)(?=[\s/>])", re.I)
 _RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW if t != "head"}
-_TAG = re.compile(r"<(/?)([a-zA-Z][\w:-]*)")
+_TAG = re.compile(r"<(/?)([a-zA-Z][\w:-]*)", re.I)
+#: Most tags: of bounded length and closed. Others take the scanner's way.
+_USUAL = re.compile(rf"<(?!(?:{'|'.join(_RAW_END)})[\s/>])(/?)([a-z][\w:-]{{0,30}}+)(?![\w:-])((?:[^<>\"']{{1,100}}+|\"[^\"<>]{{0,400}}+\"|'[^'<>]{{0,400}}+'){{0,30}}+)>", re.I)
 _EVENT, _BLANK = re.compile("[>\"']"), re.compile(r"\s*")
 _NAME, _EQUALS, _VALUE = re.compile(r"[^\s\"'<>=/]+"), re.compile(r"\s*=\s*"), re.compile(r"[^\s\"'>]+")
 
@@ -161,7 +163,8 @@ class Scanner:
         """Start, end, slash, tag, attributes of all markup."""
         at = self.page.find("<")
         while at >= 0:
-            got = self.markup(at)
+            m = _USUAL.match(self.page, at)
+            got = (m.end(), *m.groups()) if m else self.markup(at)
             if got:
                 yield at, *got
             at = self.page.find("<", got[0] if got else at + 1)
