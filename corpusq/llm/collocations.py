@@ -2,12 +2,16 @@
 
 Phrases are counted length by length. Each task walks over its whole texts and counts phrases of n words in a HAT-trie:
 a trie over word ids, two levels deep at most, whose leaves are hash containers; a container that outgrows its size
-bursts into one for each next word. A trie that holds too many phrases spills its largest subtrees whole, each as a
-run sorted by phrase. Runs are dealt out by their prefix (language and first two words) and merged there; phrases
-that are frequent enough over all runs are written.
+bursts into one for each next word. A trie that holds too many phrases spills its largest subtrees whole, as runs sorted
+by phrase: one compressed run for each prefix partition. A prefix (the first two words; with more words spread over
+SPREAD neighbours, so that a hot prefix is no single group) names the partition where its runs are merged; there the
+phrases that are frequent enough over all runs stay.
 
-The next length needs no other phrases than those whose first and last n-1 words are frequent. Tasks learn which
-are from a Bloom filter over the written phrases: it has 16 bits for each, up to a fixed size, and a filter that is
+In runs a word is its 64-bit hash, seeded by its language, so that no task needs the words of the whole corpus. Hashes of
+the frequent words are checked: if two were equal, all would be made anew with another salt.
+
+The next length needs no other phrases than those whose shorter phrases are frequent (of two words for three, of three
+for four and five, which are counted in one pass). Tasks learn which are from a Bloom filter over the frequent phrases: it has 16 bits for each, up to a fixed size, and a filter that is
 too full lets more phrases be counted but loses none. So what tasks hold is bounded whatever the corpus holds: the
 filter, a trie, and a vocabulary that is forgotten (after a spill) when it has too many words or bytes.
 
@@ -27,6 +31,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,8 +44,10 @@ SLICE, BURST, ENTRIES = 2 << 20, 4096, 1 << 20
 VOCABULARY, VOCABULARY_BYTES, ID = 1 << 19, 32 << 20, 21
 #: Bits of the filter for each phrase, of one of its blocks, and of the largest filter.
 BITS, BLOCK_BITS, MOST_BITS = 16, 1 << 20, 1 << 30
-#: Rows of a run that travel at once.
-ROWS = 50_000
+#: Rows of words that travel at once; words of the corpus for each prefix partition, and partitions at most; partitions that phrases of one prefix may lie in.
+ROWS, PARTITION_WORDS, MOST_PARTITIONS, SPREAD = 100_000, 1 << 22, 1 << 22, 16
+#: Rows that are merged at once.
+MERGE = 1 << 21
 
 _BREAKS = b".,;:!?\n\x0b\x0c\r"
 #: Lower case, one kind of blank, one kind of break. A break is a word of its own, which no word of a text can be.
@@ -72,9 +79,13 @@ def slices(texts: list[bytes], size: int = SLICE) -> Iterator[list[bytes]]:
         yield from cut(b".".join([*held, b""]).translate(_PLAIN).replace(b".", b" . "))
 
 
-def word_hashes(lang: bytes, words: list[bytes]) -> np.ndarray:
-    seed = xxhash.xxh64_intdigest(lang)
-    return np.array([xxhash.xxh64_intdigest(w, seed) for w in words], np.uint64)
+def seed_of(lang: bytes, salt: str) -> int:
+    return xxhash.xxh64_intdigest(lang, xxhash.xxh64_intdigest(salt.encode(), 42))
+
+
+def word_hash(lang: str, word: str, salt: str):
+    """The hash that tasks give a word, as a column."""
+    return F.xxhash64(F.lit(salt), lang, word)
 
 
 def fold(hashes: list[np.ndarray]) -> np.ndarray:
@@ -115,15 +126,15 @@ class Filter:
 
 
 def filter_of(phrases: DataFrame, words: int) -> Filter:
-    """The filter of written phrases (lang, phrase) of so many words each. Its blocks, of a fixed number at most, pass through the driver."""
+    """The filter of a written table of phrases (h: hashes of their words). Its blocks, of a fixed number at most, pass through the driver."""
     blocks = Filter.size(phrases.count())
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                table = [(lang.encode(), p.encode().split(b" ")) for lang, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-                h = fold([np.array([xxhash.xxh64_intdigest(w[i], xxhash.xxh64_intdigest(lang)) for lang, w in table], np.uint64) for i in range(words)])
-                yield pa.RecordBatch.from_arrays([pa.array(Filter.block(h, blocks)), pa.array(h.view(np.int64))], ["block", "h"])
+                h = np.asarray(b.column(0).flatten()).view(np.uint64).reshape(b.num_rows, words)
+                f = fold([h[:, i] for i in range(words)])
+                yield pa.RecordBatch.from_arrays([pa.array(Filter.block(f, blocks)), pa.array(f.view(np.int64))], ["block", "h"])
 
     def marked(df: pd.DataFrame) -> pd.DataFrame:
         h, bits = df["h"].to_numpy(np.int64).view(np.uint64), np.zeros(BLOCK_BITS, bool)
@@ -132,7 +143,7 @@ def filter_of(phrases: DataFrame, words: int) -> Filter:
         return pd.DataFrame({"block": [int(df["block"].iloc[0])], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
 
     out = np.zeros((blocks, BLOCK_BITS // 8), np.uint8)
-    for r in phrases.select("lang", "phrase").mapInArrow(hashed, "block long, h long").groupBy("block").applyInPandas(marked, "block long, bits binary").collect():
+    for r in phrases.select("h").mapInArrow(hashed, "block long, h long").groupBy("block").applyInPandas(marked, "block long, bits binary").collect():
         out[r.block] = np.frombuffer(r.bits, np.uint8)
     return Filter(out)
 
@@ -142,41 +153,42 @@ class _Words(dict):
 
     def __init__(self, lang: bytes, to: Vocabulary):
         super().__init__()
-        self.lang, self.to = lang, to
+        self.seed, self.to = seed_of(lang, to.salt), to
 
     def __missing__(self, word: bytes) -> int:
-        self[word] = i = len(self.to.names)
-        self.to.names.append(word)
-        self.to.langs.append(self.lang)
-        self.to.bytes += len(word)
+        self[word] = i = self.to.next
+        self.to.next += 1
+        self.to.new.append(word)
         return i
 
 
 class Vocabulary:
     """(language, word) to ids; a break is -1, as is a word that the filter does not have."""
 
-    def __init__(self, known: Filter | None):
-        self.known, self.langs, self.names, self.bytes, self.of = known, [], [], 0, {}
+    def __init__(self, known: Filter | None, salt: str):
+        self.known, self.salt, self.next, self.bytes, self.of, self.new = known, salt, 0, 0, {}, []
         self.hashes, self.use = np.zeros(1 << 12, np.uint64), np.full(1 << 12, -1, np.int64)
 
     def ids(self, lang: bytes, words: list[bytes]) -> np.ndarray:
         own = self.of.get(lang)
         if own is None:
             own = self.of[lang] = _Words(lang, self)
-        first = len(self.names)
+        first = self.next
         out = np.fromiter(map(own.__getitem__, words), np.int64, len(words))
-        n = len(self.names)
-        while n > len(self.use):
+        while self.next > len(self.use):
             self.hashes, self.use = np.r_[self.hashes, np.zeros_like(self.hashes)], np.r_[self.use, np.full_like(self.use, -1)]
-        if n > first:
-            h = word_hashes(lang, self.names[first:])
-            ok = self.known.has(fold([h])) if self.known else np.ones(n - first, bool)
-            ok &= np.array([w != b"." for w in self.names[first:]])
+        if self.new:
+            digest, seed, n = xxhash.xxh64_intdigest, own.seed, self.next
+            h = np.array([digest(w, seed) for w in self.new], np.uint64)
+            ok = self.known.has(fold([h])) if self.known else np.ones(len(h), bool)
+            ok &= h != np.uint64(digest(b".", seed))
             self.hashes[first:n], self.use[first:n] = h, np.where(ok, np.arange(first, n), -1)
+            self.bytes += sum(map(len, self.new))
+            self.new.clear()
         return self.use[out]
 
     def full(self) -> bool:
-        return len(self.names) > VOCABULARY or self.bytes > VOCABULARY_BYTES
+        return self.next > VOCABULARY or self.bytes > VOCABULARY_BYTES
 
 
 class HatTrie:
@@ -263,161 +275,271 @@ def distinct(columns: list[np.ndarray]) -> tuple[np.ndarray, list[int], np.ndarr
     return columns[0][rows], rest, counts
 
 
+def _planes(x: np.ndarray) -> bytes:
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes()
+
+
+def _from_planes(raw: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind)[:, 0]
+
+
+def packed_run(h: list[np.ndarray], counts: np.ndarray) -> bytes:
+    """Phrases (hashes of their first, second ... words), sorted by the first two, and their counts: the run's own words, then their places in it, all by byte planes and compressed."""
+    words, places = np.unique(np.concatenate(h), return_inverse=True)
+    places = places.astype(np.uint32).reshape(len(h), -1)
+    first = np.diff(places[0], prepend=np.uint32(0))
+    parts = [_planes(np.diff(words, prepend=np.uint64(0))), _planes(first), *[_planes(c) for c in places[1:]], _planes(counts.astype(np.uint64))]
+    return len(words).to_bytes(8, "little") + zstandard.ZstdCompressor(1).compress(b"".join(parts))
+
+
+def unpacked_run(body: bytes, n: int) -> np.ndarray:
+    """Columns of phrases and, last, of counts."""
+    k, raw = int.from_bytes(body[:8], "little"), zstandard.ZstdDecompressor().decompress(body[8:])
+    words = np.cumsum(_from_planes(raw[: 8 * k], np.uint64), dtype=np.uint64)
+    rows = (len(raw) - 8 * k) // (4 * n + 8)
+    places = [_from_planes(raw[8 * k + 4 * rows * i : 8 * k + 4 * rows * (i + 1)], np.uint32) for i in range(n)]
+    places[0] = np.cumsum(places[0], dtype=np.uint32)
+    return np.stack([*[words[p] for p in places], _from_planes(raw[8 * k + 4 * rows * n :], np.uint64)])
+
+
+def summed(columns: np.ndarray) -> np.ndarray:
+    """Columns of phrases and counts to those of distinct phrases and sums."""
+    words = list(columns[:-1])
+    key = fold(words)
+    order = np.argsort(key)
+    key = key[order]
+    sorted_ = columns[:, order]
+    same = key[1:] == key[:-1]
+    if not (sorted_[:-1, 1:] == sorted_[:-1, :-1])[:, same].all():  # two phrases of one key
+        sorted_ = columns[:, np.lexsort(words)]
+        same = (sorted_[:-1, 1:] == sorted_[:-1, :-1]).all(axis=0)
+    at = np.flatnonzero(np.r_[np.ones(min(1, len(key)), bool), ~same])
+    out = sorted_[:, at]
+    if len(at):
+        out[-1] = np.add.reduceat(sorted_[-1], at)
+    return out
+
+
 class PhraseCounter:
-    """Counts phrases of n words of one task's texts and yields runs of (lang, phrase, count)."""
+    """Counts phrases of several lengths of one task's texts and yields runs: (words, partition, sorted phrases). shorter: the filter of phrases of `known` words, all of which a phrase needs."""
 
-    def __init__(self, n: int, words: Filter | None, shorter: Filter | None, entries: int = ENTRIES):
-        self.n, self.words, self.shorter, self.limit = n, words, shorter, entries
+    def __init__(self, lengths: tuple[int, ...], partitions: int, words: Filter | None, shorter: Filter | None, known: int = 1, salt: str = "0", entries: int = ENTRIES):
+        self.lengths, self.partitions, self.words, self.shorter, self.known, self.salt, self.limit = lengths, partitions, words, shorter, known, salt, entries
         self._forget()
 
     def _forget(self) -> None:
-        self.trie, self.vocabulary = HatTrie(self.n), Vocabulary(self.words)
+        self.tries, self.vocabulary = {n: HatTrie(n) for n in self.lengths}, Vocabulary(self.words, self.salt)
 
-    def add(self, lang: bytes, texts: list[bytes]) -> Iterator[tuple[bytes, bytes, int]]:
-        tail = np.empty(0, np.int64)
+    def add(self, lang: bytes, texts: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
+        tail: list[bytes] = []
+        longest = max(self.lengths)
         for words in slices(texts):
-            ids = np.r_[tail, self.vocabulary.ids(lang, words)]
-            tail = ids[len(ids) - min(len(ids), self.n - 1) :]
-            self._count(ids, self.vocabulary)
-            if self.trie.entries > self.limit:
-                yield from self._runs(self.limit // 2)
+            # The last words of the slice before come first; phrases that lie in them alone are counted already.
+            old = len(tail)
+            words = tail + words
+            ids = self.vocabulary.ids(lang, words)
+            tail = words[len(words) - min(len(words), longest - 1) :]
+            self._count(ids, self.vocabulary, old)
+            if sum(t.entries for t in self.tries.values()) > self.limit:
+                yield from self._runs(self.limit // 2 // len(self.lengths))
             if self.vocabulary.full():
-                yield from self._runs(0)
-                names = [self.vocabulary.names[i] if i >= 0 else b"." for i in tail.tolist()]
+                yield from self.end()
                 self._forget()
-                tail = self.vocabulary.ids(lang, names)
 
-    def _count(self, ids: np.ndarray, v: Vocabulary) -> None:
-        n = self.n
-        if len(ids) < n:
-            return
-        # All n words are known, and both phrases of n-1 words are frequent.
+    def _count(self, ids: np.ndarray, v: Vocabulary, old: int) -> None:
+        """ids: the first `old` of them were there before."""
         good = ids >= 0
-        ok = np.ones(len(ids) - n + 1, bool)
-        for i in range(n):
-            ok &= good[i : len(ids) - n + 1 + i]
-        if n > 2 and self.shorter:
-            part = np.zeros(len(ids) - n + 2, bool)
+        if self.known > 1:
+            m = self.known
+            whole = np.zeros(max(0, len(ids) - m + 1), bool)
+            whole[:] = good[: len(whole)]
+            for i in range(1, m):
+                whole &= good[i : len(whole) + i]
+            at = np.flatnonzero(whole)
+            whole[at] = self.shorter.has(fold([v.hashes[ids[at + i]] for i in range(m)]))
+            good = whole
+        for n, trie in self.tries.items():
+            size = len(ids) - n + 1
+            if size <= 0:
+                continue
+            ok = good[:size].copy()
+            for i in range(1, n - self.known + 1):
+                ok &= good[i : size + i]
+            ok[: max(0, old - n + 1)] = False
             at = np.flatnonzero(ok)
-            at = np.unique(np.r_[at, at + 1])
-            part[at] = self.shorter.has(fold([v.hashes[ids[at + i]] for i in range(n - 1)]))
-            ok &= part[:-1] & part[1:]
-        at = np.flatnonzero(ok)
-        if len(at):
-            self.trie.add(*distinct([ids[at + i] for i in range(n)]))
-
-    def _runs(self, keep: int) -> Iterator[tuple[bytes, bytes, int]]:
-        names, langs, n = self.vocabulary.names, self.vocabulary.langs, self.n
-        shifts = [ID * i for i in range(n - 2, -1, -1)]
-        for w, leaf in self.trie.spill(keep):
-            lang, first = langs[w], names[w]
-            run = [(b" ".join([first, *[names[key >> s & _MASK] for s in shifts]]), c) for key, c in leaf.items()]
-            run.sort()
-            yield from ((lang, p, c) for p, c in run)
-
-    def end(self) -> Iterator[tuple[bytes, bytes, int]]:
+            if len(at):
+                trie.add(*distinct([ids[at + i] for i in range(n)]))
+
+    def _runs(self, keep: int) -> Iterator[tuple[int, int, bytes]]:
+        for n, trie in self.tries.items():
+            first, keys, counts = [], [], []
+            for w, leaf in trie.spill(keep):
+                first += [w] * len(leaf)
+                keys += leaf
+                counts += leaf.values()
+            if not first:
+                continue
+            if n <= 4:
+                packed = np.array(keys, np.int64)
+                rest = [packed >> ID * i & _MASK for i in range(n - 2, -1, -1)]
+            else:  # four ids don't fit into 64 bits
+                high, low = (np.array([f(k) for k in keys], np.int64) for f in (lambda k: k >> 2 * ID, lambda k: k & (1 << 2 * ID) - 1))
+                rest = [high >> ID, high & _MASK, low >> ID, low & _MASK]
+            columns = [self.vocabulary.hashes[c] for c in (np.array(first), *rest)]
+            part, counts = partition_of(columns, self.partitions), np.array(counts, np.uint64)
+            order = np.lexsort((columns[1], columns[0], part))
+            part, counts, columns = part[order], counts[order], [c[order] for c in columns]
+            starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+            for lo, hi in zip(starts, [*starts[1:], len(part)], strict=True):
+                yield n, int(part[lo]), packed_run([c[lo:hi] for c in columns], counts[lo:hi])
+
+    def end(self) -> Iterator[tuple[int, int, bytes]]:
         yield from self._runs(0)
 
 
+def partition_of(columns: list[np.ndarray], partitions: int) -> np.ndarray:
+    """The prefix partition of phrases."""
+    part = fold(columns[:2])
+    if len(columns) > 2:
+        part = part + fold(columns) % np.uint64(SPREAD)
+    return (part % np.uint64(partitions)).astype(np.int64)
+
+
 class WordCounter:
-    """The first length: a hash container for each language. The count of all words goes with an empty phrase."""
+    """The first length: a hash container of words for each language. The count of all words goes with an empty word."""
 
     def __init__(self, entries: int = ENTRIES):
         self.limit, self.counts = entries, {}
 
-    def add(self, lang: bytes, texts: list[bytes]) -> Iterator[tuple[bytes, bytes, int]]:
+    def add(self, lang: bytes, texts: list[bytes]) -> Iterator[tuple[bytes, list[bytes], list[int]]]:
         for words in slices(texts):
             counts = self.counts.setdefault(lang, Counter())
             counts.update(words)
             counts[b""] += len(words) - counts.pop(b".", 0)
-            if sum(map(len, self.counts.values())) > self.limit or sum(map(len, words)) > VOCABULARY_BYTES:
+            if sum(map(len, self.counts.values())) > self.limit:
                 yield from self.end()
 
-    def end(self) -> Iterator[tuple[bytes, bytes, int]]:
+    def end(self) -> Iterator[tuple[bytes, list[bytes], list[int]]]:
         for lang, counts in self.counts.items():
-            yield from ((lang, w, c) for w, c in sorted(counts.items()))
+            run = sorted(counts)
+            for lo in range(0, len(run), ROWS):
+                some = run[lo : lo + ROWS]
+                yield lang, some, [counts[w] for w in some]
         self.counts = {}
 
 
-def runs(docs: DataFrame, n: int, words: Filter | None = None, shorter: Filter | None = None, entries: int = ENTRIES) -> DataFrame:
-    """lang, phrase, n of each task's runs."""
-    sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast((words, shorter if shorter is not words else None))
+def _by_lang(b: pa.RecordBatch) -> dict[str, list[bytes]]:
+    out: dict[str, list[bytes]] = {}
+    for lang, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
+        if t:
+            out.setdefault(lang, []).append(t)
+    return out
+
+
+def _strings(words: list[bytes]) -> pa.Array:
+    try:
+        return pa.array(words, pa.binary()).cast(pa.string())
+    except pa.ArrowInvalid:
+        return pa.array([w.decode("utf-8", "replace") for w in words], pa.string())
+
+
+def frequent_words(texts: DataFrame, least: int, entries: int = ENTRIES) -> DataFrame:
+    """lang, word, n of the words that are frequent enough, and for each language a row with an empty word and the count of all words. texts: lang, text."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = WordCounter(entries) if n == 1 else PhraseCounter(n, *shared.value, entries)
+        counter = WordCounter(entries)
+        out = lambda r: pa.RecordBatch.from_arrays([pa.array([r[0].decode()] * len(r[1])), _strings(r[1]), pa.array(r[2], pa.int64())], ["lang", "word", "n"])
+        for b in batches:
+            for lang, own in _by_lang(b).items():
+                yield from map(out, counter.add(lang.encode(), own))
+        yield from map(out, counter.end())
+
+    found = texts.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    return stage(found.where((F.col("n") >= least) | (F.col("word") == "")))
+
+
+def frequent_phrases(texts: DataFrame, lengths: tuple[int, ...], least: int, partitions: int, words: Filter, shorter: Filter, known: int, salt: str, entries: int = ENTRIES) -> DataFrame:
+    """h (hashes of the words) and n of the phrases of these lengths that are frequent enough; shorter: the filter of the frequent phrases of `known` words."""
+    shared = texts.sparkSession.sparkContext.broadcast((words, None if shorter is words else shorter))
 
-        def out(rows: Iterator[tuple[bytes, bytes, int]]) -> Iterator[pa.RecordBatch]:
-            held: list[tuple[bytes, bytes, int]] = []
-            for r in rows:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = PhraseCounter(lengths, partitions, *shared.value, known, salt, entries)
+
+        def out(runs: Iterator[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+            held: list[tuple[int, int, bytes]] = []
+            for r in runs:
                 held.append(r)
-                if len(held) >= ROWS:
-                    yield _batch(held)
+                if len(held) >= 1000:
+                    yield batch(held)
                     held = []
             if held:
-                yield _batch(held)
+                yield batch(held)
 
+        batch = lambda held: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["words", "part", "body"])
         for b in batches:
-            texts, langs = b.column(1).cast(pa.binary()).to_pylist(), b.column(0).to_pylist()
-            by_lang: dict[str, list[bytes]] = {}
-            for lang, t in zip(langs, texts, strict=True):
-                if t:
-                    by_lang.setdefault(lang, []).append(t)
-            for lang, own in by_lang.items():
+            for lang, own in _by_lang(b).items():
                 yield from out(counter.add(lang.encode(), own))
         yield from out(counter.end())
 
-    return docs.select("lang", "text").mapInArrow(count, "lang string, phrase string, n long")
-
+    def merge(df: pd.DataFrame) -> pd.DataFrame:
+        held, rows, n = [], 0, int(df["words"].iloc[0])
+        for body in df["body"]:
+            held.append(unpacked_run(body, n))
+            rows += held[-1].shape[1]
+            if rows > MERGE:
+                held = [summed(np.concatenate(held, axis=1))]
+                rows = held[0].shape[1]
+        got = summed(np.concatenate(held, axis=1))
+        got = got[:, got[-1] >= least]
+        return pd.DataFrame({"h": list(np.ascontiguousarray(got[:-1].T).view(np.int64)), "n": got[-1].astype(np.int64)})
 
-def _batch(rows: list[tuple[bytes, bytes, int]]) -> pa.RecordBatch:
-    langs, phrases, counts = zip(*rows, strict=True)
-    text = lambda x: pa.array([s.decode("utf-8", "replace") for s in x], pa.string())
-    return pa.RecordBatch.from_arrays([text(langs), text(phrases), pa.array(counts, pa.int64())], ["lang", "phrase", "n"])
+    return stage(texts.mapInArrow(count, "words long, part long, body binary").groupBy("words", "part").applyInPandas(merge, "h array<long>, n long"))
 
 
-def merged(found: DataFrame, least: int) -> DataFrame:
-    """Runs are merged by prefix partition; phrases that are frequent enough stay (and the counts of all words)."""
-    prefix = F.substring_index("phrase", " ", 2)
-    by = found.withColumn("prefix", prefix).repartition("lang", "prefix").groupBy("lang", "prefix", "phrase")
-    return by.agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("phrase") == "")).select("lang", "phrase", "n")
-
-
-def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = WORDS, entries: int = ENTRIES) -> DataFrame:
-    """lang, words, phrase, n: all phrases of 1 to `longest` words that occur `least` times or more, and a row of 0 words with the count of all words."""
+def counted(docs: DataFrame, least: int = LEAST, longest: int = WORDS, entries: int = ENTRIES) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Totals (lang, total), frequent words (lang, word, code, n) and all frequent phrases of 1 to `longest` words (h: codes of their words, n)."""
     small_batches(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
-    levels, words, shorter = [], None, None
-    for n in range(1, longest + 1):
-        level = stage(merged(runs(texts, n, words, shorter, entries), least))
-        levels.append(level.withColumn("words", F.when(F.col("phrase") == "", 0).otherwise(n)))
-        own = level.where(F.col("phrase") != "")
-        if n == longest or own.isEmpty():
+    found = frequent_words(texts, least, entries)
+    totals = found.where("word = ''").select("lang", F.col("n").alias("total"))
+    own = found.where("word <> ''")
+    salt = next(s for s in map(str, range(100)) if own.groupBy(word_hash("lang", "word", s)).count().where("count > 1").isEmpty())
+    words = own.select("lang", "word", word_hash("lang", "word", salt).alias("code"), "n")
+    level = out = words.select(F.array("code").alias("h"), "n")
+    partitions = max(1, min(MOST_PARTITIONS, (totals.agg(F.sum("total")).first()[0] or 0) // PARTITION_WORDS))
+    known = None
+    at = 1
+    # Two words, three, then four and five at once: what three frequent phrases of three words leave of five is little.
+    for lengths in [(2,), (3,), (4, 5)]:
+        lengths = tuple(n for n in lengths if n <= longest)
+        if not lengths or level.isEmpty():
             break
-        shorter = filter_of(own, n)
-        words = words or shorter
-    out = levels[0]
-    for level in levels[1:]:
-        out = out.unionByName(level)
-    return out
+        shorter = filter_of(level, at)
+        known = known or shorter
+        level = frequent_phrases(texts, lengths, least, partitions, known, shorter, at, salt, entries)
+        out, at = out.unionByName(level), lengths[0]
+    return totals, words, out
 
 
 def collocations(docs: DataFrame, least: int = LEAST, longest: int = WORDS, top: int = TOP, share: int = 100, entries: int = ENTRIES) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's best `top` phrases. share: percent of its occurrences that a longer candidate must have to take a phrase's place."""
-    found = frequent_phrases(docs, least, longest, entries)
-    totals = found.where(F.col("words") == 0).select("lang", F.col("n").alias("total"))
-    counts = found.where(F.col("words") > 0).select("lang", "phrase", "n")
-    candidates = found.where(F.col("words") > 1).select("lang", "phrase", "words", F.col("n").alias("a"), F.split("phrase", " ", -1).alias("w"))
+    totals, words, counts = counted(docs, least, longest, entries)
+    candidates = counts.where(F.size("h") > 1).withColumnRenamed("n", "a")
 
     # Every phrase inside a longer candidate, with the largest count of those.
-    inner = F.expr("flatten(transform(sequence(2, words - 1), m -> transform(sequence(1, words - m + 1), i -> array_join(slice(w, i, m), ' '))))")
-    longer = candidates.where(F.col("words") > 2).select("lang", F.explode(F.array_distinct(inner)).alias("phrase"), "a").groupBy("lang", "phrase").agg(F.max("a").alias("longer"))
-    kept = candidates.join(longer, ["lang", "phrase"], "left").where(F.col("longer").isNull() | (100 * F.col("longer") < share * F.col("a")))
-
-    cut = kept.select("lang", "phrase", "a", "w", F.explode(F.expr("sequence(1, words - 1)")).alias("k")).select(
-        "lang", "phrase", "a", "k", F.expr("array_join(slice(w, 1, k), ' ')").alias("first"), F.expr("array_join(slice(w, k + 1, size(w)), ' ')").alias("rest"))
-    part = lambda name, to: counts.select("lang", F.col("phrase").alias(name), F.col("n").alias(to))
-    cut = cut.join(part("first", "l"), ["lang", "first"]).join(part("rest", "r"), ["lang", "rest"]).join(totals, "lang")
+    inner = F.expr("flatten(transform(sequence(2, size(h) - 1), m -> transform(sequence(1, size(h) - m + 1), i -> slice(h, i, m))))")
+    longer = candidates.where(F.size("h") > 2).select(F.explode(F.array_distinct(inner)).alias("h"), "a").groupBy("h").agg(F.max("a").alias("longer"))
+    kept = candidates.join(longer, "h", "left").where(F.col("longer").isNull() | (100 * F.col("longer") < share * F.col("a"))).select("h", "a")
+
+    # Codes become words: a row for each word of a phrase.
+    each = kept.select("h", "a", F.posexplode("h").alias("at", "code")).join(words.select("code", "lang", "word"), "code")
+    named = each.groupBy("h", "a").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]), " ").alias("phrase"), F.first("lang").alias("lang")).join(totals, "lang")
+
+    cut = named.select("h", "phrase", "lang", "a", "total", F.explode(F.sequence(F.lit(1), F.size("h") - 1)).alias("k"))
+    cut = cut.select("*", F.expr("slice(h, 1, k)").alias("first"), F.expr("slice(h, k + 1, size(h))").alias("rest"))
+    part = lambda name, to: counts.select(F.col("h").alias(name), F.col("n").alias(to))
+    cut = cut.join(part("first", "l"), "first").join(part("rest", "r"), "rest")
     whole = "cast({} as decimal(19, 0))"
     score = F.expr(f"({whole.format('1000 * a')} * {whole.format('total')}) div ({whole.format('l')} * {whole.format('r')})").alias("score")
     best = cut.select("lang", "phrase", "a", "total", F.struct(score, "k", "l", "r").alias("cut")).groupBy("lang", "phrase", "a", "total").agg(F.min("cut").alias("cut"))
