@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusq.functions import text as T
+from corpusq.functions.text import strip
 
 # What counts as a heading.
 ATX = r"^(#{1,6})[ \t]+(\S.*?)[ \t]*#*[ \t]*$"
@@ -17,10 +18,6 @@ SHORTEST, LONGEST, CAPS_WORDS = 2, 120, 10
 PARAGRAPH_BREAK = r"\n[ \t]*\n"
 
 
-def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
-
-
 def _sized(line: Column) -> Column:
     return F.length(line).between(SHORTEST, LONGEST)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,15 +22,30 @@ def token_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"(?U)\s+"))
 
 
+#: What counts as white space besides Unicode's own; lines that are page numbers only, and the marks of rules.
+_SPACE = r"[\s\x1c-\x1f]"
+_PAGE_LINE = r"(?U)(?i)^(page\s++)?+\d++\s*+(of\s++\d++)?+$"
+_RULE_MARKS = "-*_="
+
+
+def strip(text: Column) -> Column:
+    """Without white space at both ends. A run of white space inside is looked at once, however long it is."""
+    return F.regexp_replace(text, rf"(?U)^{_SPACE}++|(?<!{_SPACE}){_SPACE}++$", "")
+
+
 def clean_text(text: Column) -> Column:
-    """Canonical text (TXT2); callers bring non-ASCII text into composed form first."""
-    t = F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), " ", " ")
-    t = F.regexp_replace(F.regexp_replace(t, "​", ""), r"(?m)[ \t]+$", "")
-    noise = r"(?i)^\s*(page\s+)?\d+\s*(of\s+\d+)?\s*$"
-    rule = r"^\s*([-*_=]\s*){3,}$"
-    lines = F.transform(F.split(t, "\n", -1), lambda x: F.when(F.trim(x) == "", "").otherwise(x))
-    lines = F.filter(lines, lambda x: (x == "") | ~(x.rlike(noise) | x.rlike(rule)))
-    return F.regexp_replace(F.regexp_replace(F.array_join(lines, "\n"), "\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+    """Canonical text (TXT2); callers bring non-ASCII text into composed form first. Each pattern takes time linear in a line."""
+    t = F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), "\u00a0", " ")
+    t = F.regexp_replace(F.regexp_replace(t, "\u200b", ""), r"(?m)(?<![ \t])[ \t]++$", "")
+
+    def kept(line: Column) -> Column:
+        """The line, an empty one for white space alone, null for a page number or a rule: three marks or more and white space."""
+        s = strip(line)
+        rule = s.rlike(rf"(?U)^[{re.escape(_RULE_MARKS)}\s]++$") & (F.length(s) - F.length(F.translate(s, _RULE_MARKS, "")) >= 3)
+        return F.when(s == "", "").when(~s.rlike(_PAGE_LINE) & ~rule, line)
+
+    lines = F.filter(F.transform(F.split(t, "\n", -1), kept), lambda x: x.isNotNull())
+    return strip(F.regexp_replace(F.array_join(lines, "\n"), "\n{3,}", "\n\n"))
 
 
 def fingerprint(text: Column) -> Column:
@@ -59,7 +76,8 @@ def fold_markers(text: Column) -> Column:
 
 def topic(text: Column) -> Column:
     """What a question is about: without its lead, determiner and closing signs (RW1)."""
-    end = r"[?.]+\s*$"
+    end = r"(?<![?.])[?.]+\s*$"
+    # How questions begin.
     lead = r"(?i)^\s*(do|does|did|is|are|was|were|can|could|would|should|will|shall|may|might|tell\s+me\s+about|explain|describe|what\s+is|what\s+are|what'?s)\s+"
     t = F.trim(F.regexp_replace(F.trim(text), end, ""))
     t = F.trim(F.regexp_replace(t, lead, ""))

@@ -7,7 +7,7 @@ them. Joins by term read the buckets as they lie, without shuffling the index.
 top() gives the rows that summing all postings gives, in three steps. The rarest terms of a query propose chunks, whose
 full scores bound the k-th best score from below. Terms are then ordered by the most that they can add: chunks that have
 only terms whose sum stays below the bound can't be among the best, so only the other terms' postings are read.
-What these give is completed with the small terms only where it can still reach the bound."""
+What these give is completed with the small terms, larger ones first, and only where it can still reach the bound."""
 
 from __future__ import annotations
 
@@ -24,6 +24,8 @@ from corpusq.sources.streams import shared_path, written
 
 #: Postings of a term that share a bucket; postings that a query's rarest terms may have together; proposals for each row asked for.
 PART, SEEDS, PROPOSALS = 1_000_000, 500, 3
+#: Rounds in which what is left open is completed; each has the terms that reach half as far as those of the round before.
+ROUNDS = 3
 #: Scores are rounded to so many digits; bounds leave that much room.
 DIGITS = 6
 ROOM = 2 * 10.0**-DIGITS
@@ -146,22 +148,27 @@ def search(index: Index, queries: DataFrame, k: int = 10, chunks: DataFrame | No
     full = proposed.select("query_id", "chunk_id", F.col("s").alias("add")).unionByName(second).groupBy("query_id", "chunk_id").agg(F.sum("add").alias("s"))
     bound = full.withColumn("r", F.row_number().over(best)).where(F.col("r") == k).select("query_id", (F.col("s") - ROOM).alias("bound"))
 
-    # Small terms: those that can't reach the bound together.
+    # Terms by the most that they can add: large ones, and small ones that can't reach the bound (or half of it, a quarter ...) together.
     rise = Window.partitionBy("query_id").orderBy(F.col("idf") * F.col("most"), "term")
-    split = one.withColumn("below", F.sum(F.col("idf") * F.col("most")).over(rise)).join(bound, "query_id", "left").withColumn("small", F.coalesce(F.col("below") < F.col("bound"), F.lit(False)))
-    split = written(split.select("query_id", "term", "below", "bound", "small"), "split")
-    of = lambda small: asked.join(split.where("small" if small else "not small").select("query_id", "term"), ["query_id", "term"])
-    can = split.where("small").groupBy("query_id").agg(F.max("below").alias("can"), F.first("bound").alias("bound"))
-    third = _scored(index, of(False)).groupBy("query_id", "chunk_id").agg(F.sum("add").alias("s"), F.count("*").alias("rows"))
+    split = one.withColumn("below", F.sum(F.col("idf") * F.col("most")).over(rise)).join(bound, "query_id", "left")
+    step = F.lit(0)
+    for i in range(ROUNDS):
+        step = F.when(F.col("below") < F.col("bound") / 2**i, i + 1).otherwise(step)
+    split = written(split.select("query_id", "term", "below", "bound", step.alias("step")), "split")
+    of = lambda i: asked.join(split.where(F.col("step") == i).select("query_id", "term"), ["query_id", "term"])
+    found = may(_scored(index, of(0)).groupBy("query_id", "chunk_id").agg(F.sum("add").alias("s"), F.count("*").alias("rows")))
+    read = []
+    for i in range(1, ROUNDS + 1):
+        # What the terms that are left can add to any chunk.
+        can = split.where(F.col("step") >= i).groupBy("query_id").agg(F.max("below").alias("can"), F.first("bound").alias("bound"))
+        held = written(found, "found")
+        read.append(held)
+        open_ = held.join(can, "query_id", "left").where(F.col("can").isNull() | (F.col("s") + F.col("can") >= F.col("bound"))).select("query_id", "chunk_id", "s")
+        more = _completed(index, open_, of(i)).select("query_id", "chunk_id", F.col("add").alias("s"), F.lit(1).alias("rows"))
+        found = open_.withColumn("rows", F.lit(0)).unionByName(more).groupBy("query_id", "chunk_id").agg(F.sum("s").alias("s"), F.sum("rows").alias("rows"))
     if seen is not None:
-        third = written(third, "large")
-        seen["large"] = third.agg(F.sum("rows")).first()[0] or 0
-    open_ = third.join(can, "query_id", "left").where(F.col("can").isNull() | (F.col("s") + F.col("can") >= F.col("bound")))
-    left = written(may(open_.select("query_id", "chunk_id", "s")), "open")
-    fourth = _completed(index, left, of(True))
-    if seen is not None:
-        fourth = written(fourth, "completed")
-        seen |= {"seeds": first.count(), "proposals": second.count(), "completed": fourth.count(), "all": one.agg(F.sum("df")).first()[0] or 0}
-        seen["summed"] = sum(seen[x] for x in ("seeds", "proposals", "large", "completed"))
-    scored = left.select("query_id", "chunk_id", F.col("s").alias("add")).unionByName(fourth).groupBy("query_id", "chunk_id").agg(F.round(F.sum("add"), DIGITS).alias("score"))
-    return top(scored, k)
+        found = written(found, "found")
+        seen |= {"seeds": first.count(), "proposals": second.count(), "all": one.agg(F.sum("df")).first()[0] or 0}
+        seen |= {f"round {i}": df.agg(F.sum("rows")).first()[0] or 0 for i, df in enumerate([*read, found])}
+        seen["summed"] = sum(n for x, n in seen.items() if x not in ("all", "summed"))
+    return top(found.select("query_id", "chunk_id", F.round("s", DIGITS).alias("score")), k)

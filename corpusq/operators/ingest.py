@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -25,12 +26,13 @@ class Ingested:
 LEFT_ALONE = {"live": "already indexed", "disabled": "disabled, not ingested", "deleted": "tombstoned, not ingested", "superseded": "tombstoned, not ingested"}
 
 
-def ingest(uploads: DataFrame, registry: DataFrame, strategy: str = "heading", width: int = 64, **sizes: int) -> Ingested:
+def ingest(uploads: DataFrame, registry: DataFrame | Callable[[str, DataFrame], DataFrame], strategy: str = "heading", width: int = 64, **sizes: int) -> Ingested:
     """Extraction, chunks, duplicates, vectors and terms of a batch (LIF6). A document that cannot be read fails with its reason and stops no other.
 
-    uploads: doc_id (once each), filename, text, uploaded_at; registry: doc_id, content_hash, state, uploaded_at. A copy of a live document, or
+    uploads: doc_id (once each), filename, text, uploaded_at; registry: doc_id, content_hash, state, uploaded_at, or a function that looks its rows up by a column (doc_id or content_hash) of a table. A copy of a live document, or
     of an earlier one in the batch, is a duplicate without index rows. sizes: target, overlap and least of the chunks."""
-    u = uploads.select("doc_id", "filename", "text", "uploaded_at").join(registry.select("doc_id", F.col("state").alias("was")), "doc_id", "left")
+    of = registry if callable(registry) else lambda column, values: registry
+    u = uploads.select("doc_id", "filename", "text", "uploaded_at").join(of("doc_id", uploads).select("doc_id", F.col("state").alias("was")), "doc_id", "left")
     said = F.create_map(*[F.lit(x) for kv in LEFT_ALONE.items() for x in kv])
     kind = dict(uploads.dtypes)["doc_id"]
     nothing = F.lit(None).cast(kind).alias("duplicate_of")
@@ -38,8 +40,8 @@ def ingest(uploads: DataFrame, registry: DataFrame, strategy: str = "heading", w
     # Texts and chunks are written once; hashes, vectors and terms all read them.
     read = written(intake.extracted(u.where(F.col("was").isNull() | ~F.col("was").isin(*LEFT_ALONE)).drop("was")), "texts")
     drafts = written(chunking.chunk_documents(read.where("error_reason is null").select("doc_id", "filename", "text"), strategy, **sizes), "drafts")
-    hashes = lifecycle.content_hash(drafts)
-    known = written(hashes.join(lifecycle.verdicts(hashes, registry), "doc_id").join(read.select("doc_id", "uploaded_at"), "doc_id"), "verdicts")
+    hashes = written(lifecycle.content_hash(drafts), "hashes")
+    known = written(hashes.join(lifecycle.verdicts(hashes, of("content_hash", hashes)), "doc_id").join(read.select("doc_id", "uploaded_at"), "doc_id"), "verdicts")
     copies = known.where("verdict = 'duplicate'").select("doc_id", F.col("existing").alias("duplicate_of"))
     judged = lifecycle.batch_duplicates(known.where("verdict <> 'duplicate'")).unionByName(copies)
     judged = judged.join(drafts.groupBy("doc_id").agg(F.count("*").alias("n")), "doc_id")

@@ -326,8 +326,9 @@ def str9_ingest_stream(spark, sf_dir):
     out, state = streams.shared_path(spark, "ingest"), streams.shared_path(spark, "state")
     for u in uploads_in_two(spark, sf_dir):
         stateful.ingest_uploads(u, out, state, target=120, overlap=24, least=8)
-    last = spark.read.parquet(f"{out}/outcomes").groupBy("doc_id").agg(F.max_by("state", "batch").alias("state"), F.max_by(F.struct("detail"), "batch").alias("d"))
-    c, t = spark.read.parquet(f"{out}/chunks"), spark.read.parquet(f"{out}/terms")
+    store = stateful.upload_store(spark, out)
+    last = store.read("outcomes").groupBy("doc_id").agg(F.max_by("state", "batch").alias("state"), F.max_by(F.struct("detail"), "batch").alias("d"))
+    c, t = store.read("chunks"), store.read("terms")
     c = c.groupBy("doc_id").agg(F.count("*").alias("n")).join(c.join(t, "chunk_id", "left_semi").select("doc_id").distinct().withColumn("t", F.lit(True)), "doc_id", "left")
     return last.join(c, "doc_id", "left").select("doc_id", "state", F.col("n").isNotNull().alias("has_chunks"), F.col("t").isNotNull().alias("has_terms"), "d.detail")
 

@@ -59,7 +59,7 @@ def txt1_html(spark, sf_dir):
 _NOISE = r"(?i)^\s*(page\s+)?\d+\s*(of\s+\d+)?\s*$"
 _CLEAN = rf"""d as (select doc_id, source || case when doc_id % 7 = 0 then '.exe' else '.md' end as filename, nfc_normalize(text) as t from documents),
     l as (select *, regexp_replace(replace(replace(regexp_replace(t, '\r\n?', chr(10), 'g'), chr(160), ' '), chr(8203), ''), '(?m)[ \t]+$', '', 'g') as c from d),
-    k as (select *, list_filter(list_transform(string_split(c, chr(10)), lambda x: case when trim(x) = '' then '' else x end), lambda x: x = '' or not (regexp_matches(x, '{_NOISE}') or regexp_matches(x, '^\s*([-*_=]\s*){{3,}}$'))) as lines from l),
+    k as (select *, list_filter(list_transform(string_split(c, chr(10)), lambda x: case when regexp_matches(x, '^{WS}*$') then '' else x end), lambda x: x = '' or not (regexp_matches(x, '{_NOISE}') or regexp_matches(x, '^\s*([-*_=]\s*){{3,}}$'))) as lines from l),
     clean as (select doc_id, filename, t, regexp_replace(regexp_replace(array_to_string(lines, chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') as text from k),
     why as (select *, case when filename like '%.exe' then 'unsupported' when coalesce(trim(t), '') = '' then 'no text' when text = '' then 'only noise' end as error_reason from clean)"""
 

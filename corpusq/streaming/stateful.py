@@ -8,7 +8,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -16,6 +16,7 @@ from corpusq.operators import ingest as batches
 from corpusq.operators.answers import LONGEST_HELD, REFUSALS
 from corpusq.operators.chunking import split_sentences
 from corpusq.operators.lifecycle import TRANSITIONS
+from corpusq.sources import segments, streams
 
 LIMIT, SECONDS = 30, 60
 _MARK, _WIDE = re.compile(r"\[(\d+)\]", re.ASCII), re.compile(r"[【［]\s*(\d+)\s*[】］]", re.ASCII)
@@ -283,26 +284,43 @@ def ingest_log(log: DataFrame, path: str, checkpoint: str, late: str = "10 minut
     _each_batch(log, write, checkpoint)
 
 
-def ingest_uploads(uploads: DataFrame, path: str, checkpoint: str, **sizes: int) -> None:
-    """Runs the batch pipeline over each micro-batch of uploads and writes its outcomes, chunks, terms and registry rows under the batch's own folder of each
-    table (STR9). The registry of earlier batches tells which documents are there and which are copies; redelivered uploads leave theirs as it is.
+def upload_store(spark: SparkSession, path: str) -> segments.Store:
+    """Where ingest_uploads() writes: outcomes (a log of all deliveries), chunks, terms and registry, by doc_id."""
+    return segments.Store(spark, path, "doc_id", indexed={"registry": ["doc_id", "content_hash"]}, logs=("outcomes",))
+
+
+def ingest_uploads(uploads: DataFrame, path: str, checkpoint: str, before_publish: Callable[[], None] | None = None, **sizes: int) -> None:
+    """Runs the batch pipeline over each micro-batch of uploads and commits its outcomes, chunks, terms and registry rows together as a segment (STR9). Registry
+    rows of the batch's documents and of equal contents are looked up by bucket; redelivered uploads leave theirs as it is. A batch that is repeated after
+    its commit adds nothing, one that failed before leaves nothing that readers see. Full levels of segments are merged after each batch.
 
     uploads: a stream of doc_id, filename, text, uploaded_at; of a document that comes twice in one batch the latest upload counts."""
 
     def write(df: DataFrame, n: int) -> None:
         spark = df.sparkSession
+        store = upload_store(spark, path)
+        if n <= store.manifest().last:
+            return
         kind = dict(df.dtypes)["doc_id"]
-        if n:
-            r = spark.read.parquet(f"{path}/registry").where(F.col("batch") < n)
-            hashed = F.when(F.col("content_hash").isNotNull(), F.col("batch"))
-            known = r.groupBy("doc_id").agg(F.max_by("state", "batch").alias("state"), F.max_by("content_hash", hashed).alias("content_hash"), F.min("uploaded_at").alias("uploaded_at"))
-        else:
-            known = spark.createDataFrame([], f"doc_id {kind}, state string, content_hash string, uploaded_at timestamp")
+        nothing = f"doc_id {kind}, state string, content_hash string, uploaded_at timestamp"
+
+        def known(column: str, values: DataFrame) -> DataFrame:
+            found = store.lookup("registry", column, values)
+            return spark.createDataFrame([], nothing) if found is None else found
+
         last = F.max_by(F.struct("filename", "text", "uploaded_at"), F.struct("uploaded_at", "text", "filename")).alias("u")
-        u = df.groupBy("doc_id").agg(last).select("doc_id", "u.*")
+        u = streams.written(df.groupBy("doc_id").agg(last).select("doc_id", "u.*"), "uploads")
         got = batches.ingest(u, known, **sizes)
-        registry = got.outcomes.join(got.hashes, "doc_id", "left").join(u.select("doc_id", "uploaded_at"), "doc_id")
-        for name, table in {"outcomes": got.outcomes, "chunks": got.chunks, "terms": got.terms, "registry": registry.select("doc_id", "state", "content_hash", "uploaded_at")}.items():
-            table.write.mode("overwrite").parquet(f"{path}/{name}/batch={n}")
+        outcomes = streams.written(got.outcomes.withColumn("batch", F.lit(n)), "outcomes")
+        was = known("doc_id", u).select("doc_id", F.col("content_hash").alias("had"), F.col("uploaded_at").alias("first"))
+        new = outcomes.join(got.hashes.select("doc_id", "content_hash"), "doc_id", "left").join(u.select("doc_id", "uploaded_at"), "doc_id").join(was, "doc_id", "left")
+        # A document keeps its first upload's time, and its content's hash where this delivery gives none.
+        registry = new.select("doc_id", "state", F.coalesce("content_hash", "had").alias("content_hash"), F.least("uploaded_at", "first").alias("uploaded_at"))
+        left_alone = F.coalesce(F.col("detail").isin(*batches.LEFT_ALONE.values()), F.lit(False))
+        replaced = outcomes.where(~left_alone).select("doc_id")
+        of = lambda rows: rows.join(replaced, "doc_id", "left_semi")
+        terms = got.terms.join(got.chunks.select("chunk_id", "doc_id"), "chunk_id")
+        store.commit(n, replaced, {"outcomes": outcomes, "chunks": got.chunks, "terms": terms, "registry": of(registry)}, before_publish)
+        store.compact()
 
     _each_batch(uploads, write, checkpoint)

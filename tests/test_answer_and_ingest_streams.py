@@ -79,11 +79,12 @@ def test_upload_stream_equals_one_batch(spark, tmp_path):
         stateful.ingest_uploads(streams.read_stream(spark, folder), out, state, **sizes)
     nothing = spark.createDataFrame([], "doc_id long, content_hash string, state string, uploaded_at timestamp")
     one = ingest.ingest(d, nothing, **sizes)
-    first = spark.read.parquet(f"{out}/outcomes").groupBy("doc_id").agg(F.min_by(F.struct("state", "chunks", "duplicate_of", "detail"), "batch").alias("o")).select("doc_id", "o.*")
+    store = stateful.upload_store(spark, out)
+    first = store.read("outcomes").groupBy("doc_id").agg(F.min_by(F.struct("state", "chunks", "duplicate_of", "detail"), "batch").alias("o")).select("doc_id", "o.*")
     assert sorted(map(str, first.collect())) == sorted(map(str, one.outcomes.collect()))
     for name, whole in (("chunks", one.chunks.select("chunk_id", "text")), ("terms", one.terms)):
-        assert sorted(map(str, spark.read.parquet(f"{out}/{name}").select(*whole.columns).collect())) == sorted(map(str, whole.collect())), name
-    again = spark.read.parquet(f"{out}/outcomes").where("doc_id = 1 and batch = 1").first()
+        assert sorted(map(str, store.read(name).select(*whole.columns).collect())) == sorted(map(str, whole.collect())), name
+    again = store.read("outcomes").where("doc_id = 1 and batch = 1").first()
     assert (again.state, again.detail) == ("live", "already indexed")
 
 
