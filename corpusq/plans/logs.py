@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusq.plans.quantiles import with_quantiles
+
 HELPFUL, REFUSAL, UNANSWERED, TTFT_MS = 0.70, (0.10, 0.30), 0.15, 5000.0
 
 
@@ -20,7 +24,7 @@ def counts(log: DataFrame) -> DataFrame:
 
 def gate_metrics(log: DataFrame, least: int = 20) -> DataFrame:
     """name, value, state, samples (LOG3): four rows from one aggregation."""
-    c = counts(log).crossJoin(log.agg(F.percentile("ttft_ms", 0.95).alias("p95")))  # one row each
+    c = with_quantiles(counts(log), log, [], F.col("ttft_ms"), {"p95": 0.95}, 12)
     votes = F.col("up_votes") + F.col("down_votes")
     helpful, refused = F.col("up_votes") / votes, F.col("abstained") / F.col("distinct_queries")
     state = lambda ok, enough: F.when(~enough, "unmeasured").when(ok, "pass").otherwise("fail")
@@ -43,14 +47,28 @@ def review_queue(log: DataFrame, limit: int = 50, refusals_first: bool = True) -
     return g.orderBy(first, F.col("occurrences").desc(), "original_query").limit(limit)
 
 
-def buckets(log: DataFrame, width: str, aggregates: dict, at: str = "created_at") -> DataFrame:
+@dataclass(frozen=True)
+class Share:
+    """A percentile of a column, where buckets() expects an aggregate."""
+
+    column: Column
+    share: float
+
+
+def buckets(log: DataFrame, width: str, aggregates: dict[str, Column | Share], at: str = "created_at") -> DataFrame:
     """Time buckets with aggregates (DSH1 to DSH13)."""
-    g = log.groupBy(F.window(at, width).alias("w")).agg(*[c.alias(n) for n, c in aggregates.items()])
-    return g.select(F.col("w.start").alias("bucket"), *aggregates)
+    plain, shares = ({n: c for n, c in aggregates.items() if isinstance(c, Share) == of} for of in (False, True))
+    log = log.withColumn("bucket", F.window(at, width).start)
+    out = log.groupBy("bucket").agg(*[c.alias(n) for n, c in plain.items()]) if plain else log.select("bucket").distinct()
+    # Percentiles of one column are found together.
+    for value in {id(c.column): c.column for c in shares.values()}.values():
+        out = with_quantiles(out, log, ["bucket"], value, {n: c.share for n, c in shares.items() if c.column is value})
+    return out.where("bucket is not null").select("bucket", *aggregates)
 
 
-def percentiles(column: str, *shares: float) -> dict:
-    return {f"p{round(100 * s)}": F.round(F.percentile(column, s), 6) for s in shares}
+def percentiles(column: str | Column, *shares: float) -> dict[str, Share]:
+    of = F.col(column) if isinstance(column, str) else column
+    return {f"p{round(100 * s)}": Share(of, s) for s in shares}
 
 
 def feedback(log: DataFrame, events: DataFrame) -> DataFrame:
@@ -59,11 +77,6 @@ def feedback(log: DataFrame, events: DataFrame) -> DataFrame:
     return log.select("query_id").join(last, "query_id", "left").select("query_id", F.coalesce("value", F.lit("none")).alias("feedback"))
 
 
-def percentile(column: str, share: float, where: Column | None = None) -> Column:
-    """The linearly interpolated percentile (LOG2), of rows that meet a condition if one is given."""
-    return F.round(F.percentile(F.col(column) if where is None else F.when(where, F.col(column)), share), 6)
-
-
 STRONG, NOISE = 0.05, 1e-6
 
 
@@ -104,16 +117,17 @@ def load_summary(requests: DataFrame, by: list[str]) -> DataFrame:
     ok = F.col("status") == "ok"
     span = F.unix_micros(F.max("at")) - F.unix_micros(F.min("at"))
     good = ok & F.col("answered")
-    return requests.groupBy(*by).agg(
+    out = requests.groupBy(*by).agg(
         F.count_if(ok).alias("ok"), F.count_if(F.col("status") == "failed").alias("failed"), F.count_if(F.col("status") == "truncated").alias("truncated"),
-        F.round(F.when(span > 0, F.count("*") / (span / 1e6)), 6).alias("rps"), percentile("ttft_ms", 0.5, good).alias("p50"), percentile("ttft_ms", 0.95, good).alias("p95"),
-        percentile("ttft_ms", 0.99, good).alias("p99"), F.round(F.avg(F.when(good, F.col("ttft_ms"))), 6).alias("mean"), F.max(F.when(good, F.col("ttft_ms"))).alias("most"), F.count_if(good).alias("answered"),
+        F.round(F.when(span > 0, F.count("*") / (span / 1e6)), 6).alias("rps"), F.round(F.avg(F.when(good, F.col("ttft_ms"))), 6).alias("mean"), F.max(F.when(good, F.col("ttft_ms"))).alias("most"), F.count_if(good).alias("answered"),
     )
+    return with_quantiles(out, requests.where(good), by, F.col("ttft_ms"), {"p50": 0.5, "p95": 0.95, "p99": 0.99})
 
 
 def stage_profile(log: DataFrame, budgets: dict[str, float]) -> DataFrame:
     """stage, n, p50, p95, most, mean, over_budget for each stage with a budget; stages without a row count 0 (LOG10). log: timings (map of stage to ms)."""
-    t = log.select(F.explode("timings").alias("stage", "ms")).groupBy("stage").agg(
-        F.count("ms").alias("n"), percentile("ms", 0.5).alias("p50"), percentile("ms", 0.95).alias("p95"), F.max("ms").alias("most"), F.round(F.avg("ms"), 6).alias("mean"))
+    each = log.select(F.explode("timings").alias("stage", "ms"))
+    t = each.groupBy("stage").agg(F.count("ms").alias("n"), F.max("ms").alias("most"), F.round(F.avg("ms"), 6).alias("mean"))
+    t = with_quantiles(t, each, ["stage"], F.col("ms"), {"p50": 0.5, "p95": 0.95})
     b = log.sparkSession.createDataFrame([(k, float(v)) for k, v in budgets.items()], "stage string, budget double")
     return F.broadcast(b).join(t, "stage", "left").na.fill(0, ["n"]).select("stage", "n", "p50", "p95", "most", "mean", (F.col("p95") > F.col("budget")).alias("over_budget"))

@@ -193,7 +193,7 @@ _hourly("dsh10_failures", "uploaded_at", lambda: {"rate": F.round(F.avg((F.col("
 _hourly("dsh11_indexed", "indexed_at", lambda: {"documents": F.count("*"), "bytes": F.sum("n_chars")}, "count(*) as documents, cast(sum(n_chars) as bigint) as bytes", "indexed_at is not null")
 _hourly(
     "dsh12_latency", "uploaded_at",
-    lambda: {f"p{round(100 * p)}": F.round(F.percentile((F.unix_micros("indexed_at") - F.unix_micros("uploaded_at")) / 1e6, p), 6) for p in (0.5, 0.95)},
+    lambda: logs.percentiles((F.unix_micros("indexed_at") - F.unix_micros("uploaded_at")) / 1e6, 0.5, 0.95),
     "round(quantile_cont((epoch_us(indexed_at) - epoch_us(uploaded_at)) / 1e6, 0.5), 6) as p50, round(quantile_cont((epoch_us(indexed_at) - epoch_us(uploaded_at)) / 1e6, 0.95), 6) as p95", "indexed_at is not null",
 )
 
