@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from corpusq.functions import text as T
 from corpusq.functions.text import strip
+from corpusq.operators import asof
+from corpusq.sources.streams import written
 
 # What counts as a heading.
 ATX = r"^(#{1,6})[ \t]+(\S.*?)[ \t]*#*[ \t]*$"
@@ -52,14 +54,30 @@ def headings(docs: DataFrame) -> DataFrame:
     return at.where("last is null or last <> h.text").select("doc_id", "line", "h.level", F.col("h.text").alias("heading"), F.col("h.start").cast("int").alias("char_start"))
 
 
-def section_paths(places: DataFrame, found: DataFrame) -> DataFrame:
-    """places (doc_id, char_start, ...) with section_path: the headings open there (TXT9). A heading is open until the next one of its level or above."""
-    hs = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line", "char_start", "level", "heading"))).alias("hs"))
-    # Where each heading closes: the line of the next one that is not below it.
-    ends = "transform(hs, h -> named_struct('line', h.line, 'char_start', h.char_start, 'heading', h.heading, 'closed', array_min(transform(filter(hs, x -> x.line > h.line and x.level <= h.level), x -> x.char_start))))"
-    hs = hs.select("doc_id", F.expr(ends).alias("hs"))
-    path = "transform(filter(hs, h -> h.char_start <= char_start and (h.closed is null or h.closed > char_start)), h -> h.heading)"
-    return places.join(hs, "doc_id", "left").withColumn("section_path", F.coalesce(F.expr(path), F.expr("cast(array() as array<string>)"))).drop("hs")
+#: Characters of a document that share a bucket where places meet headings.
+BUCKET = 1 << 16
+
+
+def section_paths(places: DataFrame, found: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """places (doc_id, char_start, ...) with section_path: the headings open there (TXT9). A heading is open until the next one of its level or above.
+
+    Each heading points to the one above it, the last before it of a higher rank; a place has the path of the last heading before it. Both are as-of joins by
+    buckets (JN5), so a document with very many headings is spread."""
+    h = written(found.select("doc_id", "char_start", "level", "heading"), "headings")
+    levels = sorted(r[0] for r in h.select("level").distinct().collect())  # some sixty at most, as a numbered heading has 120 characters
+    below = F.explode(F.filter(F.array(*[F.lit(x) for x in levels]) if levels else F.expr("cast(array() as array<int>)"), lambda x: x > F.col("level"))).alias("of")
+    above = asof.last_marks(h.select("doc_id", "char_start", "heading", F.col("level").alias("of"), (F.col("char_start") - 1).alias("at")), h.select("doc_id", F.col("char_start").alias("at"), below), ["doc_id", "of"], "at", bucket, name="above")
+    paths = above.select("doc_id", "char_start", F.array("heading").alias("path"), F.col("above").cast("int").alias("above"))
+    up = written(above.select("doc_id", F.col("char_start").alias("above"), F.array("heading").alias("upper"), F.col("above").cast("int").alias("next")), "above")
+    for _ in range(len(levels).bit_length()):
+        # Each round doubles the part of the path that is known.
+        paths = paths.join(up, ["doc_id", "above"], "left").select("doc_id", "char_start", F.concat(F.coalesce("upper", F.expr("cast(array() as array<string>)")), "path").alias("path"), F.col("next").alias("above"))
+        paths = written(paths, "paths")
+        twice = up.select("doc_id", F.col("above").alias("at"), F.col("upper").alias("lower"), F.col("next").alias("above"))
+        up = written(twice.join(up, ["doc_id", "above"], "left").select("doc_id", F.col("at").alias("above"), F.concat(F.coalesce("upper", F.expr("cast(array() as array<string>)")), "lower").alias("upper"), "next"), "above")
+    marks = paths.select("doc_id", "char_start", "path")
+    out = asof.last_marks(places, marks, ["doc_id"], "char_start", bucket, F.col("path"), "section_path")
+    return out.withColumn("section_path", F.coalesce("section_path", F.expr("cast(array() as array<string>)")))
 
 
 def breadcrumb(title: Column, path: Column, deepest: int = 3) -> Column:

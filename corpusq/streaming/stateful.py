@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from corpusq.operators import asof
 from corpusq.operators import ingest as batches
 from corpusq.operators.answers import LONGEST_HELD, REFUSALS
 from corpusq.operators.chunking import split_sentences
@@ -19,6 +20,8 @@ from corpusq.operators.lifecycle import TRANSITIONS
 from corpusq.sources import segments, streams
 
 LIMIT, SECONDS = 30, 60
+#: Windows' lengths that share a stretch of a client's time in batch.
+STRETCH = 256
 _MARK, _WIDE = re.compile(r"\[(\d+)\]", re.ASCII), re.compile(r"[【［]\s*(\d+)\s*[】］]", re.ASCII)
 
 
@@ -56,19 +59,21 @@ def rate_limit_stream(requests: DataFrame, limit: int = LIMIT, seconds: int = SE
 
 
 def rate_limit(requests: DataFrame, limit: int = LIMIT, seconds: int = SECONDS) -> DataFrame:
-    """The same for a table. A pause as long as a window surely ends it, so only busy spells between such pauses are folded, each in a row."""
+    """The same for a table. Each request points to the client's first one a window later; where windows begin is what these pointers reach from requests after
+    a pause, found by pointer doubling. Clients are cut into stretches of time, so a busy one is many small windows."""
     size = seconds * 1_000_000
-    w = Window.partitionBy("client").orderBy("t", "request_id")
-    r = requests.select("client", "request_id", F.unix_micros("created_at").alias("t"))
-    r = r.withColumn("fresh", F.coalesce(F.col("t") - F.lag("t").over(w) >= size, F.lit(True)).cast("int")).withColumn("spell", F.sum("fresh").over(w))
-    g = r.groupBy("client", "spell").agg(F.array_sort(F.collect_list(F.struct("t", "request_id"))).alias("r"))
-    starts = f"aggregate(r, cast(array() as array<bigint>), (s, x) -> if(size(s) = 0 or x.t - element_at(s, -1) >= {size}, concat(s, array(x.t)), s))"
-    x = g.select("client", F.expr(starts).alias("starts"), F.explode("r").alias("x"))
-    x = x.select("client", "x.*", F.expr("array_max(filter(starts, s -> s <= x.t))").alias("at"))
-    nth = F.row_number().over(Window.partitionBy("client", "at").orderBy("t", "request_id"))
-    ok = (F.lit(limit) == 0) | (nth <= limit)
-    x = x.withColumn("allowed", ok)
-    return x.select("request_id", "client", "allowed", F.when(F.col("allowed"), 0.0).otherwise((F.col("at") + size - F.col("t")) / 1e6).alias("retry_after"))
+    stretch = max(1, size * STRETCH)
+    r = requests.select("client", "request_id", F.unix_micros("created_at").alias("at")).where("at is not null")
+    times = streams.written(r.select("client", "at").distinct(), "times")
+    after = asof.next_marks(times.withColumn("from", F.col("at")).withColumn("at", F.col("at") + size), times, ["client"], "at", stretch, "to")
+    before = asof.last_marks(times.withColumn("from", F.col("at")).withColumn("at", F.col("at") - 1), times, ["client"], "at", stretch, name="last")
+    # A pause as long as a window surely ends it.
+    fresh = before.where(F.col("last").isNull() | (F.col("from") - F.col("last") >= size)).select("client", F.col("from").alias("at"))
+    starts = asof.reached(fresh, after.select("client", F.col("from").alias("at"), "to"), ["client"])
+    x = asof.last_marks(r, starts, ["client"], "at", stretch, name="began")
+    nth = F.row_number().over(Window.partitionBy("client", "began").orderBy("at", "request_id"))
+    x = x.withColumn("allowed", (F.lit(limit) == 0) | (nth <= limit))
+    return x.select("request_id", "client", "allowed", F.when(F.col("allowed"), 0.0).otherwise((F.col("began") + size - F.col("at")) / 1e6).alias("retry_after"))
 
 
 class _Lifecycle(StatefulProcessor):
