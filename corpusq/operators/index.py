@@ -1,18 +1,21 @@
 """A kept positional index, and exact BM25 that looks at few of its postings.
 
-build() writes postings with positions to a table that is bucketed and sorted by term (a term with very many postings
-is split into parts), beside a row for each term: how many chunks have it, and the largest weight that it has in any of
-them. Joins by term read the buckets as they lie, without shuffling the index.
+build() writes postings with positions to a table that is bucketed and sorted by term. A term's postings lie in layers by
+their weight (what they add to a score, but for idf), and a layer with very many postings in several parts. Beside it is a
+row for each layer: its chunks, and the largest weight there. Joins by term and part read the buckets as they lie, without
+shuffling the index.
 
 top() gives the rows that summing all postings gives, in three steps. The rarest terms of a query propose chunks, whose
-full scores bound the k-th best score from below. Terms are then ordered by the most that they can add: chunks that have
-only terms whose sum stays below the bound can't be among the best, so only the other terms' postings are read.
-What these give is completed with the small terms, larger ones first, and only where it can still reach the bound."""
+full scores bound the k-th best score from below. Layers are then ordered by the most that they can add: chunks that lie only
+in layers whose sum stays below the bound (of each term the largest one) can't be among the best, so only the other
+layers are read. What these give is completed with the small ones, larger first, and only where it can still reach the
+bound."""
 
 from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,7 +25,9 @@ from corpusq.operators.access import permitted
 from corpusq.operators.keyword import HAS_TOKEN, MOST_TERMS, top
 from corpusq.sources.streams import shared_path, written
 
-#: Postings of a term that share a bucket; postings that a query's rarest terms may have together; proposals for each row asked for.
+#: Where layers end, as shares of the largest weight there is (k1 + 1). A chunk of average length with the term once has 0.45 of it.
+LAYERS = (0.35, 0.47, 0.6, 0.72)
+#: Postings of a layer that share a bucket; postings that a query's rarest terms may have together; proposals for each row asked for.
 PART, SEEDS, PROPOSALS = 1_000_000, 500, 3
 #: Rounds in which what is left open is completed; each has the terms that reach half as far as those of the round before.
 ROUNDS = 3
@@ -33,7 +38,7 @@ ROOM = 2 * 10.0**-DIGITS
 
 @dataclass(frozen=True)
 class Index:
-    """postings: term, part, chunk_id, term_count, token_count, positions, weight; terms: term, df, parts, idf, most. weight: a posting's share of a score but for idf, at the k1 and b that the index was built with."""
+    """postings: term, part, chunk_id, term_count, token_count, positions, weight; terms: term, layer, df, parts, idf, most, a row for each layer. weight: a posting's share of a score but for idf, at the k1 and b that the index was built with."""
 
     postings: DataFrame
     terms: DataFrame
@@ -80,17 +85,30 @@ def build(chunks: DataFrame, buckets: int | None = None, ngrams: int = 1, k1: fl
     facts = chunks.agg(F.count_if(F.lower("text").rlike(HAS_TOKEN)).alias("n"), F.avg("token_count").alias("a")).first()
     n, avgdl = facts.n, float(facts.a) if facts.a and facts.a > 0 else 1.0
     raw = written(positional(chunks, ngrams=ngrams).withColumn("weight", saturated(F.col("term_count"), F.col("token_count"), avgdl, k1, b)), "raw")
-    idf = F.greatest(F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(0.0))
-    terms = raw.groupBy("term").agg(F.count("*").alias("df"), F.max("weight").alias("most"))
-    terms = written(terms.select("term", "df", F.ceil(F.col("df") / part).cast("int").alias("parts"), idf.alias("idf"), "most"), "terms")
-    large = terms.where("parts > 1").select("term", "parts")
-    dealt = raw.join(large, "term", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("chunk_id"), F.col("parts")).cast("int"), F.lit(0)))
+    layer = reduce(lambda x, y: x + (F.col("weight") >= y * (k1 + 1)).cast("int"), LAYERS, F.lit(0))
+    raw = raw.withColumn("layer", layer)
+    all_ = F.sum("df").over(Window.partitionBy("term"))  # a term has five rows at most
+    idf = F.greatest(F.log(1 + (n - all_ + 0.5) / (all_ + 0.5)), F.lit(0.0))
+    terms = raw.groupBy("term", "layer").agg(F.count("*").alias("df"), F.max("weight").alias("most"))
+    terms = written(terms.select("term", "layer", "df", F.ceil(F.col("df") / part).cast("int").alias("parts"), idf.alias("idf"), "most"), "terms")
+    large = terms.where("parts > 1").select("term", "layer", "parts")
+    split = F.coalesce(F.pmod(F.xxhash64("chunk_id"), F.col("parts")).cast("int"), F.lit(0))
+    dealt = raw.join(large, ["term", "layer"], "left").withColumn("part", _part(split))
     name = f"corpusq_index_{uuid.uuid4().hex}"
     dealt = dealt.select("term", "part", "chunk_id", "term_count", "token_count", "positions", "weight")
     dealt.repartition(buckets, "term", "part").write.bucketBy(buckets, "term", "part").sortBy("term", "part").option("path", shared_path(spark, "index")).saveAsTable(name)
     return Index(spark.table(name), terms, n, avgdl, name)
 
 
+def _part(split: Column) -> Column:
+    return F.col("layer") + (len(LAYERS) + 1) * split
+
+
+def _parts() -> Column:
+    """A row for each part of a layer."""
+    return F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), _part)).alias("part")
+
+
 _KEPT = "_corpusq_indexes"
 
 
@@ -103,15 +121,15 @@ def kept(spark: SparkSession, key: tuple, chunks) -> Index:
 
 
 def asked_terms(queries: DataFrame, index: Index) -> DataFrame:
-    """query_id, term, part, df, idf, most: the distinct terms of each query that the index has, one row for each part of a term."""
+    """query_id, term, layer, part, df, idf, most: the distinct terms of each query that the index has, one row for each part of their layers."""
     asked = queries.select("query_id", F.explode(T.query_terms(F.col("query"))).alias("term"))
-    return asked.join(index.terms, "term").select("query_id", "term", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "df", "idf", "most")
+    return asked.join(index.terms, "term").select("query_id", "term", "layer", _parts(), "df", "idf", "most")
 
 
 def lookup(queries: DataFrame, index: Index, k: int = 50, chunks: DataFrame | None = None) -> DataFrame:
     """query_id, chunk_id, score, matched, rank: sums of counts over distinct matched terms (KW2), read from the index. chunks: their acl_tags, if queries have grants."""
-    asked = queries.select("query_id", F.explode(F.array_distinct(T.tokens(F.col("query")))).alias("term")).join(index.terms.select("term", "parts"), "term")
-    asked = asked.select("query_id", "term", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    asked = queries.select("query_id", F.explode(F.array_distinct(T.tokens(F.col("query")))).alias("term")).join(index.terms.select("term", "layer", "parts"), "term")
+    asked = asked.select("query_id", "term", _parts())
     got = index.postings.join(asked, ["term", "part"]).groupBy("query_id", "chunk_id").agg(F.sum("term_count").alias("score"), F.array_join(F.array_sort(F.collect_set("term")), ",").alias("matched"))
     return top(got if chunks is None else permitted(got, queries, chunks), k)
 
@@ -134,11 +152,11 @@ def search(index: Index, queries: DataFrame, k: int = 10, chunks: DataFrame | No
     asked = written(asked_terms(queries, index), "asked")
     may = (lambda df: permitted(df, queries, chunks)) if chunks is not None else (lambda df: df)
 
-    # The rarest terms propose chunks; the proposals' full scores bound the k-th best one.
-    one = asked.select("query_id", "term", "df", "idf", "most").distinct()
-    rare = Window.partitionBy("query_id").orderBy("df", "term")
-    seeds = one.withColumn("sum", F.sum("df").over(rare)).where((F.col("sum") <= SEEDS) | (F.col("sum") == F.col("df"))).select("query_id", "term")
-    seeds = asked.join(seeds, ["query_id", "term"])
+    # The rarest layers propose chunks; the proposals' full scores bound the k-th best one.
+    one = asked.select("query_id", "term", "layer", "df", "idf", "most").distinct()
+    rare = Window.partitionBy("query_id").orderBy("df", "term", "layer")
+    seeds = one.withColumn("sum", F.sum("df").over(rare)).where((F.col("sum") <= SEEDS) | (F.col("sum") == F.col("df"))).select("query_id", "term", "layer")
+    seeds = asked.join(seeds, ["query_id", "term", "layer"])
     first = written(_scored(index, seeds), "seeds")
     best = Window.partitionBy("query_id").orderBy(F.col("s").desc(), "chunk_id")
     proposed = may(first.groupBy("query_id", "chunk_id").agg(F.sum("add").alias("s"))).withColumn("r", F.row_number().over(best)).where(F.col("r") <= PROPOSALS * k)
@@ -148,14 +166,17 @@ def search(index: Index, queries: DataFrame, k: int = 10, chunks: DataFrame | No
     full = proposed.select("query_id", "chunk_id", F.col("s").alias("add")).unionByName(second).groupBy("query_id", "chunk_id").agg(F.sum("add").alias("s"))
     bound = full.withColumn("r", F.row_number().over(best)).where(F.col("r") == k).select("query_id", (F.col("s") - ROOM).alias("bound"))
 
-    # Terms by the most that they can add: large ones, and small ones that can't reach the bound (or half of it, a quarter ...) together.
-    rise = Window.partitionBy("query_id").orderBy(F.col("idf") * F.col("most"), "term")
-    split = one.withColumn("below", F.sum(F.col("idf") * F.col("most")).over(rise)).join(bound, "query_id", "left")
+    # Layers by the most that they can add: large ones, and small ones that can't reach the bound (or half of it, a quarter ...) together.
+    # A chunk is in one layer of a term: a higher layer adds what it has over the one below.
+    adds = F.col("idf") * F.col("most")
+    more = adds - F.coalesce(F.lag(adds).over(Window.partitionBy("query_id", "term").orderBy("layer")), F.lit(0.0))
+    rise = Window.partitionBy("query_id").orderBy("adds", "term", "layer")
+    split = one.withColumns({"adds": adds, "more": more}).withColumn("below", F.sum("more").over(rise)).join(bound, "query_id", "left")
     step = F.lit(0)
     for i in range(ROUNDS):
         step = F.when(F.col("below") < F.col("bound") / 2**i, i + 1).otherwise(step)
-    split = written(split.select("query_id", "term", "below", "bound", step.alias("step")), "split")
-    of = lambda i: asked.join(split.where(F.col("step") == i).select("query_id", "term"), ["query_id", "term"])
+    split = written(split.select("query_id", "term", "layer", "below", "bound", step.alias("step")), "split")
+    of = lambda i: asked.join(split.where(F.col("step") == i).select("query_id", "term", "layer"), ["query_id", "term", "layer"])
     found = may(_scored(index, of(0)).groupBy("query_id", "chunk_id").agg(F.sum("add").alias("s"), F.count("*").alias("rows")))
     read = []
     for i in range(1, ROUNDS + 1):
