@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,9 +113,19 @@ def trend(snapshots: DataFrame) -> DataFrame:
 
 
 def dataset_fingerprint(questions: DataFrame) -> DataFrame:
-    """One row: n, fingerprint: 12 hex digits of the SHA-256 of the questions, one a line in order (EV13). An evaluation set is one row's worth of text."""
-    g = questions.agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("query_id", "query"))).alias("q"))
-    return g.select("n", F.substring(F.sha2(F.array_join(F.transform("q", lambda x: x["query"]), "\n").cast("binary"), 256), 1, 12).alias("fingerprint"))
+    """One row: n, fingerprint: 12 hex digits of the SHA-256 of the questions, one a line in order (EV13). A digest has an order, so one task reads the sorted rows, as a stream."""
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h, n, first = hashlib.sha256(), 0, True
+        for b in batches:
+            n += b.num_rows
+            for q in b.column(0).drop_null().to_pylist():
+                h.update(("" if first else "\n").encode() + q.encode())
+                first = False
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([h.hexdigest()[:12]])], ["n", "fingerprint"])
+
+    q = questions.select("query_id", "query").repartition(1).sortWithinPartitions("query_id", "query")
+    return q.select("query").mapInArrow(digest, "n long, fingerprint string")
 
 
 def corpus_fingerprint(chunks: DataFrame) -> DataFrame:
@@ -153,12 +167,23 @@ PROBE = 6
 def holding(queries: DataFrame, chunks: DataFrame, probe: int = PROBE) -> DataFrame:
     """query_id, chunk_id of all chunks whose text holds the query's evidence, in any case of letters (EV1, JN6). queries: query_id, evidence.
 
-    Evidence is looked up by one run of `probe` whole words from its middle, which a text that holds it must have; then the whole is compared. Evidence of too few words is compared with all texts."""
+    Evidence of three words or more is looked up by a run of up to `probe` whole words from its middle, which a text that holds it must have; only ids travel to
+    that join, and texts come to its hits, where the whole is compared. Evidence of one or two words has no word that must be whole and is compared with all texts."""
     of = queries.select("query_id", F.lower("evidence").alias("evidence")).where("evidence is not null").withColumn("w", F.split("evidence", " ", -1))
-    run = lambda words, at: F.array_join(F.slice(words, at, F.lit(probe)), " ")
-    long = of.where(F.size("w") >= probe + 2).select("query_id", "evidence", F.xxhash64(run("w", F.greatest(F.lit(2), F.floor((F.size("w") - probe) / 2).cast("int") + 1))).alias("key"))
+    of = of.withColumn("size", F.least(F.size("w") - 2, F.lit(probe)))
+    run = lambda words, at, n: F.array_join(F.slice(words, at, n), " ")
+    probes = of.where("size >= 1").select("query_id", "evidence", "size", F.xxhash64("size", run("w", F.greatest(F.lit(2), F.floor((F.size("w") - F.col("size")) / 2).cast("int") + 1), F.col("size"))).alias("key"))
     text = chunks.where("text is not null").select("chunk_id", F.lower("text").alias("text"))
-    grams = F.when(F.size("w") >= probe, F.transform(F.sequence(F.lit(1), F.size("w") - (probe - 1)), lambda i: F.xxhash64(run("w", i))))
-    met = once(text.withColumn("w", F.split("text", " ", -1)), "w").select("chunk_id", "text", F.explode(F.array_distinct(grams)).alias("key")).join(long, "key").where(F.contains("text", "evidence"))
-    short = text.join(of.where(F.size("w") < probe + 2), F.contains("text", "evidence"))
-    return met.select("query_id", "chunk_id").unionByName(short.select("query_id", "chunk_id"))
+    words = once(text.select("chunk_id", F.split("text", " ", -1).alias("w")), "w")
+    sizes = [r[0] for r in probes.select("size").distinct().collect()]  # `probe` numbers at most
+
+    def grams(n: int) -> Column:
+        all_ = F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.xxhash64(F.lit(n), run("w", i, F.lit(n))))
+        return F.when(F.size("w") >= n, all_).otherwise(F.expr("cast(array() as array<bigint>)"))
+
+    short = text.join(of.where("size < 1").select("query_id", "evidence"), F.contains("text", "evidence")).select("query_id", "chunk_id")
+    if not sizes:
+        return short
+    met = words.select("chunk_id", F.explode(F.array_distinct(F.concat(*[grams(n) for n in sizes]))).alias("key")).join(probes.select("query_id", "key"), "key").select("query_id", "chunk_id").distinct()
+    met = met.join(probes.select("query_id", "evidence"), "query_id").join(text, "chunk_id").where(F.contains("text", "evidence"))
+    return met.select("query_id", "chunk_id").unionByName(short)

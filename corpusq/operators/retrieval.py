@@ -33,12 +33,11 @@ def lexical_scores(pool: DataFrame) -> DataFrame:
     w = w.where("kept or not any").select("query_id", "term", F.when(F.col("any"), F.log(1 + F.col("pool") / (1 + F.col("df")))).otherwise(1.0).alias("weight"))
     of_query = w.groupBy("query_id").agg(F.sum("weight").alias("all"), F.collect_set("term").alias("terms"))
     matched = hit.join(w, ["query_id", "term"]).groupBy("query_id", "chunk_id").agg(F.sum("weight").alias("matched"))
-    places = p.join(of_query, "query_id").select("query_id", "chunk_id", "terms", F.posexplode("tok").alias("pos", "term")).where(F.array_contains("terms", F.col("term")))
-    near = F.count("*").over(Window.partitionBy("query_id", "chunk_id").orderBy("pos").rangeBetween(1, 5))
-    near = places.withColumn("near", near).groupBy("query_id", "chunk_id").agg(F.sum("near").alias("pairs"), F.count("*").alias("n"))
-    near = near.select("query_id", "chunk_id", F.when(F.col("n") > 1, F.least(F.lit(1.0), F.col("pairs") / (F.col("n") - 1))).otherwise(0.0).alias("adjacency"))
-    rows = p.select("query_id", "chunk_id", F.size("tok").alias("len")).join(of_query.select("query_id", "all"), "query_id", "left")
-    rows = rows.join(matched, ["query_id", "chunk_id"], "left").join(near, ["query_id", "chunk_id"], "left").na.fill(0.0, ["matched", "adjacency"])
+    # Places stay arrays in their row: no row for each token.
+    places = F.filter(F.transform("tok", lambda t, i: F.when(F.array_contains("terms", t), i)), lambda i: i.isNotNull())
+    rows = p.join(of_query, "query_id", "left").select("query_id", "chunk_id", "all", F.size("tok").alias("len"), places.alias("places"))
+    rows = ranking.once(rows, "places").select("query_id", "chunk_id", "all", "len", F.coalesce(ranking.adjacent(F.col("places")), F.lit(0.0)).alias("adjacency"))
+    rows = rows.join(matched, ["query_id", "chunk_id"], "left").na.fill(0.0, ["matched"])
     penalty = 1 / (1 + F.log1p(F.col("len") / 200))
     score = F.least(F.lit(1.0), F.col("matched") / F.col("all") * 0.8 + F.col("adjacency") * 0.2) * (0.6 + 0.4 * penalty)
     return rows.select("query_id", "chunk_id", F.round(F.when((F.col("len") == 0) | F.col("all").isNull(), 0.0).otherwise(score), 9).alias("score"))

@@ -248,7 +248,7 @@ def str8_feedback_stream(spark, sf_dir):
 
 
 @query("select count(*) as documents, cast(sum(case when page_id % 2 = 0 then 1 else 0 end) as bigint) as accepted from pages")
-def str7_str9_src6_ingest_stream(spark, sf_dir):
+def src6_ingest_stream(spark, sf_dir):
     u = streams.read_stream(spark, f"{sf_dir}/page[s].parquet")
     out = streams.shared_path(spark, "ingest")
     admit = lambda df: intake.admit_uploads(df.select("page_id", F.expr("concat('p', page_id, if(page_id % 2 = 0, '.html', '.exe'))").alias("raw_name"), F.lit(1).alias("size")))

@@ -15,15 +15,21 @@ def shared_path(spark: SparkSession, name: str) -> str:
         master = spark.sparkContext.master
         if master != "local" and not master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
+        sc = spark.sparkContext
+        if not hasattr(sc, "_corpusq_shared"):
+            sc._corpusq_shared = "file://" + tempfile.mkdtemp(prefix="spark-")
+        base = sc._corpusq_shared
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str = "table") -> DataFrame:
-    """The rows written once to the shared folder and read again: what follows does not compute them anew, and lost executors lose nothing."""
-    path = shared_path(df.sparkSession, name)
+    """The rows written once to the shared folder and read again: what follows does not compute them anew, and lost executors lose nothing. The table is deleted when the driver ends."""
+    spark = df.sparkSession
+    path = shared_path(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def read_stream(spark: SparkSession, path: str, batch_bytes: int = 256 << 20) -> DataFrame:
