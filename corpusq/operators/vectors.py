@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusq.functions import text as T
+from corpusq.sources.streams import written
 
 
 def norm(vector: Column) -> Column:
@@ -79,16 +80,53 @@ def health(live: DataFrame, width: int) -> DataFrame:
     return live.agg(F.count_if(has).alias("live_embedded"), F.count_if(has & (F.size("embedding") != width)).alias("wrong_width"), F.count_if(~has).alias("missing"))
 
 
-def divergence(live: DataFrame, index: DataFrame, width: int) -> DataFrame:
-    """One row on a derived index against the table: counts, missing, stale and malformed ids, empty (VEC9). index: chunk_id, embedding."""
-    a = live.where("embedding is not null").select("chunk_id", F.lit(True).alias("in_table"))
-    b = index.select("chunk_id", F.lit(True).alias("in_index"), (F.size("embedding") != width).alias("bad"))
-    j = a.join(b, "chunk_id", "full_outer")
-    return j.agg(
-        F.count("in_table").alias("table_count"), F.count("in_index").alias("index_count"), F.count_if(F.col("in_index").isNull()).alias("missing"),
-        F.count_if(F.col("in_table").isNull()).alias("stale"), F.count_if("bad").alias("malformed"),
-        ((F.count("in_index") == 0) & (F.count("in_table") > 0)).alias("empty"),
-    )
+#: Rows of a bucket whose digest is compared, about.
+DIGESTED = 10_000
+
+
+def digests(rows: DataFrame, buckets: int, *columns: str) -> DataFrame:
+    """bucket, n, x, s: the number of rows whose chunk_id falls into each bucket, and two sums of hashes over chunk_id and `columns` that equal rows have alike in any order. A pass without a shuffle of rows."""
+    h = [F.xxhash64(F.lit(seed), "chunk_id", *[F.struct(F.col(c).isNull(), c) for c in columns]) for seed in (1, 2)]
+    b = F.pmod(F.xxhash64("chunk_id"), F.lit(buckets)).alias("bucket")
+    return rows.select(b, *[x.alias(n) for x, n in zip(h, "xs", strict=True)]).groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor("x").alias("x"), F.sum(F.col("s").cast("decimal(20, 0)")).alias("s"))
+
+
+def _unequal(live: DataFrame, index: DataFrame, buckets: int, *columns: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Both sides' rows of the buckets that differ, with their bucket, and the digests side by side. Where no bucket differs, neither side has rows and nothing is joined."""
+    a, b = (digests(df, buckets, *columns) for df in (live, index))
+    both = written(a.join(b.select("bucket", *[F.col(c).alias(f"{c}_of_index") for c in ("n", "x", "s")]), "bucket", "full_outer"), "digests")
+    differ = both.where(~(F.col("n").eqNullSafe(F.col("n_of_index")) & F.col("x").eqNullSafe(F.col("x_of_index")) & F.col("s").eqNullSafe(F.col("s_of_index")))).select("bucket")
+    place = F.pmod(F.xxhash64("chunk_id"), F.lit(buckets))
+    if differ.isEmpty():
+        sides = [df.limit(0) for df in (live, index)]
+    else:
+        sides = [df.withColumn("bucket", place).join(differ, "bucket", "left_semi").drop("bucket") for df in (live, index)]
+    return sides[0], sides[1], both
+
+
+def _buckets(live: DataFrame) -> int:
+    return max(1, live.count() // DIGESTED)
+
+
+def index_changes(live: DataFrame, index: DataFrame, buckets: int | None = None) -> DataFrame:
+    """chunk_id, action: what makes a derived index equal to the live rows with vectors (SNK6): insert, update (another vector) or remove. Only rows of buckets whose digests differ are joined. live, index: chunk_id (once each), embedding."""
+    have = live.where("embedding is not null").select("chunk_id", "embedding")
+    a, b, _ = _unequal(have, index.select("chunk_id", "embedding"), buckets or _buckets(have), "embedding")
+    j = a.withColumn("l", F.lit(True)).join(b.select("chunk_id", F.col("embedding").alias("other"), F.lit(True).alias("i")), "chunk_id", "full_outer")
+    action = F.when(F.col("l").isNull(), "remove").when(F.col("i").isNull(), "insert").when(~F.col("embedding").eqNullSafe(F.col("other")), "update")
+    return j.select("chunk_id", action.alias("action")).where("action is not null")
+
+
+def divergence(live: DataFrame, index: DataFrame, width: int, buckets: int | None = None) -> DataFrame:
+    """One row on a derived index against the table: counts, missing, stale and malformed ids, empty (VEC9). index: chunk_id, embedding. Ids are joined only where the digests of a bucket's ids differ."""
+    have = live.where("embedding is not null").select("chunk_id")
+    a, b, both = _unequal(have, index.select("chunk_id"), buckets or _buckets(have))
+    j = a.withColumn("in_table", F.lit(True)).join(b.withColumn("in_index", F.lit(True)), "chunk_id", "full_outer")
+    apart = j.agg(F.count_if(F.col("in_index").isNull()).alias("missing"), F.count_if(F.col("in_table").isNull()).alias("stale"))
+    counts = both.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("table_count"), F.coalesce(F.sum("n_of_index"), F.lit(0)).alias("index_count"))
+    bad = index.agg(F.count_if(F.size("embedding") != width).alias("malformed"))
+    out = counts.crossJoin(apart).crossJoin(bad)  # one row each
+    return out.select("table_count", "index_count", "missing", "stale", "malformed", ((F.col("index_count") == 0) & (F.col("table_count") > 0)).alias("empty"))
 
 
 def verify(chunks: DataFrame, model: str, width: int) -> DataFrame:

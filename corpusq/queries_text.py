@@ -261,6 +261,19 @@ def vec14_purge(spark, sf_dir):
     return vectors.bad_width_purge(c, c.select("doc_id", "content_hash", "state"), WIDTH).withColumn("bad_chunks", F.col("bad_chunks").cast("int"))
 
 
+@query(f"""with {VECTORS}, l as (select chunk_id, embedding from chunks where state = 'live' and embedding is not null),
+    i as (select chunk_id, case when chunk_id % 101 = 0 then list_reverse(embedding) else embedding end as other from chunks
+        where embedding is not null and case when state = 'live' then chunk_id % 97 <> 0 else chunk_id % 89 = 0 end)
+    select coalesce(l.chunk_id, i.chunk_id) as chunk_id, case when l.chunk_id is null then 'remove' when i.chunk_id is null then 'insert' else 'update' end as action
+    from l full join i on l.chunk_id = i.chunk_id where embedding is distinct from other""")
+def snk6_changes_by_digest(spark, sf_dir):
+    """An index that lacks some live chunks, holds some that are not live, and has other vectors of some."""
+    c = vector_chunks(spark, sf_dir)
+    held = c.where("embedding is not null and case when state = 'live' then chunk_id % 97 <> 0 else chunk_id % 89 = 0 end")
+    held = held.select("chunk_id", F.when(F.col("chunk_id") % 101 == 0, F.reverse("embedding")).otherwise(F.col("embedding")).alias("embedding"))
+    return vectors.index_changes(c.where("state = 'live'"), held, 64)
+
+
 @query(f"""with {VECTORS} select coalesce(l.chunk_id, i.chunk_id) as chunk_id, case when l.chunk_id is null then 'remove' when embedding is not null then 'upsert' else 'skip' end as action
     from (select * from chunks where state = 'live') l full join (select chunk_id from chunks where chunk_id % 3 <> 0) i on i.chunk_id = l.chunk_id""")
 def snk6_index_sync(spark, sf_dir):
