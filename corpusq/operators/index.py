@@ -74,7 +74,7 @@ def positional(chunks: DataFrame, most: int = MOST_TERMS, ngrams: int = 1) -> Da
 
 
 def build(chunks: DataFrame, buckets: int | None = None, ngrams: int = 1, k1: float = 1.2, b: float = 0.75, part: int = PART) -> Index:
-    """An index over chunks (chunk_id, text, token_count), in the shared folder."""
+    """An index over chunks (chunk_id, text, token_count), in the shared folder. With fewer buckets than shuffle partitions Spark would shuffle the index after all."""
     spark = chunks.sparkSession
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     facts = chunks.agg(F.count_if(F.lower("text").rlike(HAS_TOKEN)).alias("n"), F.avg("token_count").alias("a")).first()
