@@ -11,31 +11,27 @@ from corpusq.queries_answers import _SNAP, snapshots
 from corpusq.sources import files, streams
 
 
-#: Files that the documents are dealt into.
-FILES = 64
-
-
-def _number():
-    """The number of a file, from its folder's name."""
-    return F.regexp_extract("path", r"file=(\d+)", 1).cast("long").alias("file")
+def _id():
+    """The id that names a file's folder."""
+    return F.regexp_extract("path", r"doc_id=(-?\d+)", 1).cast("long").alias("doc_id")
 
 
 def _folder(spark, sf_dir) -> str:
-    """The documents as text files, each of those whose ids have one remainder, in the order of ids."""
+    """Every document as a text file of its own, in a folder named by its id. Tasks move their files into place themselves: the driver would move them one by one."""
     path = streams.shared_path(spark, "corpus")
-    d = X.table(spark, sf_dir, "documents").select((F.col("doc_id") % FILES).alias("file"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    d.repartition("file").sortWithinPartitions("file", "doc_id").drop("doc_id").write.partitionBy("file").text(path)
+    d = X.table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    d.write.partitionBy("doc_id").option("mapreduce.fileoutputcommitter.algorithm.version", 2).text(path)
     return path
 
 
-@query(f"select doc_id % {FILES} as file, '.txt' as extension, cast(sum(octet_length(encode(coalesce(text, ''))) + 1) as bigint) as size from documents group by 1")
+@query("select doc_id, '.txt' as extension, octet_length(encode(coalesce(text, ''))) + 1 as size from documents")
 def src1_corpus(spark, sf_dir):
-    return files.corpus(spark, _folder(spark, sf_dir)).select(_number(), "extension", "size")
+    return files.corpus(spark, _folder(spark, sf_dir)).select(_id(), "extension", "size")
 
 
-@query(f"select doc_id % {FILES} as file, string_agg(coalesce(text, '') || chr(10), '' order by doc_id) as text from documents group by 1")
+@query("select doc_id, coalesce(text, '') || chr(10) as text from documents")
 def src2_plain_texts(spark, sf_dir):
-    return files.plain_texts(spark, _folder(spark, sf_dir)).select(_number(), "text")
+    return files.plain_texts(spark, _folder(spark, sf_dir)).select(_id(), "text")
 
 
 def _lines(spark, sf_dir) -> str:
