@@ -9,3 +9,5 @@ def test_each_document_is_a_file(spark, tmp_path):
     whole = {i: (t or "") + "\n" for i, t in rows}
     listed = {r.doc_id: (r.extension, r.size) for r in queries_files.src1_corpus(spark, str(tmp_path)).collect()}
     assert listed == {i: (".txt", len(t.encode())) for i, t in whole.items()}
+    texts = [(r.doc_id, r.text) for r in queries_files.src2_plain_texts(spark, str(tmp_path)).collect()]
+    assert sorted(texts) == sorted(whole.items())
