@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from corpusq.functions import text as T
-from corpusq.operators import dense, keyword, ranking
+from corpusq.operators import dense, index, ranking
 from corpusq.sources.streams import written
 
 #: Words that the rerank leaves out.
@@ -101,14 +101,14 @@ class Config:
     available: int = 3500
 
 
-def candidates(queries: DataFrame, chunks: DataFrame, config: Config = Config()) -> DataFrame:
+def candidates(queries: DataFrame, chunks: DataFrame, config: Config = Config(), kept: index.Index | None = None) -> DataFrame:
     """query_id, chunk_id, keyword, vector, fused, reranked, rank, best: fused, without near duplicates, reranked; no gate yet.
 
     queries: query_id, query, vector (unused without the vector stage; queries without one are searched by keywords alone), and grants if access is limited; chunks: live ones, with chunk_id, text, token_count, vector, and then acl_tags.
-    What a query may not see is left out of both searches before their best are taken."""
+    What a query may not see is left out of both searches before their best are taken. kept: an index over these chunks; one is built if it is needed and not given."""
     lists = []
     if config.keyword:
-        lists.append(keyword.bm25(queries, chunks, config.fetch).withColumn("stage", F.lit("keyword")))
+        lists.append(index.search(kept or index.build(chunks), queries, config.fetch, chunks if "grants" in queries.columns else None).withColumn("stage", F.lit("keyword")))
     if config.vector:
         limited = "grants" in queries.columns
         have = chunks.where("vector is not null").select("chunk_id", "vector", *(["acl_tags"] if limited else []))
@@ -147,21 +147,22 @@ def results(queries: DataFrame, found: DataFrame, final: DataFrame, threshold: f
     return r.withColumn("reason", reason).withColumn("abstained", F.col("reason").isNotNull())
 
 
-def retrieve(queries: DataFrame, chunks: DataFrame, config: Config = Config()) -> tuple[DataFrame, DataFrame]:
+def retrieve(queries: DataFrame, chunks: DataFrame, config: Config = Config(), kept: index.Index | None = None) -> tuple[DataFrame, DataFrame]:
     """(candidates, one row for each query) of the whole retrieval (RNK13)."""
-    found = written(candidates(queries, chunks, config), "found")
+    found = written(candidates(queries, chunks, config, kept), "found")
     final = gated(found, config)
     return final, results(queries, found, final, config.threshold)
 
 
-def gap_runs(queries: DataFrame, chunks: DataFrame, config: Config = Config(), fetch: int = 100, top: int = 50) -> DataFrame:
+def gap_runs(queries: DataFrame, chunks: DataFrame, config: Config = Config(), fetch: int = 100, top: int = 50, kept: index.Index | None = None) -> DataFrame:
     """query_id, abstained, passed, open_top, keyword_top, vector_top, threshold (LOG6): the production run of each query, and for those that it abstains
     from the best scores of three runs without threshold: whole, by keywords only, by vectors only. Answered ones have null there."""
-    r = written(retrieve(queries, chunks, config)[1].select("query_id", "abstained", F.col("final_n").alias("passed")), "production")
+    kept = kept or index.build(chunks)  # three of the four runs search it
+    r = written(retrieve(queries, chunks, config, kept)[1].select("query_id", "abstained", F.col("final_n").alias("passed")), "production")
     asked = written(queries.join(r.where("abstained").select("query_id"), "query_id", "left_semi"), "unanswered")
     wide = replace(config, threshold=0.0, fetch=fetch, top=top)
     for name, flags in {"open_top": {}, "keyword_top": {"vector": False}, "vector_top": {"keyword": False}}.items():
         run = replace(wide, **flags)
-        best = gated(candidates(asked, chunks, run), run).groupBy("query_id").agg(F.max("score").alias(name))
+        best = gated(candidates(asked, chunks, run, kept), run).groupBy("query_id").agg(F.max("score").alias(name))
         r = r.join(best, "query_id", "left").withColumn(name, F.when(F.col("abstained"), F.coalesce(name, F.lit(0.0))))
     return r.withColumn("threshold", F.lit(config.threshold))

@@ -84,23 +84,23 @@ def hybrid(spark, sf_dir, config=None):
 
 @query()
 def rnk11_rnk13_retrieve(spark, sf_dir):
-    return retrieval.retrieve(*hybrid(spark, sf_dir))[0]
+    return retrieval.retrieve(*hybrid(spark, sf_dir), X.index(spark, sf_dir))[0]
 
 
 @query()
 def rnk12_trace(spark, sf_dir):
-    return retrieval.retrieve(*hybrid(spark, sf_dir))[1]
+    return retrieval.retrieve(*hybrid(spark, sf_dir), X.index(spark, sf_dir))[1]
 
 
 @query()
 def log6_diagnoses(spark, sf_dir):
-    return logs.diagnoses(retrieval.gap_runs(*hybrid(spark, sf_dir)))
+    return logs.diagnoses(retrieval.gap_runs(*hybrid(spark, sf_dir), kept=X.index(spark, sf_dir)))
 
 
 @query()
 def snk5_log_rows(spark, sf_dir):
     q, c, config = hybrid(spark, sf_dir)
-    found = written(retrieval.candidates(q, c, config), "found")
+    found = written(retrieval.candidates(q, c, config, X.index(spark, sf_dir)), "found")
     return files.log_rows(found, retrieval.results(q, found, retrieval.gated(found, config), config.threshold)).withColumn("scores", F.to_json("scores"))
 
 
@@ -111,7 +111,7 @@ def ev8_ablation(spark, sf_dir):
     runs = None
     for name, flags in {"full": {}, "keyword only": {"vector": False}, "vector only": {"keyword": False}, "no rerank": {"rerank": False}}.items():
         config = retrieval.Config(**flags)
-        hit = evaluation.hit_ranks(retrieval.candidates(q, c, config).where("rank <= 10"), labels).select("query_id").distinct()
+        hit = evaluation.hit_ranks(retrieval.candidates(q, c, config, X.index(spark, sf_dir)).where("rank <= 10"), labels).select("query_id").distinct()
         run = hit.agg(F.count("*").alias("hits")).crossJoin(labels.agg(F.countDistinct("query_id").alias("n"))).select(F.lit(name).alias("config"), F.round(F.col("hits") / F.col("n"), 9).alias("recall"))
         runs = run if runs is None else runs.unionByName(run)
     return evaluation.ablation(runs)
