@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusq.operators.ranking import once
 
 RECALL, REFUSAL, NOISE = 0.85, (0.10, 0.30), 0.01
 #: Smallest shares of kinds of questions in a dataset.
@@ -160,6 +163,37 @@ def first_token_times(answers: DataFrame) -> DataFrame:
     return at(0.5, "ttft_p50").join(at(0.95, "ttft_p95"), "category")
 
 
+#: Characters of texts whose runs of words are hashed at once.
+BLOCK = 4_000_000
+
+
+def word_runs(texts: DataFrame, id_: str, sizes: list[int]) -> DataFrame:
+    """id, size, key: a 64-bit hash for each run of so many words between single spaces, at each place of a text. texts: the id's column, text without nulls."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            size = np.cumsum(pc.fill_null(pc.utf8_length(b.column("text")), 0).to_numpy())
+            cuts = [0, *(np.flatnonzero(np.diff(size // BLOCK)) + 1).tolist(), b.num_rows]
+            for first, last in zip(cuts, cuts[1:]):
+                words = [t.split(" ") for t in b.column("text").slice(first, last - first).to_pylist()]
+                lengths = np.array([len(w) for w in words], dtype="int64")
+                codes, distinct = pd.factorize(np.array(list(chain.from_iterable(words)), dtype=object))
+                if not len(codes):
+                    continue
+                h = pd.util.hash_array(np.asarray(distinct, dtype=object), categorize=False)[codes]
+                text = np.repeat(np.arange(len(words)), lengths)
+                left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(h))  # words from here to the text's end
+                for n in sizes:
+                    at = np.flatnonzero(left >= n)
+                    mixed = np.zeros(len(at), "uint64")
+                    for j in range(n):
+                        mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + h[at + j]
+                    ids = b.column(id_).slice(first, last - first).take(pa.array(text[at]))
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(np.full(len(at), n, "int32")), pa.array(mixed.view("int64"))], [id_, "size", "key"])
+
+    return texts.select(id_, "text").mapInArrow(run, f"{id_} {dict(texts.dtypes)[id_]}, size int, key long")
+
+
 #: Words of a probe.
 PROBE = 6
 
@@ -171,19 +205,15 @@ def holding(queries: DataFrame, chunks: DataFrame, probe: int = PROBE) -> DataFr
     that join, and texts come to its hits, where the whole is compared. Evidence of one or two words has no word that must be whole and is compared with all texts."""
     of = queries.select("query_id", F.lower("evidence").alias("evidence")).where("evidence is not null").withColumn("w", F.split("evidence", " ", -1))
     of = of.withColumn("size", F.least(F.size("w") - 2, F.lit(probe)))
-    run = lambda words, at, n: F.array_join(F.slice(words, at, n), " ")
-    probes = of.where("size >= 1").select("query_id", "evidence", "size", F.xxhash64("size", run("w", F.greatest(F.lit(2), F.floor((F.size("w") - F.col("size")) / 2).cast("int") + 1), F.col("size"))).alias("key"))
+    middle = F.slice("w", F.greatest(F.lit(2), F.floor((F.size("w") - F.col("size")) / 2).cast("int") + 1), F.col("size"))
+    probes = of.where("size >= 1").select("query_id", "evidence", "size", F.array_join(middle, " ").alias("run"))
     text = chunks.where("text is not null").select("chunk_id", F.lower("text").alias("text"))
-    words = once(text.select("chunk_id", F.split("text", " ", -1).alias("w")), "w")
     sizes = [r[0] for r in probes.select("size").distinct().collect()]  # `probe` numbers at most
-
-    def grams(n: int) -> Column:
-        all_ = F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.xxhash64(F.lit(n), run("w", i, F.lit(n))))
-        return F.when(F.size("w") >= n, all_).otherwise(F.expr("cast(array() as array<bigint>)"))
-
     short = text.join(of.where("size < 1").select("query_id", "evidence"), F.contains("text", "evidence")).select("query_id", "chunk_id")
     if not sizes:
         return short
-    met = words.select("chunk_id", F.explode(F.array_distinct(F.concat(*[grams(n) for n in sizes]))).alias("key")).join(probes.select("query_id", "key"), "key").select("query_id", "chunk_id").distinct()
+    keys = word_runs(probes.select("query_id", F.col("run").alias("text")), "query_id", sizes).withColumnRenamed("size", "n")
+    keys = keys.join(probes.select("query_id", "size"), "query_id").where("n = size").select("query_id", "key").distinct()
+    met = word_runs(text, "chunk_id", sizes).join(F.broadcast(keys), "key").select("query_id", "chunk_id").distinct()
     met = met.join(probes.select("query_id", "evidence"), "query_id").join(text, "chunk_id").where(F.contains("text", "evidence"))
     return met.select("query_id", "chunk_id").unionByName(short)
