@@ -270,7 +270,7 @@ _OUTCOMES = f"""{FOUND}, {_REL}, {QUESTIONS}, hits as (select query_id, min(rank
 
 
 def _done(spark, sf_dir):
-    r = _bm25(spark, sf_dir)
+    r = written(_bm25(spark, sf_dir), "ranked")  # searched once
     passed = r.where("rank = 1 and score >= 30").select("query_id")
     return evaluation.outcomes(questions(spark, sf_dir), evaluation.hit_ranks(r, _labels(spark, sf_dir)), passed)
 
@@ -294,7 +294,7 @@ _SWEEP = f"""{FOUND}, {_REL}, {QUESTIONS}, hits as (select distinct query_id, tr
 
 @query(f"with {_SWEEP} select * from points")
 def ev9_sweep(spark, sf_dir):
-    return evaluation.sweep(questions(spark, sf_dir), _bm25(spark, sf_dir).withColumnRenamed("score", "best"), _labels(spark, sf_dir), POINTS)
+    return evaluation.sweep(questions(spark, sf_dir), written(_bm25(spark, sf_dir), "ranked").withColumnRenamed("score", "best"), _labels(spark, sf_dir), POINTS)
 
 
 @query(f"with {_SWEEP} select (select threshold from points where joint order by recall desc, threshold limit 1) as threshold, (select count(*) from points where joint) as joint_points")
