@@ -44,7 +44,7 @@ def rnk3_lexical(spark, sf_dir):
 
 @query(f"with {FOUND}, {RERANK} select query_id, chunk_id, score as reranked, cast(row_number() over (partition by query_id order by score desc, rank) as integer) as rank from scored where rank <= 20")
 def rnk5_reranked(spark, sf_dir):
-    r = _bm25(spark, sf_dir).drop("score")
+    r = written(_bm25(spark, sf_dir).drop("score"), "ranked")  # searched once
     scores = retrieval.lexical_scores(_pool(spark, sf_dir, r))
     return retrieval.reranked(r, scores, 20).select("query_id", "chunk_id", "reranked", "rank")
 
@@ -54,7 +54,7 @@ def rnk5_reranked(spark, sf_dir):
     from keyword k join chunks using (chunk_id) join t on t.query_id = k.query_id and t.text = chunks.text where k.rank <= 20""")
 def rnk5_jn8_by_text(spark, sf_dir):
     """The reranker answers with texts, in the order of the candidates."""
-    r = _bm25(spark, sf_dir).drop("score").where("rank <= 40")
+    r = written(_bm25(spark, sf_dir).drop("score").where("rank <= 40"), "ranked")  # searched once
     pool = written(_pool(spark, sf_dir, r), "pool")
     hits = retrieval.lexical_scores(pool).join(pool.where("rank <= 20"), ["query_id", "chunk_id"]).select("query_id", F.col("rank").alias("position"), "text", "score")
     return retrieval.reranked(r, retrieval.scores_by_text(pool, hits), 20).select("query_id", "chunk_id", "reranked", "rank")
