@@ -117,9 +117,8 @@ def vec2_cosine_top(spark, sf_dir):
     f as (select query_id, chunk_id, round(sum(weight / (60 + rank)), 9) as score from lists group by all)
     select *, cast(row_number() over (partition by query_id order by score desc, chunk_id) as integer) as rank from f""")
 def rnk1_fusion(spark, sf_dir):
-    i, q = X.index(spark, sf_dir), X.queries(spark, sf_dir)
-    lists = index.search(i, q, 40).select("query_id", "chunk_id", "rank", F.lit(1.0).alias("weight"))
-    return ranking.fuse(lists.unionByName(index.lookup(q, i, 40).select("query_id", "chunk_id", "rank", F.lit(0.5).alias("weight"))))
+    lists = index.search_and_lookup(X.index(spark, sf_dir), X.queries(spark, sf_dir), 40)
+    return ranking.fuse(lists.withColumn("weight", F.when(F.col("searched"), 1.0).otherwise(0.5)))
 
 
 @query(f"""with {CHUNKS}, {ASKED}, {POSTINGS}, {GRAMS}, {BM25},
