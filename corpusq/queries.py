@@ -12,6 +12,7 @@ from corpusq.functions import text as T
 from corpusq.operators import access, dense, evaluation, index, keyword, lifecycle, ranking
 from corpusq.plans import logs
 from corpusq.sources import streams
+from corpusq.sources.streams import written
 from corpusq.streaming import alerts
 
 QUERIES, SQL = {}, {}
@@ -65,6 +66,16 @@ def _bm25(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     return index.search(X.index(spark, sf_dir), X.queries(spark, sf_dir), k)
 
 
+def found(spark: SparkSession, sf_dir: str, k: int = 40) -> DataFrame:
+    """The k best chunks of each query, searched once and written. Their size is known then: while they are few, what joins them sends them to the chunks and shuffles no text."""
+    return written(_bm25(spark, sf_dir, k), "found")
+
+
+def pool(spark: SparkSession, sf_dir: str, ranked: DataFrame) -> DataFrame:
+    """Candidates with their texts and queries."""
+    return ranked.join(X.chunks(spark, sf_dir).select("chunk_id", "text"), "chunk_id").join(X.queries(spark, sf_dir).select("query_id", "query"), "query_id")
+
+
 @query(f"with {CHUNKS} select chunk_id, token_count, len({_TOK.format('text')}) as n_tokens from chunks")
 def txt4_txt5_tokens(spark, sf_dir):
     return X.chunks(spark, sf_dir).select("chunk_id", F.col("token_count").cast("long"), F.size(T.tokens(F.col("text"))).cast("long").alias("n_tokens"))

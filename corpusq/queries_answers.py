@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corpusq import fixtures as X
 from corpusq.operators import answers, chunking, evaluation, index, keyword, retrieval, rewrite, vectors
 from corpusq.plans import logs
-from corpusq.queries import _TOK, ASKED, BM25, CHUNKS, GRAMS, POSTINGS, query
+from corpusq.queries import _TOK, ASKED, BM25, CHUNKS, GRAMS, POSTINGS, found, pool, query
 from corpusq.queries_text import outlined
 from corpusq.sources import files
 from corpusq.sources.streams import written
@@ -39,13 +39,13 @@ def _pool(spark, sf_dir, ranked):
 
 @query(f"with {FOUND}, {RERANK} select query_id, chunk_id, score from scored")
 def rnk3_lexical(spark, sf_dir):
-    return retrieval.lexical_scores(_pool(spark, sf_dir, _bm25(spark, sf_dir)))
+    return retrieval.lexical_scores(written(pool(spark, sf_dir, found(spark, sf_dir)), "pool"))  # read several times
 
 
 @query(f"with {FOUND}, {RERANK} select query_id, chunk_id, score as reranked, cast(row_number() over (partition by query_id order by score desc, rank) as integer) as rank from scored where rank <= 20")
 def rnk5_reranked(spark, sf_dir):
-    r = written(_bm25(spark, sf_dir).drop("score"), "ranked")  # searched once
-    scores = retrieval.lexical_scores(_pool(spark, sf_dir, r))
+    r = found(spark, sf_dir).drop("score")
+    scores = retrieval.lexical_scores(written(pool(spark, sf_dir, r), "pool"))
     return retrieval.reranked(r, scores, 20).select("query_id", "chunk_id", "reranked", "rank")
 
 
@@ -54,15 +54,15 @@ def rnk5_reranked(spark, sf_dir):
     from keyword k join chunks using (chunk_id) join t on t.query_id = k.query_id and t.text = chunks.text where k.rank <= 20""")
 def rnk5_jn8_by_text(spark, sf_dir):
     """The reranker answers with texts, in the order of the candidates."""
-    r = written(_bm25(spark, sf_dir).drop("score").where("rank <= 40"), "ranked")  # searched once
-    pool = written(_pool(spark, sf_dir, r), "pool")
-    hits = retrieval.lexical_scores(pool).join(pool.where("rank <= 20"), ["query_id", "chunk_id"]).select("query_id", F.col("rank").alias("position"), "text", "score")
-    return retrieval.reranked(r, retrieval.scores_by_text(pool, hits), 20).select("query_id", "chunk_id", "reranked", "rank")
+    r = found(spark, sf_dir).drop("score")
+    p = written(pool(spark, sf_dir, r), "pool")
+    hits = retrieval.lexical_scores(p).join(p.where("rank <= 20"), ["query_id", "chunk_id"]).select("query_id", F.col("rank").alias("position"), "text", "score")
+    return retrieval.reranked(r, retrieval.scores_by_text(p, hits), 20).select("query_id", "chunk_id", "reranked", "rank")
 
 
 @query()
 def rnk7_model(spark, sf_dir):
-    return retrieval.model_scores(_pool(spark, sf_dir, _bm25(spark, sf_dir)), lambda q, t: [len(set(a.split()) & set(b.split())) / (1 + len(a)) for a, b in zip(q, t)])
+    return retrieval.model_scores(pool(spark, sf_dir, found(spark, sf_dir)), lambda q, t: [len(set(a.split()) & set(b.split())) / (1 + len(a)) for a, b in zip(q, t)])
 
 
 @query("""select event_id, coalesce(case when event_id % 2 = 0 then value end, case when event_id % 3 = 0 then value + 1 end, case when event_id % 5 = 0 then value + 2 end, case when event_id % 7 = 0 then value + 3 end) as best,
