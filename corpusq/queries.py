@@ -170,7 +170,7 @@ def rnk9_gate(spark, sf_dir):
     select query_id, chunk_id, cast(rank as integer) as rank, cost from fold where kept""")
 def rnk10_budget(spark, sf_dir):
     c = X.chunks(spark, sf_dir).select("chunk_id", "text", "token_count")
-    return ranking.budget(_bm25(spark, sf_dir, 40).join(c, "chunk_id"))
+    return ranking.budget(found(spark, sf_dir).join(c, "chunk_id"))
 
 
 @query(f"with {REGISTRY}, {CHUNKS} select chunk_id from chunks semi join (select doc_id from registry where state = 'live') l using (doc_id)")
