@@ -33,10 +33,6 @@ def _bm25(spark, sf_dir):
     return index.search(X.index(spark, sf_dir), X.queries(spark, sf_dir), 40)
 
 
-def _pool(spark, sf_dir, ranked):
-    return ranked.join(X.chunks(spark, sf_dir).select("chunk_id", "text"), "chunk_id").join(X.queries(spark, sf_dir).select("query_id", "query"), "query_id")
-
-
 @query(f"with {FOUND}, {RERANK} select query_id, chunk_id, score from scored")
 def rnk3_lexical(spark, sf_dir):
     return retrieval.lexical_scores(written(pool(spark, sf_dir, found(spark, sf_dir)), "pool"))  # read several times
@@ -213,8 +209,8 @@ def cit7_support(spark, sf_dir):
 
 @query()
 def cit8_extractive(spark, sf_dir):
-    pool = _pool(spark, sf_dir, _bm25(spark, sf_dir)).where("rank <= 8")
-    return answers.extractive(X.queries(spark, sf_dir), pool.select("query_id", F.col("rank").alias("index"), "text"))
+    best = pool(spark, sf_dir, found(spark, sf_dir, 8)).select("query_id", F.col("rank").alias("index"), "text")
+    return answers.extractive(X.queries(spark, sf_dir), written(best, "pool"))  # read twice
 
 
 @query(f"select conv_id as query_id, cast(len({_TOK.format('text')}) as integer) as tokens_in, cast(len({_TOK.format('role')}) as integer) as tokens_out from conversations where turn = 0")
@@ -227,7 +223,7 @@ def cit10_tokens(spark, sf_dir):
     select query_id, case when length(prompt) > 3000 then substring(prompt, 1, 3000) || chr(10) || '[context truncated]' else prompt end as prompt from b""")
 def txt21_prompts(spark, sf_dir):
     c = X.chunks(spark, sf_dir).select("chunk_id", "text", F.col("lang").alias("breadcrumb"))
-    return answers.prompts(_bm25(spark, sf_dir).where("rank <= 8").join(c, "chunk_id"), 3000)
+    return answers.prompts(found(spark, sf_dir, 8).join(c, "chunk_id"), 3000)
 
 
 @query("""select doc_id, case when doc_id % 2 = 0 then ([ 'ABC', 'RFD', 'XYZ'])[1 + doc_id % 3] end as code, case when doc_id % 2 = 0 then cast(doc_id % 1000 as integer) end as number from documents""")
