@@ -138,7 +138,7 @@ def rnk1_fusion(spark, sf_dir):
     select query_id, chunk_id, cast(rank as integer) as rank from n where nth = 1 or fp = ''""")
 def rnk2_drop_duplicates(spark, sf_dir):
     c = X.chunks(spark, sf_dir).select("chunk_id", "text")
-    return ranking.drop_duplicates(_bm25(spark, sf_dir, 40).join(c, "chunk_id")).select("query_id", "chunk_id", "rank")
+    return ranking.drop_duplicates(found(spark, sf_dir).join(c, "chunk_id")).select("query_id", "chunk_id", "rank")
 
 
 @query(f"""with {CHUNKS}, {ASKED}, {POSTINGS}, {GRAMS}, {BM25},
@@ -149,8 +149,7 @@ def rnk2_drop_duplicates(spark, sf_dir):
     near as (select *, count(*) over (partition by query_id, chunk_id order by i range between 1 following and 5 following) as c from hit)
     select query_id, chunk_id, case when count(*) > 1 then round(least(1.0, sum(c) / (count(*) - 1)), 9) else 0.0 end as adjacency from near group by all""")
 def rnk4_adjacency(spark, sf_dir):
-    pool = _bm25(spark, sf_dir, 40).join(X.chunks(spark, sf_dir).select("chunk_id", "text"), "chunk_id").join(X.queries(spark, sf_dir).select("query_id", "query"), "query_id")
-    return ranking.near_positions(pool)
+    return ranking.near_positions(pool(spark, sf_dir, found(spark, sf_dir)))
 
 
 @query(f"""with {CHUNKS}, {ASKED}, {POSTINGS}, {GRAMS}, {BM25}, b as (select *, max(score) over (partition by query_id) as best from keyword)
