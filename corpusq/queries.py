@@ -155,8 +155,8 @@ def rnk4_adjacency(spark, sf_dir):
 @query(f"""with {CHUNKS}, {ASKED}, {POSTINGS}, {GRAMS}, {BM25}, b as (select *, max(score) over (partition by query_id) as best from keyword)
     select query_id, chunk_id, score, cast(rank as integer) as rank from b join chunks using (chunk_id) where best >= 12 and token_count <= 2000""")
 def rnk9_gate(spark, sf_dir):
-    c = X.chunks(spark, sf_dir).select("chunk_id", "token_count")
-    return ranking.gate(_bm25(spark, sf_dir, 40).join(c, "chunk_id"), 12.0).select("query_id", "chunk_id", "score", "rank")
+    c = X.index(spark, sf_dir).rows.select("chunk_id", "token_count")  # the index has them: no text is read again
+    return ranking.gate(found(spark, sf_dir).join(c, "chunk_id"), 12.0).select("query_id", "chunk_id", "score", "rank")
 
 
 @query(f"""with recursive {CHUNKS}, {ASKED}, {POSTINGS}, {GRAMS}, {BM25},

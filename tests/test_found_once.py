@@ -7,7 +7,7 @@ from corpusq.catalog import QUERIES
 DATA = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["rnk10_budget", "cit8_extractive", "rnk4_adjacency", "rnk3_lexical"])
+@pytest.mark.parametrize("name", ["rnk10_budget", "cit8_extractive", "rnk4_adjacency", "rnk9_gate", "rnk3_lexical"])
 def test_chunks_are_not_shuffled(spark, name):
     was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", 100_000)  # less than the documents
