@@ -77,6 +77,11 @@ def exact(x: np.ndarray, m: float) -> np.ndarray:
     return x.astype(np.float64 if m <= EXACT else np.int64)
 
 
+def kind(m: float) -> str:
+    """The narrowest integers that hold components of vectors whose squared length is m at most."""
+    return "<i2" if m < 1 << 30 else "<i4" if m < 1 << 62 else "<i8"
+
+
 def _lifted(x: np.ndarray, m: float) -> np.ndarray:
     """x as doubles with one more component that puts all on a sphere."""
     x = x.astype(np.float64)
@@ -111,14 +116,14 @@ class Page:
     _FIELDS = ("ids", "x", "start", "end", "routing", "entry", "radius", "center", "to_center")
 
     def pack(self) -> dict:
-        kinds = {"ids": "<i8", "x": "<i8", "start": "<i4", "end": "<i4"}
+        kinds = {"ids": "<i8", "x": kind(self.m), "start": "<i4", "end": "<i4"}
         return {f: getattr(self, f).astype(kinds.get(f, "<f8")).tobytes() for f in self._FIELDS} | {"m": self.m, "far": self.far, "n": len(self.ids)}
 
     @classmethod
     def unpack(cls, r: dict) -> Page:
         self = cls.__new__(cls)
-        for f, kind in (("ids", "<i8"), ("start", "<i4"), ("end", "<i4"), ("entry", "<f8"), ("radius", "<f8"), ("to_center", "<f8"), ("center", "<f8"), ("routing", "<f8"), ("x", "<i8")):
-            setattr(self, f, np.frombuffer(r[f], kind))
+        for f, of in (("ids", "<i8"), ("start", "<i4"), ("end", "<i4"), ("entry", "<f8"), ("radius", "<f8"), ("to_center", "<f8"), ("center", "<f8"), ("routing", "<f8"), ("x", kind(r["m"]))):
+            setattr(self, f, np.frombuffer(r[f], of))
         self.m, self.far = r["m"], r["far"]
         self.x = exact(self.x.reshape(len(self.ids), -1), self.m)
         self.routing = self.routing.reshape(len(self.start), -1)
@@ -157,8 +162,17 @@ class Page:
         return sorted(((s, -e) for s, e in best), key=lambda x: (-x[0], x[1]))
 
 
-def _bytes(x: np.ndarray, kind: str) -> bytes:
-    return x.astype(kind).tobytes()
+def _bytes(x: np.ndarray, of: str) -> bytes:
+    return x.astype(of).tobytes()
+
+
+def met(tree: DataFrame, sent: DataFrame, pages: int) -> DataFrame:
+    """Each page's row, and after it the blocks of queries that were sent to it. Both are dealt by page: Spark sizes the blocks, a row for each page and some queries, as the few queries that they come from, and would broadcast them."""
+    spark = tree.sparkSession
+    # A number of partitions that is not made smaller: a page's work is large for its bytes.
+    parts = max(1, min(pages, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)))
+    both = tree.withColumn("block", F.lit(False)).unionByName(sent.withColumn("block", F.lit(True)), allowMissingColumns=True)
+    return both.repartition(parts, "page").sortWithinPartitions("page", "block")
 
 
 def route(queries: DataFrame, tree: DataFrame, pages: int, width: int, m: float, wave: int, nearest: int = NEAREST) -> DataFrame:
@@ -188,7 +202,7 @@ def route(queries: DataFrame, tree: DataFrame, pages: int, width: int, m: float,
                     go = (bound <= reach[:, None]) & (close if wave == 1 else ~close)
                     for i in np.flatnonzero(go.any(axis=0)).tolist():
                         at = np.flatnonzero(go[:, i])
-                        cols = [[int(page[i])], [len(at)], [_bytes(ids[at], "<i8")], [_bytes(x[at], "<i8")], [_bytes(least[at], "<f8")]]
+                        cols = [[int(page[i])], [len(at)], [_bytes(ids[at], "<i8")], [_bytes(x[at], kind(m))], [_bytes(least[at], "<f8")]]
                         kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["page", "n", "q_ids", "q_x", "q_least"])
 
@@ -246,16 +260,19 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE,
     kept = tree.drop("q_ids", "q_x", "q_least", "n")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[int, Page] | None = None
+        last: dict | Page | None = None
         for b in batches:
             rows = []
             for r in b.to_pylist():
-                if not last or last[0] != r["page"]:
-                    last = r["page"], Page.unpack(r)
+                if not r["block"]:
+                    last = r
+                    continue
+                if not isinstance(last, Page):
+                    last = Page.unpack(last)
                 ids = np.frombuffer(r["q_ids"], "<i8")
-                x = exact(np.frombuffer(r["q_x"], "<i8").reshape(len(ids), width), m)
+                x = exact(np.frombuffer(r["q_x"], kind(m)).reshape(len(ids), width), m)
                 for qid, q, least in zip(ids.tolist(), x, np.frombuffer(r["q_least"], "<f8").tolist(), strict=True):
-                    rows += [(qid, e, s) for s, e in last[1].search(qid, q, k, least)]
+                    rows += [(qid, e, s) for s, e in last.search(qid, q, k, least)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["query_id", "vec_id", "score"])
 
@@ -264,8 +281,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE,
         if seen is not None:
             sent = stage(sent)
             seen.update({"pages": pages, "queries": queries.count(), f"pairs{wave}": sent.agg(F.sum("n")).first()[0] or 0})
-        # Pages are the rows that stay; blocks of queries come to them.
-        return kept.join(sent, "page").mapInArrow(search, "query_id long, vec_id long, score long")
+        return met(kept, sent.drop("n"), pages).mapInArrow(search, "query_id long, vec_id long, score long")
 
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     ranked = lambda df: df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
