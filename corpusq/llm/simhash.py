@@ -168,7 +168,8 @@ def links(fps: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> DataF
     met = stage(met)
     pairs = met.where((F.col("n") == 2) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= distance)).select("u", "v")
     more = met.where("n > 2").select("anchor", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    rows = at.join(more, "anchor").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks").cast("long")).cast("int"))
+    # Spark sizes the replicas as their few fingerprints, so it would broadcast them.
+    rows = at.join(more.hint("shuffle_merge"), "anchor").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks").cast("long")).cast("int"))
     # Each block meets itself and every other block of its anchor: one group for each pair of blocks.
     with_blocks = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     with_blocks = with_blocks.select("anchor", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "fp", F.when(F.col("own") <= F.col("other"), 1).otherwise(2).alias("side"))

@@ -3,13 +3,26 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from corpusq.llm import topk
+from corpusq.llm import simhash, topk
+from corpusq.llm.common import stage
 
 
 def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_replicas_are_not_broadcast(spark):
+    """A fingerprint has 34 replicas, which look no larger than it."""
+    centers = np.random.default_rng(5).integers(-(1 << 62), 1 << 62, 40).tolist()
+    near = [c ^ bits for c in centers for bits in (0, 1, 3, 7, 15)]
+    found = simhash.links(stage(spark.createDataFrame([(x,) for x in near], "fp long")))
+    assert "BroadcastHashJoin" not in _plan(found)
+    groups = {}
+    for r in simhash.components(stage(found.distinct())).collect():
+        groups.setdefault(r.root, set()).add(r.node)
+    assert sorted(map(sorted, groups.values())) == sorted(sorted(c ^ bits for bits in (0, 1, 3, 7, 15)) for c in centers)
+
+
 def test_blocks_of_queries_are_not_broadcast(spark, monkeypatch):
     """Each query is sent to many pages; a page travels once with all its blocks."""
     monkeypatch.setattr(topk, "PAGE", 32)
