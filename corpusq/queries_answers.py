@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusq import fixtures as X
-from corpusq.operators import answers, chunking, evaluation, index, keyword, retrieval, rewrite, vectors
+from corpusq.operators import answers, chunking, evaluation, index, retrieval, rewrite, vectors
 from corpusq.plans import logs
 from corpusq.queries import _TOK, ASKED, BM25, CHUNKS, GRAMS, POSTINGS, found, pool, query
 from corpusq.queries_text import outlined
@@ -339,7 +339,7 @@ def ev15_strategies(spark, sf_dir):
     for s in ("heading", "paragraph", "fixed"):
         c = written(chunking.chunk_documents(d, s, 1000, 200, 50).withColumn("chunk_id", F.concat_ws("-", "doc_id", "chunk_index")), "chunks")
         rel = evaluation.holding(q, c)
-        parts = {"chunks": c.select("token_count"), "labels": q.select("query_id").join(rel, "query_id", "left"), "ranked": keyword.bm25_repeated(q.select("query_id", "query"), c)}
+        parts = {"chunks": c.select("token_count"), "labels": q.select("query_id").join(rel, "query_id", "left"), "ranked": index.search_repeated(q.select("query_id", "query"), c)}
         for k, v in parts.items():
             v = v.withColumn("strategy", F.lit(s))
             out[k] = v if out[k] is None else out[k].unionByName(v)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corpusq import fixtures as X
 from corpusq.functions import structure as S
 from corpusq.functions import text as T
-from corpusq.operators import chunking, dense, intake, keyword, lifecycle, vectors
+from corpusq.operators import chunking, dense, index, intake, lifecycle, vectors
 from corpusq.queries import _TOK, CHUNKS, REGISTRY, WHOLE, query
 from corpusq.sources import files
 
@@ -305,7 +305,7 @@ def snk3_chunk_dump(spark, sf_dir):
     select *, cast(row_number() over (partition by query_id order by score desc, chunk_id) as integer) as rank from s where score > 0 qualify rank <= 40""")
 def kw6_bm25_variant(spark, sf_dir):
     q = X.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return keyword.bm25_repeated(q, X.chunks(spark, sf_dir))
+    return index.search_repeated(q, X.chunks(spark, sf_dir))
 
 
 @query(f"with {WHOLE}, {REGISTRY} select (select count(*) from chunks anti join (select doc_id from registry where state = 'failed') f using (doc_id)) as kept, (select count(*) from registry where state = 'failed') as removed")
