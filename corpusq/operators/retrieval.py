@@ -101,24 +101,41 @@ class Config:
     available: int = 3500
 
 
-def candidates(queries: DataFrame, chunks: DataFrame, config: Config = Config(), kept: index.Index | None = None) -> DataFrame:
-    """query_id, chunk_id, keyword, vector, fused, reranked, rank, best: fused, without near duplicates, reranked; no gate yet.
-
-    queries: query_id, query, vector (unused without the vector stage; queries without one are searched by keywords alone), and grants if access is limited; chunks: live ones, with chunk_id, text, token_count, vector, and then acl_tags.
-    What a query may not see is left out of both searches before their best are taken. kept: an index over these chunks; one is built if it is needed and not given."""
-    lists = []
+def searches(queries: DataFrame, chunks: DataFrame, config: Config = Config(), kept: index.Index | None = None, embedded: DataFrame | None = None) -> dict[str, DataFrame]:
+    """keyword, vector: the `fetch` best chunks of each query by each search that the configuration has (query_id, chunk_id, score, rank), written once. For arguments see candidates()."""
+    lists, limited = {}, "grants" in queries.columns
     if config.keyword:
-        lists.append(index.search(kept or index.build(chunks), queries, config.fetch, chunks if "grants" in queries.columns else None).withColumn("stage", F.lit("keyword")))
+        lists["keyword"] = index.search(kept or index.build(chunks), queries, config.fetch, chunks if limited else None)
     if config.vector:
-        limited = "grants" in queries.columns
-        have = chunks.where("vector is not null").select("chunk_id", "vector", *(["acl_tags"] if limited else []))
-        lists.append(dense.cosine_top(queries.where("vector is not null").select("query_id", "vector", *(["grants"] if limited else [])), have, config.fetch, 6).withColumn("stage", F.lit("vector")))
-    found = lists[0] if len(lists) == 1 else lists[0].unionByName(lists[1])
+        have = chunks if embedded is None or limited else embedded
+        have = have.where("vector is not null").select("chunk_id", "vector", *(["acl_tags"] if limited else []))
+        lists["vector"] = dense.cosine_top(queries.where("vector is not null").select("query_id", "vector", *(["grants"] if limited else [])), have, config.fetch, 6)
+    return {name: written(found, name) for name, found in lists.items()}
+
+
+def texts_of(lists: dict[str, DataFrame], chunks: DataFrame) -> DataFrame:
+    """chunk_id, text, token_count of the chunks in the lists, written: several runs over the same lists read them there. They grow with the queries, not with the chunks."""
+    ids = None
+    for found in lists.values():
+        ids = found.select("chunk_id") if ids is None else ids.unionByName(found.select("chunk_id"))
+    return written(chunks.select("chunk_id", "text", "token_count").join(written(ids.distinct(), "ids"), "chunk_id", "left_semi"), "texts")
+
+
+def fused(lists: dict[str, DataFrame], chunks: DataFrame) -> DataFrame:
+    """query_id, chunk_id, keyword, vector, fused, rank, text, token_count: the lists in one order without near duplicates, written. Its size is known before texts meet it: while candidates are few, they are sent to the chunks, and no text is shuffled for that."""
+    found = None
+    for name, df in lists.items():
+        df = df.withColumn("stage", F.lit(name))
+        found = df if found is None else found.unionByName(df)
     of = lambda s: F.max(F.when(F.col("stage") == s, F.col("score"))).alias(s)
-    fused = found.groupBy("query_id", "chunk_id").agg(of("keyword"), of("vector"), F.round(F.sum(1.0 / (60 + F.col("rank"))), 9).alias("fused"))
-    fused = fused.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("fused").desc(), "chunk_id")))
-    pool = fused.join(chunks.select("chunk_id", "text", "token_count"), "chunk_id")
-    pool = written(ranking.drop_duplicates(pool), "candidates")  # the rerank reads it several times
+    both = found.groupBy("query_id", "chunk_id").agg(of("keyword"), of("vector"), F.round(F.sum(1.0 / (60 + F.col("rank"))), 9).alias("fused"))
+    both = written(both.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("fused").desc(), "chunk_id"))), "fused")
+    pool = both.join(chunks.select("chunk_id", "text", "token_count"), "chunk_id")
+    return written(ranking.drop_duplicates(pool), "candidates")  # the rerank reads it several times
+
+
+def rescored(pool: DataFrame, queries: DataFrame, config: Config = Config()) -> DataFrame:
+    """The pool of fused() with reranked, best and stage."""
     if config.rerank:
         scores = lexical_scores(pool.where(F.col("rank") <= config.depth).join(queries.select("query_id", "query"), "query_id"))
         pool = reranked(pool, scores, config.depth).drop("fused_rank")
@@ -127,6 +144,14 @@ def candidates(queries: DataFrame, chunks: DataFrame, config: Config = Config(),
     return pool.withColumn("best", best_score()).withColumn("stage", gating_stage())
 
 
+def candidates(queries: DataFrame, chunks: DataFrame, config: Config = Config(), kept: index.Index | None = None, embedded: DataFrame | None = None) -> DataFrame:
+    """query_id, chunk_id, keyword, vector, fused, reranked, rank, best: fused, without near duplicates, reranked; no gate yet.
+
+    queries: query_id, query, vector (unused without the vector stage; queries without one are searched by keywords alone), and grants if access is limited; chunks: live ones, with chunk_id, text, token_count, vector, and then acl_tags.
+    What a query may not see is left out of both searches before their best are taken. kept: an index over these chunks; one is built if it is needed and not given. embedded: chunk_id, vector of these chunks, if they have no vectors themselves; access must not be limited then."""
+    return rescored(fused(searches(queries, chunks, config, kept, embedded), chunks), queries, config)
+
+
 def gated(found: DataFrame, config: Config = Config()) -> DataFrame:
     """Candidates that pass gate and budget, at most `top` for a query (RNK9 to RNK11)."""
     ok = ranking.gate(found.withColumnRenamed("best", "score"), config.threshold, config.chunk_tokens)
@@ -147,22 +172,29 @@ def results(queries: DataFrame, found: DataFrame, final: DataFrame, threshold: f
     return r.withColumn("reason", reason).withColumn("abstained", F.col("reason").isNotNull())
 
 
-def retrieve(queries: DataFrame, chunks: DataFrame, config: Config = Config(), kept: index.Index | None = None) -> tuple[DataFrame, DataFrame]:
+def retrieve(queries: DataFrame, chunks: DataFrame, config: Config = Config(), kept: index.Index | None = None, embedded: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(candidates, one row for each query) of the whole retrieval (RNK13)."""
-    found = written(candidates(queries, chunks, config, kept), "found")
+    found = written(candidates(queries, chunks, config, kept, embedded), "found")
     final = gated(found, config)
     return final, results(queries, found, final, config.threshold)
 
 
-def gap_runs(queries: DataFrame, chunks: DataFrame, config: Config = Config(), fetch: int = 100, top: int = 50, kept: index.Index | None = None) -> DataFrame:
+def gap_runs(queries: DataFrame, chunks: DataFrame, config: Config = Config(), fetch: int = 100, top: int = 50, kept: index.Index | None = None, embedded: DataFrame | None = None) -> DataFrame:
     """query_id, abstained, passed, open_top, keyword_top, vector_top, threshold (LOG6): the production run of each query, and for those that it abstains
     from the best scores of three runs without threshold: whole, by keywords only, by vectors only. Answered ones have null there."""
-    kept = kept or index.build(chunks)  # three of the four runs search it
-    r = written(retrieve(queries, chunks, config, kept)[1].select("query_id", "abstained", F.col("final_n").alias("passed")), "production")
+    # Each search runs once, as deep as the deepest run needs it.
+    lists = searches(queries, chunks, replace(config, keyword=True, vector=True, fetch=max(fetch, config.fetch)), kept, embedded)
+    texts = texts_of(lists, chunks)
+    of_run = lambda c, asked=None: {
+        name: (found if asked is None else found.join(asked.select("query_id"), "query_id", "left_semi")).where(F.col("rank") <= c.fetch) for name, found in lists.items() if getattr(c, name)
+    }
+    found = written(rescored(fused(of_run(config), texts), queries, config), "found")
+    final = gated(found, config)
+    r = written(results(queries, found, final, config.threshold).select("query_id", "abstained", F.col("final_n").alias("passed")), "production")
     asked = written(queries.join(r.where("abstained").select("query_id"), "query_id", "left_semi"), "unanswered")
     wide = replace(config, threshold=0.0, fetch=fetch, top=top)
     for name, flags in {"open_top": {}, "keyword_top": {"vector": False}, "vector_top": {"keyword": False}}.items():
         run = replace(wide, **flags)
-        best = gated(candidates(asked, chunks, run, kept), run).groupBy("query_id").agg(F.max("score").alias(name))
+        best = gated(rescored(fused(of_run(run, asked), texts), asked, run), run).groupBy("query_id").agg(F.max("score").alias(name))
         r = r.join(best, "query_id", "left").withColumn(name, F.when(F.col("abstained"), F.coalesce(name, F.lit(0.0))))
     return r.withColumn("threshold", F.lit(config.threshold))

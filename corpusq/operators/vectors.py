@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,20 +28,45 @@ def normalised(vectors: DataFrame, width: int, vector: str = "vector") -> DataFr
     return out.withColumn("unit", F.when(F.col("error").isNull(), F.transform(vector, lambda x: x.cast("double") / n)))
 
 
+#: Bytes of texts whose words are counted at once, or one text's.
+PIECE = 4 << 20
+
+
+def _sums(words: pa.Array, width: int) -> np.ndarray:
+    """A row for each text of words between single spaces: the sums of its words' signs at their places."""
+    lists = pc.split_pattern(words.cast("large_string"), " ")
+    n = np.diff(lists.offsets.to_numpy())
+    coded = lists.flatten().dictionary_encode()
+    # The first 26 digits of a word's SHA-256: two places of eight, and a sign of two behind each.
+    digests = [hashlib.sha256(w.encode()).digest() if w else b"" for w in coded.dictionary.to_pylist()]
+    out = np.zeros((len(words), width))
+    code, row = coded.indices.to_numpy(), np.repeat(np.arange(len(words)), n)
+    for at in (0, 8):
+        place = np.array([int.from_bytes(d[at : at + 4], "big") % width if d else 0 for d in digests], "int64")
+        sign = np.array([(-1.0 if d[at + 4] % 2 else 1.0) if d else 0.0 for d in digests])
+        out += np.bincount(row * width + place[code], sign[code], len(words) * width).reshape(len(words), width)
+    return out
+
+
 def hash_embedding(texts: DataFrame, key: str, width: int) -> DataFrame:
-    """key, vector: each token adds a sign to two places that its SHA-256 names, then length 1; texts without tokens: the first axis (VEC4)."""
-    word = F.explode_outer(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))).alias("token")
-    words = texts.select(key, word).groupBy(key, "token").agg(F.count("*").alias("n"))
-    h = F.sha2(F.col("token").cast("binary"), 256)
-    place = lambda at: (F.conv(F.substring(h, at, 8), 16, 10).cast("long") % width).cast("int")
-    sign = lambda at: F.when(F.conv(F.substring(h, at, 2), 16, 10).cast("int") % 2 == 0, F.col("n")).otherwise(-F.col("n"))
-    parts = words.select(key, F.explode(F.array(F.struct(place(1).alias("i"), sign(9).alias("v")), F.struct(place(17).alias("i"), sign(25).alias("v")))).alias("x"), "token")
-    sums = parts.groupBy(key, F.when(F.col("token").isNotNull(), F.col("x.i")).alias("i")).agg(F.sum("x.v").alias("v")).where("i is null or v <> 0")
-    rows = sums.groupBy(key).agg(F.map_from_entries(F.collect_list(F.when(F.col("i").isNotNull(), F.struct("i", "v")))).alias("m"), F.sqrt(F.sum(F.when(F.col("i").isNotNull(), F.col("v") * F.col("v")))).alias("len"))
-    dense = F.expr(f"transform(sequence(0, {width - 1}), i -> if(coalesce(len, 0) = 0, if(i = 0, 1D, 0D), coalesce(m[i], 0L) / len))")
-    empty = F.expr(f"transform(sequence(0, {width - 1}), i -> if(i = 0, 1D, 0D))")
-    # Texts whose places all cancel out have no row left.
-    return texts.select(key).join(rows.select(key, dense.alias("v")), key, "left").select(key, F.coalesce("v", empty).alias("vector"))
+    """key, vector: each token adds a sign to two places that its SHA-256 names, then length 1; texts without tokens: the first axis (VEC4). Words are summed within their text's task: nothing is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            upto = np.cumsum(pc.binary_length(b.column(1)).to_numpy(), dtype="int64")
+            first = 0
+            while first < b.num_rows:
+                last = max(first + 1, int(np.searchsorted(upto, (upto[first - 1] if first else 0) + PIECE, "right")))
+                sums = _sums(b.column(1).slice(first, last - first), width)
+                size = np.sqrt((sums * sums).sum(axis=1))
+                unit = np.divide(sums, size[:, None], out=np.zeros_like(sums), where=size[:, None] > 0)
+                unit[size == 0, 0] = 1.0
+                vectors = pa.ListArray.from_arrays(pa.array(np.arange(0, unit.size + 1, width), pa.int32()), pa.array(unit.ravel()))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, last - first), vectors], [key, "vector"])
+                first = last
+
+    words = F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+", " ")
+    return texts.select(key, words.alias("words")).mapInArrow(run, f"{key} {dict(texts.dtypes)[key]}, vector array<double>")
 
 
 def embed(chunks: DataFrame, model: Callable[[list[str]], list[list[float]]], batch: int = 64) -> DataFrame:

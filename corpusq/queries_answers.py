@@ -70,44 +70,49 @@ def rnk8_best(spark, sf_dir):
 
 
 def hybrid(spark, sf_dir, config=None):
-    """Queries and chunks with hash embeddings, and the candidates found."""
+    """Arguments of the retrievals: queries and chunks, the configuration, the index, and the chunks' hash embeddings. Vectors are written without texts."""
     c = X.chunks(spark, sf_dir)
-    c = written(c.join(vectors.hash_embedding(c.select("chunk_id", "text"), "chunk_id", 64), "chunk_id"), "chunks")
     q = X.queries(spark, sf_dir).select("query_id", "query")
     q = q.join(vectors.hash_embedding(q.select("query_id", F.col("query").alias("text")), "query_id", 64), "query_id")
-    return q, c, config or retrieval.Config(threshold=0.2)
+    return written(q, "queries"), c, config or retrieval.Config(threshold=0.2), X.index(spark, sf_dir), written(vectors.hash_embedding(c, "chunk_id", 64), "vectors")
 
 
 @query()
 def rnk11_rnk13_retrieve(spark, sf_dir):
-    return retrieval.retrieve(*hybrid(spark, sf_dir), X.index(spark, sf_dir))[0]
+    return retrieval.retrieve(*hybrid(spark, sf_dir))[0]
 
 
 @query()
 def rnk12_trace(spark, sf_dir):
-    return retrieval.retrieve(*hybrid(spark, sf_dir), X.index(spark, sf_dir))[1]
+    return retrieval.retrieve(*hybrid(spark, sf_dir))[1]
 
 
 @query()
 def log6_diagnoses(spark, sf_dir):
-    return logs.diagnoses(retrieval.gap_runs(*hybrid(spark, sf_dir), kept=X.index(spark, sf_dir)))
+    q, c, config, kept, embedded = hybrid(spark, sf_dir)
+    return logs.diagnoses(retrieval.gap_runs(q, c, config, kept=kept, embedded=embedded))
 
 
 @query()
 def snk5_log_rows(spark, sf_dir):
-    q, c, config = hybrid(spark, sf_dir)
-    found = written(retrieval.candidates(q, c, config, X.index(spark, sf_dir)), "found")
+    q, c, config, kept, embedded = hybrid(spark, sf_dir)
+    found = written(retrieval.candidates(q, c, config, kept, embedded), "found")
     return files.log_rows(found, retrieval.results(q, found, retrieval.gated(found, config), config.threshold)).withColumn("scores", F.to_json("scores"))
 
 
 @query()
 def ev8_ablation(spark, sf_dir):
     labels = written(_labels(spark, sf_dir), "labels")
-    q, c, _ = hybrid(spark, sf_dir)
+    q, c, _, kept, embedded = hybrid(spark, sf_dir)
+    # The four configurations differ in what they do with two searches, and two of them in the rerank alone.
+    lists = retrieval.searches(q, c, retrieval.Config(), kept, embedded)
+    texts = retrieval.texts_of(lists, c)
+    pools = {names: retrieval.fused({n: lists[n] for n in names}, texts) for names in (("keyword", "vector"), ("keyword",), ("vector",))}
     runs = None
     for name, flags in {"full": {}, "keyword only": {"vector": False}, "vector only": {"keyword": False}, "no rerank": {"rerank": False}}.items():
         config = retrieval.Config(**flags)
-        hit = evaluation.hit_ranks(retrieval.candidates(q, c, config, X.index(spark, sf_dir)).where("rank <= 10"), labels).select("query_id").distinct()
+        pool = pools[tuple(n for n in lists if getattr(config, n))]
+        hit = evaluation.hit_ranks(retrieval.rescored(pool, q, config).where("rank <= 10"), labels).select("query_id").distinct()
         run = hit.agg(F.count("*").alias("hits")).crossJoin(labels.agg(F.countDistinct("query_id").alias("n"))).select(F.lit(name).alias("config"), F.round(F.col("hits") / F.col("n"), 9).alias("recall"))
         runs = run if runs is None else runs.unionByName(run)
     return evaluation.ablation(runs)

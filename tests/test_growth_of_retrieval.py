@@ -7,7 +7,8 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from corpusq.operators import index
+from corpusq.catalog import QUERIES
+from corpusq.operators import dense, index, retrieval, vectors
 
 TEXTS = {"b-1": "Apple pie apple tart", "b-0": "apple pie with cream, cream", "a-7": "plain bread x yy", "c-2": "", "c-3": None, "d-0": "common " * 300 + "pie", "é-1": "ünder_score apple " + "z" * 70, "f-0": "tart tart common", "b-2": "Apple pie apple tart"}
 ASKED = {1: "apple apple pie", 2: "Cream tart common", 3: "nothing here", 4: None, 5: "the common common common bread"}
@@ -50,3 +51,43 @@ def test_repeated_bm25_of_nothing(spark):
     chunks = spark.createDataFrame([], "chunk_id string, text string")
     assert index.search_repeated(queries, chunks).count() == 0
     assert index.search_repeated(queries, spark.createDataFrame([("a", None)], "chunk_id string, text string")).count() == 0
+
+
+def _hybrid(spark):
+    words = ["alpha", "beta", "gamma", "delta", "ünder"]
+    chunks = spark.createDataFrame([(i, " ".join(words[(i * j) % 5] + str(i % 7) for j in range(1, 9)), 8) for i in range(60)], "chunk_id long, text string, token_count int").repartition(3)
+    queries = spark.createDataFrame([(1, "alpha1 beta1"), (2, "zzz"), (3, "gamma3 delta3 alpha3")], "query_id long, query string")
+    embedded = vectors.hash_embedding(chunks, "chunk_id", 16)
+    return queries.join(vectors.hash_embedding(queries.withColumnRenamed("query", "text"), "query_id", 16), "query_id"), chunks, embedded
+
+
+def test_embeddings_are_made_in_tasks(spark):
+    _, _, embedded = _hybrid(spark)
+    assert "hashpartitioning" not in _plan(embedded)
+    texts = [(1, "a b"), (2, None), (3, ""), (4, "-"), (5, " Éa  b "), (6, "x" * 9_000_000 + " a")]
+    got = {r.k: r.vector for r in vectors.hash_embedding(spark.createDataFrame(texts, "k int, text string"), "k", 8).collect()}
+    axis = [1.0] + [0.0] * 7
+    assert got[2] == got[3] == got[4] == axis and len(got) == 6
+    assert all(abs(sum(x * x for x in v) - 1) < 1e-12 for v in got.values())
+
+
+def test_each_search_runs_once(spark, monkeypatch):
+    """LOG6's four runs and EV8's four configurations share their searches."""
+    queries, chunks, embedded = _hybrid(spark)
+    ran = []
+    monkeypatch.setattr(index, "search", lambda *a, f=index.search, **b: ran.append("keyword") or f(*a, **b))
+    monkeypatch.setattr(dense, "cosine_top", lambda *a, f=dense.cosine_top, **b: ran.append("vector") or f(*a, **b))
+    runs = retrieval.gap_runs(queries, chunks, retrieval.Config(threshold=2.0), embedded=embedded).collect()
+    assert sorted(ran) == ["keyword", "vector"] and len(runs) == 3 and all(r.abstained for r in runs)
+    ran.clear()
+    assert QUERIES["ev8_ablation"](spark, "/root/testdata/sf0.001").count() == 4
+    assert sorted(ran) == ["keyword", "vector"]
+
+
+def test_texts_come_to_few_candidates_unshuffled(spark, monkeypatch):
+    queries, chunks, embedded = _hybrid(spark)
+    plans = []
+    monkeypatch.setattr(retrieval, "written", lambda df, name="table", f=retrieval.written: plans.append((name, _plan(df))) or f(df, name))
+    retrieval.candidates(queries, chunks, retrieval.Config(), None, embedded)
+    plan = dict(plans)["candidates"]
+    assert "hashpartitioning(chunk_id" not in plan and "BroadcastHashJoin" in plan, plan
