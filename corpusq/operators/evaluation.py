@@ -13,6 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusq.sources.streams import written
 
 RECALL, REFUSAL, NOISE = 0.85, (0.10, 0.30), 0.01
 #: Smallest shares of kinds of questions in a dataset.
@@ -198,11 +199,12 @@ def word_runs(texts: DataFrame, id_: str, sizes: list[int]) -> DataFrame:
 PROBE = 6
 
 
-def holding(queries: DataFrame, chunks: DataFrame, probe: int = PROBE) -> DataFrame:
+def holding(queries: DataFrame, chunks: DataFrame, probe: int = PROBE, once: bool = False) -> DataFrame:
     """query_id, chunk_id of all chunks whose text holds the query's evidence, in any case of letters (EV1, JN6). queries: query_id, evidence.
 
     Evidence of three words or more is looked up by a run of up to `probe` whole words from its middle, which a text that holds it must have; only ids travel to
-    that join, and texts come to its hits, where the whole is compared. Evidence of one or two words has no word that must be whole and is compared with all texts."""
+    that join, and texts come to its hits, where the whole is compared. Evidence of one or two words has no word that must be whole and is compared with all texts.
+    once: the join's hits are written; while they are few, they are sent to the texts then, and no text is shuffled."""
     of = queries.select("query_id", F.lower("evidence").alias("evidence")).where("evidence is not null").withColumn("w", F.split("evidence", " ", -1))
     of = of.withColumn("size", F.least(F.size("w") - 2, F.lit(probe)))
     middle = F.slice("w", F.greatest(F.lit(2), F.floor((F.size("w") - F.col("size")) / 2).cast("int") + 1), F.col("size"))
@@ -215,5 +217,7 @@ def holding(queries: DataFrame, chunks: DataFrame, probe: int = PROBE) -> DataFr
     keys = word_runs(probes.select("query_id", F.col("run").alias("text")), "query_id", sizes).withColumnRenamed("size", "n")
     keys = keys.join(probes.select("query_id", "size"), "query_id").where("n = size").select("query_id", "key").distinct()
     met = word_runs(text, "chunk_id", sizes).join(F.broadcast(keys), "key").select("query_id", "chunk_id").distinct()
-    met = met.join(probes.select("query_id", "evidence"), "query_id").join(text, "chunk_id").where(F.contains("text", "evidence"))
+    asked = probes.select("query_id", "evidence")
+    met = written(met, "met").join(text, "chunk_id").join(asked, "query_id") if once else met.join(asked, "query_id").join(text, "chunk_id")
+    met = met.where(F.contains("text", "evidence"))
     return met.select("query_id", "chunk_id").unionByName(short)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusq.catalog import QUERIES
-from corpusq.operators import dense, index, retrieval, vectors
+from corpusq.operators import dense, evaluation, index, retrieval, vectors
 
 TEXTS = {"b-1": "Apple pie apple tart", "b-0": "apple pie with cream, cream", "a-7": "plain bread x yy", "c-2": "", "c-3": None, "d-0": "common " * 300 + "pie", "é-1": "ünder_score apple " + "z" * 70, "f-0": "tart tart common", "b-2": "Apple pie apple tart"}
 ASKED = {1: "apple apple pie", 2: "Cream tart common", 3: "nothing here", 4: None, 5: "the common common common bread"}
@@ -91,3 +91,12 @@ def test_texts_come_to_few_candidates_unshuffled(spark, monkeypatch):
     retrieval.candidates(queries, chunks, retrieval.Config(), None, embedded)
     plan = dict(plans)["candidates"]
     assert "hashpartitioning(chunk_id" not in plan and "BroadcastHashJoin" in plan, plan
+
+
+def test_texts_come_to_few_hits_unshuffled(spark):
+    _, chunks, _ = _hybrid(spark)
+    chunks = chunks.unionByName(spark.createDataFrame([(99, "before One two  three four after", 6)], chunks.schema))
+    asked = spark.createDataFrame([(1, "one two  three four"), (2, "one three two four"), (3, None), (4, "wo")], "query_id long, evidence string")
+    found = evaluation.holding(asked, chunks, once=True)
+    assert "hashpartitioning(chunk_id" not in _plan(found)
+    assert sorted(map(tuple, found.collect())) == [(1, 99), (4, 99)]
