@@ -12,15 +12,14 @@ from corpusq.sources import files, streams
 
 
 def _id():
-    """The id that names a file's folder."""
+    """The id that names a file."""
     return F.regexp_extract("path", r"doc_id=(-?\d+)", 1).cast("long").alias("doc_id")
 
 
 def _folder(spark, sf_dir) -> str:
-    """Every document as a text file of its own, in a folder named by its id. Tasks move their files into place themselves: the driver would move them one by one."""
+    """Every document as a text file of its own, named by its id."""
     path = streams.shared_path(spark, "corpus")
-    d = X.table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    d.write.partitionBy("doc_id").option("mapreduce.fileoutputcommitter.algorithm.version", 2).text(path)
+    files.write_each(X.table(spark, sf_dir, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit("\n")).alias("text")), "doc_id", path)
     return path
 
 
