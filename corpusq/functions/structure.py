@@ -95,11 +95,13 @@ def _trimmed(start: Column, part: Column) -> tuple[Column, Column]:
 def paragraphs(docs: DataFrame) -> DataFrame:
     """doc_id, char_start, char_end, token_count of paragraphs between blank lines, trimmed (TXT11)."""
     cut = docs.select("doc_id", F.posexplode(F.arrays_zip(F.split("text", PARAGRAPH_BREAK, -1).alias("part"), F.regexp_extract_all("text", F.lit(f"({PARAGRAPH_BREAK})"), F.lit(1)).alias("gap"))).alias("n", "x"))
-    w = Window.partitionBy("doc_id").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
     part = F.col("x.part")
-    at = cut.withColumn("at", F.coalesce(F.sum(F.length(part) + F.coalesce(F.length("x.gap"), F.lit(0))).over(w), F.lit(0)).cast("int"))
-    start, end = _trimmed(F.col("at"), part)
-    return at.select("doc_id", start.alias("char_start"), end.alias("char_end"), T.token_count(strip(part)).alias("token_count")).where("char_end > char_start")
+    # Paragraphs are measured before they are put in order: their texts are not shuffled.
+    start, end = _trimmed(F.lit(0), part)
+    cut = cut.select("doc_id", "n", (F.length(part) + F.coalesce(F.length("x.gap"), F.lit(0))).alias("size"), start.alias("start"), end.alias("end"), T.token_count(strip(part)).alias("token_count"))
+    w = Window.partitionBy("doc_id").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    at = cut.withColumn("at", F.coalesce(F.sum("size").over(w), F.lit(0)).cast("int"))
+    return at.select("doc_id", (F.col("at") + F.col("start")).alias("char_start"), (F.col("at") + F.col("end")).alias("char_end"), "token_count").where("char_end > char_start")
 
 
 def sections(docs: DataFrame, found: DataFrame) -> DataFrame:

@@ -40,11 +40,16 @@ def assemble(docs: DataFrame, units: DataFrame, target: int = TARGET, overlap: i
     return cut.select("doc_id", index.alias("chunk_index"), "char_start", "char_end", "text", "token_count")
 
 
+def cut_documents(docs: DataFrame, found: DataFrame | None, strategy: str = "heading", target: int = TARGET, overlap: int = OVERLAP, least: int = LEAST) -> DataFrame:
+    """Chunks as assemble() gives them. docs: doc_id, text (clean); found: headings, for the strategy heading; or paragraph or fixed."""
+    units = {"heading": lambda: S.sections(docs, found), "paragraph": lambda: S.paragraphs(docs), "fixed": lambda: S.windows(docs, target, overlap)}[strategy]()
+    return assemble(docs, units, target, overlap, least)
+
+
 def chunk_documents(docs: DataFrame, strategy: str = "heading", target: int = TARGET, overlap: int = OVERLAP, least: int = LEAST) -> DataFrame:
     """Chunks with section_path and breadcrumb (TXT15). docs: doc_id, filename, text (clean). strategy: heading, paragraph or fixed."""
     found = S.headings(docs)
-    units = {"heading": lambda: S.sections(docs, found), "paragraph": lambda: S.paragraphs(docs), "fixed": lambda: S.windows(docs, target, overlap)}[strategy]()
-    cut = assemble(docs, units, target, overlap, least)
+    cut = cut_documents(docs, found, strategy, target, overlap, least)
     titles = docs.select("doc_id", F.trim(F.translate(F.regexp_replace("filename", r"\.[^.]*$", ""), "-_", "  ")).alias("stem"), "filename")
     titles = titles.select("doc_id", F.when(F.col("stem") == "", F.col("filename")).otherwise(F.col("stem")).alias("title"))
     out = S.section_paths(cut, found).join(titles, "doc_id")

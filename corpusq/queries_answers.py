@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusq import fixtures as X
+from corpusq.functions import structure
 from corpusq.operators import answers, chunking, evaluation, index, retrieval, rewrite, vectors
 from corpusq.plans import logs
 from corpusq.queries import _TOK, ASKED, BM25, CHUNKS, GRAMS, POSTINGS, found, pool, query
 from corpusq.queries_text import outlined
 from corpusq.sources import files
-from corpusq.sources.streams import written
+from corpusq.sources.streams import discard, written
 
 FOUND = f"{CHUNKS}, {ASKED}, {POSTINGS}, {GRAMS}, {BM25}"
 _RW = ", ".join(f"'{w}'" for w in retrieval.RERANK_STOPWORDS)
@@ -342,12 +343,15 @@ def ev15_strategies(spark, sf_dir):
     d, q = outlined(spark, sf_dir), X.queries(spark, sf_dir)
     out = {"chunks": None, "labels": None, "ranked": None}
     for s in ("heading", "paragraph", "fixed"):
-        c = written(chunking.chunk_documents(d, s, 1000, 200, 50).withColumn("chunk_id", F.concat_ws("-", "doc_id", "chunk_index")), "chunks")
-        rel = evaluation.holding(q, c)
+        # Neither paths nor titles are asked for, so texts don't meet headings again.
+        c = chunking.cut_documents(d, structure.headings(d) if s == "heading" else None, s, 1000, 200, 50)
+        c = written(c.select(F.concat_ws("-", "doc_id", "chunk_index").alias("chunk_id"), "text", "token_count"), "chunks")
+        rel = evaluation.holding(q, c, once=True)
         parts = {"chunks": c.select("token_count"), "labels": q.select("query_id").join(rel, "query_id", "left"), "ranked": index.search_repeated(q.select("query_id", "query"), c)}
         for k, v in parts.items():
-            v = v.withColumn("strategy", F.lit(s))
+            v = written(v.withColumn("strategy", F.lit(s)), f"strategy-{k}")
             out[k] = v if out[k] is None else out[k].unionByName(v)
+        discard(c)  # the next strategy's texts take its place
     return evaluation.strategies(out["labels"], out["ranked"], out["chunks"])
 
 

@@ -29,7 +29,16 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     df.write.parquet(path)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._corpusq_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a table of written() that nothing reads any more."""
+    spark = df.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(df._corpusq_path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def read_stream(spark: SparkSession, path: str, batch_bytes: int = 256 << 20) -> DataFrame:
